@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from ballast.llm import mixing, quality, sharding
+from ballast.llm import decontam, html_text, mixing, quality, secrets, sharding
 
 
 def queries() -> dict:
     return {
         "op1_quality_divergence": quality.op1,
+        "op3_html_line_blocks": html_text.op3,
+        "op5_decontam_fm_index": decontam.op5,
+        "op6_secrets_automaton": secrets.op6,
         "op7_mixing_temperature": mixing.op7,
         "op9_sharding_minimax": sharding.op9,
     }
