@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from ballast.llm import decontam, html_text, mixing, quality, secrets, sharding
+from ballast.llm import decontam, html_text, huffman, mixing, quality, secrets, sharding, substrings, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_divergence": quality.op1,
         "op3_html_line_blocks": html_text.op3,
+        "op4_token_ids_huffman": huffman.op4,
         "op5_decontam_fm_index": decontam.op5,
         "op6_secrets_automaton": secrets.op6,
         "op7_mixing_temperature": mixing.op7,
+        "op8_substrings_prefix_doubling": substrings.op8,
         "op9_sharding_minimax": sharding.op9,
+        "op10_warc_shards": warc.op10,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_divergence": quality.SQL, "op7_mixing_temperature": mixing.SQL}
+    return {"op1_quality_divergence": quality.SQL, "op7_mixing_temperature": mixing.SQL, "op10_warc_shards": warc.SQL}
