@@ -28,6 +28,9 @@ LANGUAGE_WORDS = {
 }
 COMMON_WORDS = sorted({w for words in LANGUAGE_WORDS.values() for w in words})
 
+#: As they stand in a text: lower case, or capital at the start of a sentence; a word and its capital form lie one list apart.
+_SPELLINGS = COMMON_WORDS + [w.capitalize() for w in COMMON_WORDS]
+
 #: Patterns of everything outside each character class; what is left is counted.
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 NOT_CLASS = {
@@ -48,9 +51,16 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words inside three-word windows found twice or more: sort the windows, keep equal neighbours, add up their union."""
+    """Words inside three-word windows found twice or more.
+
+    Where all windows have different hashes, none is repeated. Otherwise sort
+    the windows themselves, keep equal neighbours, and add up their union.
+    """
     n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("t"), i.alias("i")))
+    starts = F.sequence(F.lit(0), n - 3)
+    hashes = F.transform(starts, lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+    distinct = _let(hashes, lambda h: F.size(h) == F.size(F.array_distinct(h)))
+    windows = F.transform(starts, lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("t"), i.alias("i")))
 
     def repeated(s: Column) -> Column:
         return F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["t"] == x["t"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["t"] == x["t"], F.lit(False)))
@@ -58,7 +68,7 @@ def _repeat_words(words: Column) -> Column:
     at = F.array_sort(F.transform(_let(F.array_sort(windows), repeated), lambda x: x["i"]))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(at, start, lambda a, p: F.struct((a["n"] + (p + 3 - F.greatest(p, a["end"]))).alias("n"), (p + 3).alias("end")), lambda a: a["n"])
-    return F.when(n >= 3, covered).otherwise(F.lit(0).cast("long"))
+    return F.when((n < 3) | distinct, F.lit(0).cast("long")).otherwise(covered)
 
 
 def _left(text: Column, pattern: str) -> Column:
@@ -74,7 +84,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     new = new.withColumns(
         {
             "_lines": lines,
-            "_common": F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(COMMON_WORDS)),
+            "_common": F.transform(F.filter(words, lambda w: w.isin(_SPELLINGS)), lambda w: F.array_position(F.array(*[F.lit(x) for x in _SPELLINGS]), w) % len(COMMON_WORDS)),
             "n_words": F.size(words).cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": _left(t, NOT_SYMBOL),
@@ -90,7 +100,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": _repeat_words(words),
             "class_hist": F.array(*others, space, lower),
-            "word_hist": F.transform(F.array(*[F.lit(w) for w in COMMON_WORDS]), lambda k: F.size(F.filter("_common", lambda w: w == k)).cast("long")),
+            "word_hist": F.array(*[(F.size("_common") - F.size(F.array_remove("_common", (k + 1) % len(COMMON_WORDS)))).cast("long") for k in range(len(COMMON_WORDS))]),
         }
     ).drop("_words", "_lines", "_common", "_length", *[f"_{k}" for k in NOT_CLASS])
 
@@ -141,7 +151,7 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 _BINS = [f"len(list_filter(common, lambda w: w = '{w}'))" for w in COMMON_WORDS]
-_ISIN = ", ".join(f"'{w}'" for w in COMMON_WORDS)
+_ISIN = ", ".join(f"'{w}'" for w in _SPELLINGS)
 _LANGS = ", ".join(f"'{w}'" for w in LANGUAGE_WORDS)
 
 
@@ -167,7 +177,7 @@ f AS (
          length(regexp_replace(t, '{NOT_SYMBOL}', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          length(t)::BIGINT AS n, {", ".join(f"length(regexp_replace(t, '{p}', '', 'g'))::BIGINT AS n_{k}" for k, p in NOT_CLASS.items())},
-         list_filter(list_transform(words, lambda w: lower(w)), lambda w: w IN ({_ISIN})) AS common
+         list_filter(list_transform(list_filter(words, lambda w: w IN ({_ISIN})), lambda w: lower(w)), lambda w: true) AS common
   FROM base),
 h AS (
   SELECT *, [n_upper, n_digit, n_beyond, n_punct, n - word_chars, word_chars - n_upper - n_digit - n_beyond - n_punct] AS ch,
