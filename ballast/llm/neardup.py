@@ -246,6 +246,17 @@ def group(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str =
     return rows.select("doc", "n", "class").join(told, "class", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
 
 
+def keep_first(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near copies: of each group the rows with its smallest id stay, equal ones once.
+
+    Rows without words are in no group and all stay once for each id.
+    """
+    found = group(docs, width, threshold, id_col, text)
+    kept = found.filter("doc = component").select(F.col("doc").alias("_kept")).distinct()
+    rows = docs.withColumn("_kept", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    return rows.join(kept, "_kept", "left_semi").dropDuplicates(["_kept", text]).drop("_kept")
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

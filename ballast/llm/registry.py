@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ballast.llm import decontam, html_text, huffman, mixing, quality, secrets, sharding, substrings, warc
+from ballast.llm import decontam, html_text, huffman, mixing, neardup, quality, secrets, sharding, substrings, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_divergence": quality.op1,
+        "op2_neardup_bottom_k": neardup.op2,
         "op3_html_line_blocks": html_text.op3,
         "op4_token_ids_huffman": huffman.op4,
         "op5_decontam_fm_index": decontam.op5,

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import mixing, quality, sharding
+from ballast.llm import decontam, mixing, neardup, quality, sharding
 from ballast.llm.common import written
 
-#: SQL can't express the near-dedup and decontamination operators' methods at this size; tests compare run() with brute force.
+#: SQL cannot express near-dedup and decontamination over whole tables in time; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
@@ -21,6 +21,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs).filter("kept").select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest id."""
+    return neardup.keep_first(docs).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.scan(docs, benchmark).filter(~F.col("contaminated")).select(*docs.columns)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are repeated up to the limit; no document is dropped."""
     return mixing.mix(docs).select(*docs.columns)
@@ -32,6 +43,8 @@ def final_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("source_mixing", source_mixing),
     ("final_shards", final_shards),
 ]
