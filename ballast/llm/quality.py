@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballast.llm.common import written
+
 #: Frequent function words of each language.
 LANGUAGE_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "with", "was"],
@@ -129,7 +131,8 @@ def js_distance(a: Column, b: Column) -> Column:
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_hits: int = MIN_HITS) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, the two distances and ``kept``."""
     taken = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept", "class_hist", "word_hist", "_lang", "_class_ref", "_word_ref"]
-    featured = features(docs.drop(*taken), text)
+    # Written once: the counts serve the references and the verdicts, and no filter on a verdict is pushed into them.
+    featured = written(features(docs.drop(*taken), text), "featured")
     # At most len(LANGUAGE_WORDS) rows, whatever the input: a proven bound for the broadcast.
     joined = featured.join(F.broadcast(references(featured, lang, min_words)), F.col(lang) == F.col("_lang"), "left")
     hits = F.aggregate("word_hist", F.lit(0).cast("long"), lambda s, v: s + v)
