@@ -34,7 +34,7 @@ from ballast.llm.common import flat_bytes
 
 #: Fixed values: (kind, what the automaton looks for, the expression of its spans, group that must be long, its least length).
 RULES = [
-    ("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 8),
+    ("assign", r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 8),
     ("access", r"AKIA[A-Z0-9]{12}", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32}", r"[0-9a-f]+", 0, 32),
     ("forge", r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]{20,}", 0, 24),
