@@ -326,7 +326,7 @@ def test_op10_records(spark, folder):
 
 def test_op10_archives_are_deterministic(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
-    found = [sorted((r["file"], r["sha256"]) for r in warc.write(p, roll_bytes=4000)[1].collect()) for p in (pages, pages.orderBy("html"))]
+    found = [sorted((r["file"], r["sha256"]) for r in warc.write(p, roll_bytes=1000)[1].collect()) for p in (pages, pages.orderBy("html"))]
     assert found[0] == found[1] and len(found[0]) > 1
 
 
