@@ -1,16 +1,19 @@
-"""The registered queries of the reference's own operators, and their SQL."""
+"""The registered queries of the domain's own operators, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ballast.plans import batches, datasets, evaluation, weighting  # noqa: F401  they fill the registry
+from ballast.plans.base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
