@@ -73,27 +73,37 @@ def plan(docs: DataFrame, source: str = "source", max_repeats: float = MAX_REPEA
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
-    """Every pass of every document that the mixture holds, with ``n_tokens``, ``epoch``, ``block`` and ``place`` in the block."""
-    docs = docs.drop("n_tokens", "epoch", "block", "place", "_source", "_key").withColumn("n_tokens", token_count(F.col(text)))
-    sources = plan(docs, source, max_repeats, target_entropy, budget).select("_source", "tokens", "rows", "repeats")
+    """Every pass of every document that the mixture holds, with ``n_tokens``, ``epoch``, ``block`` and ``place`` in the block.
+
+    Places are found on narrow rows (hashes of the row, token count, a
+    permutation key for each pass); the texts are shuffled once, to meet them.
+    """
+    docs = docs.drop("n_tokens", "epoch", "block", "place", "_source", "_key", "_keys", "_a", "_b")
+    counted = docs.withColumn("n_tokens", token_count(F.col(text)))
+    sources = plan(counted, source, max_repeats, target_entropy, budget).select("_source", "tokens", "rows", "repeats")
+    passes = int(sources.agg(F.max(F.ceil("repeats"))).first()[0] or 1)
     hashed = lambda *of: F.conv(F.substring(F.md5(F.concat_ws(":", *of)), 1, 15), 16, 10).cast("long")
-    tagged = docs.withColumn("_source", F.col(source)).join(sources, F.col(source).eqNullSafe(sources["_source"]), "inner").drop(sources["_source"])
-    passes = tagged.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("repeats").cast("int") - 1, F.lit(0)))))
-    passes = passes.withColumn("_key", hashed(F.lit(seed), F.col("epoch"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
-    passes = passes.withColumn("block", F.pmod("_key", F.ceil(F.col("rows") / block_rows)))
-    passes = passes.withColumn("_source", F.when(F.col("_source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("_source"))))
+    key_of = lambda epoch: hashed(F.lit(seed), epoch, F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    # 128 bits of the whole row stand for it: rows equal in all columns may stand in for each other.
+    whole_row = [F.col(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    names = {"_a": F.xxhash64(*whole_row), "_b": F.xxhash64(F.lit(seed), *reversed(whole_row))}
+    narrow = counted.withColumns(names).select("_a", "_b", F.col(id_col).alias("_id"), F.col(source).alias("_src"), "n_tokens", F.array(*[key_of(F.lit(e)) for e in range(passes)]).alias("_keys"))
+    tagged = narrow.join(sources, narrow["_src"].eqNullSafe(sources["_source"])).drop("_src")
+    taken = tagged.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("repeats").cast("int") - 1, F.lit(0)))))
+    taken = taken.withColumn("_key", F.get("_keys", F.col("epoch"))).drop("_keys")
+    taken = taken.withColumn("block", F.pmod("_key", F.ceil(F.col("rows") / block_rows)))
+    taken = taken.withColumn("_source", F.when(F.col("_source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("_source"))))
     keys = ["_source", "epoch"]
-    blocks = passes.groupBy(*keys, "block").agg(F.sum("n_tokens").alias("_sum"))
+    blocks = taken.groupBy(*keys, "block").agg(F.sum("n_tokens").alias("_sum"))
     starts = block_starts(blocks, keys, "block", "_sum", "_start").drop("_sum")
-    inside = Window.partitionBy(*keys, "block").orderBy("_key", id_col)
-    placed = passes.withColumns({"place": F.row_number().over(inside), "_before": F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")})
+    inside = Window.partitionBy(*keys, "block").orderBy("_key", "_id")
+    placed = taken.withColumns({"place": F.row_number().over(inside), "_before": F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")})
     room = (F.col("repeats") - F.col("epoch")) * F.col("tokens")
     whole = F.col("epoch") < F.floor("repeats")
-    return (
-        placed.join(starts, [*keys, "block"])
-        .filter(whole | (F.col("_start") + F.col("_before") < room))
-        .drop("_source", "tokens", "rows", "repeats", "_key", "_before", "_start")
-    )
+    held = placed.join(starts, [*keys, "block"]).filter(whole | (F.col("_start") + F.col("_before") < room)).select("_a", "_b", "n_tokens", "epoch", "block", "place")
+    first = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_a"))
+    texts = docs.withColumns(names).withColumn("_key", first).filter("_key = 1").drop("_key")
+    return texts.join(held, ["_a", "_b"]).select(*docs.columns, "n_tokens", "epoch", "block", "place")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
