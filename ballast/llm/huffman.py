@@ -1,7 +1,8 @@
 """Token ids in canonical length-limited Huffman files (operator 4).
 
-Ids are counted over the whole corpus (at most one row for each id of the
-vocabulary reaches the driver), code lengths come from the package-merge
+Texts are tokenised once, into a table in the shared folder that the counts and
+the files are made from. Ids are counted over the whole corpus (at most one row
+for each id of the vocabulary reaches the driver), code lengths come from the package-merge
 algorithm under a length limit, and codes are canonical, so the lengths alone
 are the codebook. Documents are range-sorted by id; each partition becomes one
 file: document table, bit offsets of every ``BLOCK`` tokens (checkpoints), and
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import new_path, open_fs, written
+from ballast.llm.common import flat_bytes, new_path, open_fs, written
 
 MAGIC = b"BHUF0001"
 BLOCK = 2048
@@ -45,7 +46,7 @@ _UNSAFE = re.compile(r" [\s\x1c-\x1f\x85]")
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian bytes: two for each id if the vocabulary allows it, else four.
 
     In a byte-level vocabulary that splits before a space followed by something
     else than white space, a text's ids are those of its pieces at such spaces;
@@ -64,10 +65,11 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -78,6 +80,10 @@ class Encoder:
         if not rest:
             return self._whole([first])[0]
         cache = self.cache
+        try:
+            return self._whole([first])[0] + b"".join(map(cache.__getitem__, rest))
+        except KeyError:
+            pass
         missing = [w for w in dict.fromkeys(rest) if w not in cache]
         if len(cache) + len(missing) > CACHE_WORDS:
             cache.clear()
@@ -169,21 +175,35 @@ class Code:
         return out[np.arange(most)[None, :] < counts[:, None]]
 
 
-def count_ids(docs: DataFrame, text: str, tokenizer: str) -> np.ndarray:
-    """Corpus counts of all ids (with the end ids); as long as the vocabulary."""
+def encoded(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> DataFrame:
+    """A row for each row of ``docs``: id, tie (orders rows of one id), ids with the end id; written once."""
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        total = np.zeros(enc.size, np.int64)
+        end = np.array([END_ID], enc.kind).tobytes()
+        for b in batches:
+            ids = [enc.encode(x) + end for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["id", "tie", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    path = new_path(spark, "encoded")
+    rows.mapInArrow(run, "id long, tie long, ids binary").write.option("compression", "zstd").parquet(path)
+    return spark.read.schema("id long, tie long, ids binary").parquet(path)
+
+
+def count_ids(rows: DataFrame, size: int, kind: str) -> np.ndarray:
+    """Corpus counts of all ids; as long as the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for b in batches:
-            ids = np.frombuffer(b"".join(enc.encode(x) for x in b.column(text).to_pylist()), "<u4")
-            total += np.bincount(ids, minlength=enc.size)
-            total[END_ID] += b.num_rows
+            total += np.bincount(flat_bytes(b.column(0))[0].view(kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    sums = docs.select(text).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(encoder(tokenizer).size, np.int64)
+    sums = rows.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(size, np.int64)
     counts[sums["id"].to_numpy()] = sums["n"].to_numpy()
     return counts
 
@@ -228,7 +248,9 @@ class _Writer:
 def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
     """Write the corpus; gives the folder and the manifest (part, file, docs, tokens, bytes)."""
     spark = docs.sparkSession
-    lengths = code_lengths(count_ids(docs, text, tokenizer))
+    size, kind = encoder(tokenizer).size, encoder(tokenizer).kind
+    rows = encoded(docs, tokenizer, id_col, text)
+    lengths = code_lengths(count_ids(rows, size, kind))
     folder = new_path(spark, "ids")
     fs, top = open_fs(folder)
     fs.create_dir(top)
@@ -236,13 +258,12 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "
         f.write(lengths.astype("u1").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out = encoder(tokenizer), None
-        end = np.array([END_ID], "<u4").tobytes()
+        out = None
         for b in batches:
             if b.num_rows:
                 out = out or _Writer(Code(lengths))
-                ids = [enc.encode(x) + end for x in b.column(1).to_pylist()]
-                out.add(b.column(0).to_pylist(), [len(x) // 4 for x in ids], np.frombuffer(b"".join(ids), "<u4"))
+                flat, offsets = flat_bytes(b.column(1))
+                out.add(b.column(0).to_pylist(), (np.diff(offsets) // np.dtype(kind).itemsize).tolist(), flat.view(kind))
         if out is None:
             return
         part = TaskContext.get().partitionId()
@@ -256,8 +277,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "
         fs.move(f"{top}/{name}.tmp", f"{top}/{name}.huf")
         yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{name}.huf", "docs": len(out.docs), "tokens": out.tokens, "bytes": size}])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    parts = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    parts = rows.repartitionByRange("id").sortWithinPartitions("id", "tie").select("id", "ids")
     return folder, written(parts.mapInArrow(run, "part long, file string, docs long, tokens long, bytes long"), "ids-manifest")
 
 
