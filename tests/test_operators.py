@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ballast.operators import annotations, batches, clustering, eda, experiments, metrics, sampling, splits, weights
+from ballast.plans import evaluation
 from ballast.sources import tables
 
 
@@ -116,3 +117,9 @@ def test_weight_table_and_folders(spark, tmp_path):
     assert got == {("cat", None), ("cat", "k")}
     (tmp_path / "a.csv").write_text("participant_id,file_id,annotation_id,frame_start,frame_end,activity,chunk_id\np,f,1,0,9,eat,\np,f,2,0\n")
     assert [r["chunk_id"] for r in tables.annotations(spark, str(tmp_path / "a.csv")).collect()] == ["0"]
+
+
+def test_every_event_has_its_duration(spark, tmp_path):
+    spark.createDataFrame([(0,), (19_999,), (20_000,), (123_456,)], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in evaluation.format_duration(spark, str(tmp_path)).collect()}
+    assert got == {(0, "00:00:00"), (19_999, "38:53:13"), (20_000, "38:53:20"), (123_456, "240:03:12")}
