@@ -1,18 +1,22 @@
 """Separability of labelled embeddings: centroids, scatter, distances between classes, neighbours.
 
 Sums over dimensions run as array aggregations inside a row; only class
-centroids (a row for each class) are broadcast. Metrics over pairs work on a
-sample of at most ``most`` rows, which is part of their definition.
+centroids (a row for each class) are broadcast. Nearest neighbours search all rows, block by block; silhouette
+works on a sample of at most ``most`` rows, which is part of its definition.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballast.functions.hashing import SEED, order_key
 
 EPS = 1e-12
+BLOCK = 4096
+STEP = 256
 
 
 def doubles(v: str | Column) -> Column:
@@ -70,13 +74,74 @@ def sampled(df: DataFrame, index: str, most: int, seed: int = SEED) -> DataFrame
     return df.orderBy(order_key(index, seed=seed), index).limit(most)
 
 
-def neighbours(queries: DataFrame, others: DataFrame, index: str, k: int, most: int = 5000, label: str = "label", embedding: str = "embedding") -> DataFrame:
-    """(query id, label, vote): majority label of the ``k`` nearest of a sample of at most ``most`` others, for a sample of queries."""
-    q = sampled(queries, index, most).select(F.col(index).alias("q"), F.col(label).alias("label"), doubles(embedding).alias("eq"))
-    o = sampled(others, index, most).select(F.col(index).alias("o"), F.col(label).alias("lo"), doubles(embedding).alias("eo"))
-    d = F.round(squared_distance(F.col("eq"), F.col("eo")), 12)
-    near = q.repartition(32, "q").crossJoin(F.broadcast(o)).select("q", "label", "o", "lo", d.alias("d"))  # at most ``most`` rows a side
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("d", "o"))).filter(F.col("_r") <= k)
+def _blocks(df: DataFrame, index: str, label: str, embedding: str, into: str) -> tuple[int, DataFrame]:
+    """Number of blocks, and a row for each: (``into``, rows ordered by id); blocks of about ``BLOCK`` rows by a hash of the id."""
+    n = max(1, -(-df.count() // BLOCK))
+    item = F.struct(F.col(index).alias("id"), F.col(label).alias("label"), F.col(embedding).alias("v"))
+    return n, df.groupBy(F.pmod(F.xxhash64(index), F.lit(n)).cast("int").alias(into)).agg(F.sort_array(F.collect_list(item)).alias("rows"))
+
+
+def _columns(block: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    ids, labels, v = block["rows"].combine_chunks().flatten().flatten()
+    return ids, labels, v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+
+
+def _candidates(q: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, row of ``o``, squared distance to 12 places) of all that can be among the ``k`` nearest, ties included."""
+    qq, oo = (q * q).sum(1), (o * o).sum(1)
+    about = qq[:, None] + oo[None, :] - 2.0 * (q @ o.T)
+    far = np.partition(about, k - 1, axis=1)[:, k - 1] if len(o) > k else np.full(len(q), np.inf)
+    slack = 2e-12 + 1e-12 * (qq.max() + oo.max())  # rounding to 12 places, and many times the product's error
+    i, j = np.nonzero(about <= (far + slack)[:, None])
+    d = np.zeros(len(i))
+    for x in range(q.shape[1]):
+        d += (q[i, x] - o[j, x]) ** 2
+    return i, j, np.round(d, 12)
+
+
+def _first(i: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the first ``k`` of each run of equal values."""
+    at = np.arange(len(i))
+    starts = np.maximum.accumulate(np.where(np.r_[True, i[1:] != i[:-1]], at, 0)) if len(i) else at
+    return at - starts < k
+
+
+def neighbours(queries: DataFrame, others: DataFrame, index: str, k: int, label: str = "label", embedding: str = "embedding") -> DataFrame:
+    """(query id, label, vote): majority label of the ``k`` nearest of all others, for all queries.
+
+    Every block of queries meets every block of others in a task of its own,
+    which keeps the ``k`` nearest of each query; these are merged over the
+    blocks. A task holds two blocks, and distances of ``STEP`` queries.
+    """
+    nq, q = _blocks(queries, index, label, embedding, "qb")
+    no, o = _blocks(others, index, label, embedding, "ob")
+    q = q.withColumn("ob", F.explode(F.sequence(F.lit(0), F.lit(no - 1))))
+    o = o.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    kind = {c: queries.schema[c].dataType.simpleString() for c in (index, label)} | {f"o.{c}": others.schema[c].dataType.simpleString() for c in (index, label)}
+    lists = {"i": "int", "d": "double", "o": kind[f"o.{index}"], "q": kind[index], "label": kind[label], "lo": kind[f"o.{label}"]}
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        steps = []
+        if left.num_rows and right.num_rows:
+            block = left["qb"][0].as_py()
+            (q_ids, q_labels, q_at), (o_ids, o_labels, o_at) = _columns(left), _columns(right)
+            for start in range(0, len(q_at), STEP):
+                i, j, d = _candidates(q_at[start : start + STEP], o_at, k)
+                by = np.lexsort((j, d, i))  # others stand in the order of their ids
+                by = by[_first(i[by], k)]
+                i, j = i[by] + start, j[by]
+                values = [pa.array(i, pa.int32()), pa.array(d[by]), o_ids.take(pa.array(j)), q_ids.take(pa.array(i)), q_labels.take(pa.array(i)), o_labels.take(pa.array(j))]
+                ends = pa.array([0, len(i)], pa.int32())
+                steps.append(pa.table([pa.array([block], pa.int32()), pa.array([start], pa.int32()), *[pa.ListArray.from_arrays(ends, v) for v in values]], names=["qb", "start", *lists]))
+        return pa.concat_tables(steps) if steps else pa.table({})
+
+    def merged(steps: pa.Table) -> pa.Table:
+        flat = pa.table({c: pa.concat_arrays([x.flatten() for x in steps[c].chunks]) for c in lists})
+        flat = flat.sort_by([("i", "ascending"), ("d", "ascending"), ("o", "ascending")])
+        return flat.filter(pa.array(_first(flat["i"].to_numpy(), k))).select(["q", "label", "lo"])
+
+    near = q.groupBy("qb", "ob").cogroup(o.groupBy("qb", "ob")).applyInArrow(nearest, ", ".join(["qb int", "start int", *[f"{c} array<{t}>" for c, t in lists.items()]]))
+    near = near.groupBy("qb", "start").applyInArrow(merged, f"q {lists['q']}, label {lists['label']}, lo {lists['lo']}")
     votes = near.groupBy("q", "label", "lo").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("q", "label").agg(F.min_by("lo", F.struct(-F.col("n"), F.col("lo"))).alias("vote"))
 

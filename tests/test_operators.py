@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ballast.operators import annotations, batches, clustering, eda, experiments, metrics, sampling, splits, weights
+from ballast.operators import annotations, batches, clustering, eda, experiments, metrics, sampling, separability, splits, weights
 from ballast.plans import evaluation
 from ballast.sources import tables
 
@@ -123,3 +123,25 @@ def test_every_event_has_its_duration(spark, tmp_path):
     spark.createDataFrame([(0,), (19_999,), (20_000,), (123_456,)], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
     got = {tuple(r) for r in evaluation.format_duration(spark, str(tmp_path)).collect()}
     assert got == {(0, "00:00:00"), (19_999, "38:53:13"), (20_000, "38:53:20"), (123_456, "240:03:12")}
+
+
+def test_neighbours_search_all_rows_for_all_queries(spark):
+    df = spark.range(6000).select(F.col("id"), F.col("id").alias("label"), F.array(F.col("id").cast("float"), F.lit(0.5).cast("float")).alias("embedding"))
+    got = separability.neighbours(df, df, "id", 1)
+    assert tuple(got.agg(F.count(F.lit(1)), F.count_if(F.col("label") == F.col("vote"))).first()) == (6000, 6000)
+
+
+def test_neighbours_against_brute_force_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(separability, "BLOCK", 40)
+    r = np.random.default_rng(3)
+    x, label = r.integers(0, 3, (200, 3)).astype(float), r.integers(0, 4, 200).tolist()
+    df = spark.createDataFrame([(i, label[i], x[i].tolist()) for i in range(200)], "id long, label long, embedding array<float>")
+    want = {}
+    for i in range(60):
+        near = sorted(range(60, 200), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:7]
+        votes = [label[j] for j in near]
+        want[i] = (label[i], min(set(votes), key=lambda c: (-votes.count(c), c)))
+    got = separability.neighbours(df.filter("id < 60"), df.filter("id >= 60"), "id", 7)
+    assert {t["q"]: (t["label"], t["vote"]) for t in got.collect()} == want
+    assert separability.neighbours(df, df.filter("id < 0"), "id", 7).count() == 0
+    assert separability.neighbours(df.filter("id < 2"), df.filter("id < 3"), "id", 7).count() == 2
