@@ -8,6 +8,11 @@ threshold) and ends at the dive (windows of no text). Where the page marks its
 main part (article, main), only lines in it have a length and any text is a
 surge; elsewhere the threshold is ``SURGE`` characters.
 
+A class or id makes an element furniture if all words of one of its tokens are
+furniture's (sidebar, cookie-banner, but not has-sidebar); html and body never
+are. A main part inside such an element still is one, and is kept whole unless
+the page marks another outside of furniture.
+
 Defined results: null or empty html gives an empty text; pages without main
 text give an empty text; unclosed and cut-off markup is read as far as it goes.
 Rows are independent, so repeated rows give equal results.
@@ -41,26 +46,36 @@ _SPLIT = re.compile(r"[^A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_furniture(tag: str, attributes: str, inside_main: bool) -> bool:
+NONE, NAMED, PLAIN = 0, 1, 2  # furniture: no, by a class or id, by its element or role
+
+
+def _furniture(tag: str, attributes: str, inside_main: bool) -> int:
+    if tag in ("html", "body"):
+        return NONE
     if tag in FURNITURE and not (tag == "header" and inside_main):
-        return True
+        return PLAIN
+    found = NONE
     for name, value in _NAMES.findall(attributes):
-        words = [w for w in _SPLIT.split(value.lower()) if w]
+        tokens = [[w for w in _SPLIT.split(t) if w] for t in value.lower().strip("\"'").split()]
         if name.lower() == "role":
-            if FURNITURE_ROLES.intersection(words):
-                return True
-        elif FURNITURE_NAMES.intersection(words):
-            return True
-    return False
+            if any(FURNITURE_ROLES.intersection(words) for words in tokens):
+                return PLAIN
+        elif any(words and FURNITURE_NAMES.issuperset(words) and not (tag == "header" and words == ["header"]) for words in tokens):
+            found = NAMED
+    return found
+
 
+def lines_of(page: str) -> tuple[list[tuple[str, int, int]], bool]:
+    """The page's block lines as (text, counted length, main), and whether it marks a main part in the open.
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """The page's block lines as (text, counted length, in the marked main part), and whether it marks one."""
-    lines: list[tuple[str, int, bool]] = []
+    ``main`` is 2 in such a part, 1 in one inside an element whose name alone makes it furniture, else 0.
+    """
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = at = link = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture so far, main so far
-    furniture = main = marked = False
+    stack: list[tuple[str, int, int]] = []  # name, furniture so far, main so far
+    furniture = main = 0
+    marked = False
 
     def flush() -> None:
         nonlocal linked
@@ -96,15 +111,18 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 if any(tag == x[0] for x in stack):
                     while stack.pop()[0] != tag:
                         pass
-                furniture, main = stack[-1][1:] if stack else (False, False)
+                furniture, main = stack[-1][1:] if stack else (NONE, 0)
             else:
                 if tag == "body":
                     stack = [x for x in stack if x[0] != "head"]
-                    furniture, main = stack[-1][1:] if stack else (False, False)
+                    furniture, main = stack[-1][1:] if stack else (NONE, 0)
                 is_main = tag in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?main\b", m[4], re.I))
-                furniture = furniture or (not is_main or tag == "article" and main) and _is_furniture(tag, m[4], main)
-                main = main or is_main and not furniture
-                marked = marked or main
+                if is_main and not main:
+                    if furniture != PLAIN:
+                        furniture, main = NONE, 1 if furniture else 2
+                elif not is_main or tag == "article":
+                    furniture = max(furniture, _furniture(tag, m[4], bool(main)))
+                marked = marked or main == 2
                 if not m[4].rstrip().endswith("/"):
                     stack.append((tag, furniture, main))
     say(page[at:])
@@ -114,14 +132,14 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     lines, marked = lines_of(page or "")
-    sizes = [n if inside or not marked else 0 for _, n, inside in lines]
+    sizes = [n if main == (2 if marked else 0) else 0 for _, n, main in lines]
     least = 0 if marked else surge
     sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
     kept, inside = [], False
-    for i, (text, _, _) in enumerate(lines):
+    for i, (text, n, main) in enumerate(lines):
         if not inside and sums[i] > least and sizes[i]:
             inside = True  # a surge
-        if inside and sizes[i]:
+        if inside and sizes[i] or main == 1 and n and not marked:
             kept.append(text)
         if inside and not sum(sizes[i + 1 : i + 1 + window]):
             inside = False  # the dive

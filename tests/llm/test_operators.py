@@ -113,6 +113,33 @@ def test_op3_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "A paragraph that is long enough to be a surge by itself, since it has more than eighty-six characters."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<body class="no-sidebar"><article><p>Body</p></article></body>', "Body"),
+        ('<html class="nav"><body id="menu" class="sidebar"><main><p>Body</p></main></body></html>', "Body"),
+        ('<div class="layout has-sidebar"><article><p>Body</p></article><div class="sidebar"><p>side</p></div></div>', "Body"),
+        ('<div id="page-header-fixed"><article><p>Body</p></article></div>', "Body"),
+        ('<div class="layout sidebar"><p>menu</p><div><article><p>Body</p></article></div><p>more</p></div>', "Body"),
+        ('<article><header class="article-header"><h1>Title</h1></header><p>Body</p></article>', "Title\nBody"),
+        ('<article><header class="header"><h1>Title</h1></header><p>Body</p></article>', "Title\nBody"),
+        ('<article><div class="cookie-banner"><p>ok?</p></div><p>Body</p><div class="box ad"><p>buy</p></div></article>', "Body"),
+        ('<main><p>Body</p></main><div class="comments"><article><p>Nice</p></article></div>', "Body"),
+        ('<main><p>Body</p><div class="related"><article><p>Other</p></article></div></main>', "Body"),
+        ('<nav><article><p>teaser</p></article></nav><article><p>Body</p></article>', "Body"),
+        ('<div class="sidebar"><nav><article><p>teaser</p></article></nav></div><article><p>Body</p></article>', "Body"),
+        ('<div class="sidebar"><nav><article><p>teaser</p></article></nav></div>', ""),
+        (f'<body class="has-sidebar"><div class="sidebar"><p>{LONG}</p></div><div class="no-menu"><p>{LONG}</p></div></body>', LONG),
+        (f'<div><p>{LONG}</p></div><div class="comments"><article><p>Nice</p></article></div>', f"{LONG}\nNice"),
+    ],
+)
+def test_op3_names_of_wrappers(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_op4_round_trip(spark, folder):
     import numpy as np
     import public_tokenizers
