@@ -140,6 +140,20 @@ def test_op3_names_of_wrappers(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='ad'><p>buy</p></div><p>{LONG}</p><div class='ad'><p>buy this</p></div><p>Short end.</p>", f"{LONG}\nShort end."),
+        (f"<p>{LONG}</p><div class='ad'><p>a</p><p>b</p><p>c</p></div><p>Short end.</p>", LONG),
+        (f"<p>{LONG}</p><p><a href='x'>only a link</a></p><p>{LONG} Two.</p>", f"{LONG}\n{LONG} Two."),
+        (f"<p><a href='x'>{LONG}</a></p>", ""),
+        ("<p>Home</p><p>About</p>", ""),
+    ],
+)
+def test_op3_windows_on_unmarked_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_op4_round_trip(spark, folder):
     import numpy as np
     import public_tokenizers
