@@ -51,7 +51,8 @@ class Encoder:
     In a byte-level vocabulary that splits before a space followed by something
     else than white space, a text's ids are those of its pieces at such spaces;
     known pieces come from a bounded cache. Any other text or vocabulary goes
-    through the library whole.
+    through the library whole. A special token spelled out in a text is its one
+    id, as the library has it by default.
     """
 
     def __init__(self, path: str):
@@ -59,11 +60,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+        # A piece ends before a space: no added token may hold one, take one in, or ask what stands beside it.
+        self.by_piece = self.by_piece and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens") or [])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}

@@ -174,6 +174,23 @@ def test_op4_round_trip(spark, folder):
         start += len(ids)
 
 
+def test_op4_special_token_in_a_text(spark, tmp_path):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "one<|endoftext|>two three <|endoftext|>four", "a <|endoftext|>", "<|endoftext|> <|endoftext|>\n<|endoftext|> b <|endoftext| >"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in huffman.op4(spark, str(tmp_path)).collect()) == want
+    assert 50256 in tok.encode(texts[1], add_special_tokens=False).ids
+
+
 def test_op4_code_lengths():
     import numpy as np
 
