@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory.
 STEP_BYTES = 2 << 20
@@ -19,11 +21,14 @@ STEP_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a folder is made.
+    Where the session names none, a folder is made on one machine (a local
+    master, as in tests); on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='ballast-')}"
@@ -39,7 +44,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(found)] = (weakref.ref(found), path)
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        held, path = _WRITTEN.pop(id(df), (None, None))
+        if held is not None and held() is df:
+            fs, top = open_fs(path)
+            fs.delete_dir(top)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes not to clash with ``columns`` (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def open_fs(uri: str):

@@ -1,35 +1,48 @@
 """Near-duplicate groups by bottom-k sketches (operator 2).
 
 A document's set holds the hashes of its word shingles under one hash function;
-its sketch is the ``SKETCH`` smallest. Equal sets form a class at once. Every
-class files its ``PROBES`` smallest values in inverted lists. A pair with
-Jaccard similarity ``t`` shares each value of either set with probability ``t``
-or more, so the chances below hold for t = 0.8 (smaller for larger t).
-
-1. Each list compares its members to a pivot, the member with the most shared
-   values: pairs that meet at one pivot in ``MEET`` lists go on.
-2. Pairs not linked so far must also share ``MEET`` values (missing this: below
-   1e-8): lists of up to ``HOT`` members give all pairs of different groups.
-   A class with 18 values or more in no hotter list, all of them unshared, can't
-   be linked (below 1e-8), so only classes of mostly hot values stay in hot
-   lists. For these, the full sets of all members are counted once: a class's
-   shingles that occur nowhere else bound its overlap with any other, and only
-   pairs that could still reach the threshold are formed, against members
-   outside the list's largest group.
-3. Candidates pass if the overlap within the union's sketch isn't far below the
-   threshold (rejecting a link: below 1e-8), and are then confirmed on the full
-   sets, computed again from the texts.
-
-Links make components by repeated minimum labels with pointer jumping, each
-round written to the shared folder.
+its sketch is the ``SKETCH`` smallest. Equal sets form a class at once, and
+classes are what is compared. Two different sets at 0.8 share at least four
+shingles, so sets under four have no link. Of such a pair, at least 0.8 -
+``SLACK`` of the union's 64 smallest values are shared (missing this: below
+1e-9), and sets of up to 64 shingles are in their sketch whole.
+
+1. Inverted lists: values are ordered by how many sketches hold them, rarest
+   first. If two sketches share s values, ``MEET`` of these are in each one's
+   first (size - s + ``MEET``) values. Only those are filed; values of one sketch
+   alone take part in the order but in no list.
+2. Each list compares its members to a pivot; pairs that meet at one pivot in
+   ``MEET`` lists are candidates, and the links found make groups.
+3. Lists of up to ``HOT`` members give the pairs of different groups that meet
+   in ``MEET`` lists. This is complete but for pairs that share a list of more
+   members (a hot one).
+4. For the classes in hot lists that still hold different groups, the same is
+   done over full sets: all their shingles are counted, and the rarest
+   (size - least overlap + 1) are filed, of which a link shares one. Shingles of
+   up to ``HOT`` classes give all pairs. A link without such a shingle consists
+   of hot shingles: both ends have few others, and as both overlap through hot
+   shingles alone, an end linked with a member of a set of classes with equal
+   hot shingles is linked with its smallest member too. So every class is
+   compared to the smallest class for each set of hot shingles, not to all.
+5. Candidates pass if the overlap within the union's sketch isn't far below the
+   threshold (rejecting a link: below 1e-9), and are confirmed on the full sets,
+   computed again from the texts.
+
+No row leaves for the size of its list: the two sizes of list have different
+ways to the same links. Links make components by repeated minimum labels with
+pointer jumping, each round written to the shared folder.
 
 Defined results: null text and text without words have the empty set, which is
-linked with nothing. Rows that share a document id are one node for each text;
-equal rows get equal results. A null id is ordered first.
+linked with nothing. Every row is a node, whatever its id: rows of one id (or
+without id) with different texts are told apart, equal rows get equal results. A
+null id is smaller than all others. Very long texts are read whole. An empty
+table gives an empty result. Only the id and text columns are read, so no other
+column can clash; ``keep_first`` passes all columns on as they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +50,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import RollingHash, flat_bytes, mixed, row_steps, written
+from ballast.llm.common import RollingHash, discard, flat_bytes, mixed, row_steps, unused, written
 
 SKETCH = 64
-PROBES = 24
+SLACK = 0.35
 MEET = 3
 HOT = 32
-LEAST_COLD = 18
-SLACK = 0.45
 NO_ID = -(2**63)
 SALT_ROWS = 64
 
@@ -88,12 +99,12 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray, width: int, roll: Rollin
 
 
 def sketches(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
-    """A row for each row of ``docs``: doc, n (set size), class (null: empty set), sketch."""
+    """A row for each row of ``docs``: doc, mark (a hash of the text), n (set size), class (null: empty set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash(5)
         for b in batches:
-            flat, offsets = flat_bytes(b.column(1))
+            flat, offsets = flat_bytes(b.column(2))
             for i, j in row_steps(offsets):
                 row, h = shingle_sets(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, roll)
                 n = np.bincount(row, minlength=j - i)
@@ -103,9 +114,13 @@ def sketches(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
                 short = np.arange(len(h)) - np.repeat(begin, n) < SKETCH
                 kept = np.minimum(n, SKETCH)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(h[short], pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(name, pa.int64(), mask=n == 0), lists], names=["doc", "n", "class", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(name, pa.int64(), mask=n == 0), lists], names=["doc", "mark", "n", "class", "sketch"])
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, class long, sketch array<long>")
+    return _keyed(docs, id_col, text).mapInArrow(run, "doc long, mark long, n long, class long, sketch array<long>")
+
+
+def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -117,19 +132,26 @@ def components(edges: DataFrame) -> DataFrame:
         new = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("was"))
         up = label.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = written(new.join(up, "label").select("node", F.least("label", "up").alias("label"), "was"), "labels")
+        discard(label)
         if not new.filter("label <> was").limit(1).count():
-            return new.select("node", "label")
-        label = new.drop("was")
+            discard(both)
+            return new
+        label = new
+
+
+def _alike(a: str, b: str, threshold: float):
+    """Sizes that allow the threshold."""
+    return (F.col(a) >= threshold * F.col(b) - 1e-9) & (F.col(b) >= threshold * F.col(a) - 1e-9)
 
 
 def _passes_sketch(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose overlap in the union's sketch allows the threshold."""
     a = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(a, "a").join(b, "b").filter((F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9))
+    near = pairs.join(a, "a").join(b, "b").filter(_alike("na", "nb", threshold))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
     shared = F.transform(F.array(union), lambda u: F.size(F.array_intersect(F.array_intersect(u, F.col("sa")), F.col("sb"))) / F.size(u))[0]
-    return near.filter(shared >= threshold - (0.8 - SLACK)).select("a", "b")
+    return near.filter(shared >= threshold - SLACK).select("a", "b")
 
 
 def _sets_of(batch_text: pa.Array, width: int, roll: RollingHash) -> list[np.ndarray]:
@@ -141,13 +163,6 @@ def _sets_of(batch_text: pa.Array, width: int, roll: RollingHash) -> list[np.nda
     return out
 
 
-def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(class, text) of the given classes, from the row of their smallest document."""
-    who = nodes.select("class").distinct().join(classes.select("class", "rep"), "class")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rep"), F.col(text).alias("text"))
-    return rows.join(who, "rep").select("class", "text")
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """Pairs whose full sets reach the threshold; a's text goes once to each ``SALT_ROWS`` of its pairs."""
     percent = round(threshold * 100)
@@ -174,8 +189,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _own_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """(class, own): how many of a class's shingles no other of these classes has."""
+def _shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(class, h) of the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash(5)
@@ -183,78 +198,106 @@ def _own_shingles(texts: DataFrame, width: int) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 sets = _sets_of(b.column(1).slice(i, 256), width, roll)
                 names = np.repeat(np.asarray(b.column(0).slice(i, 256)), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets), pa.int64()), pa.array(names, pa.int64())], names=["h", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], names=["class", "h"])
 
-    # A shingle of one class only has that class as its smallest and largest owner.
-    owners = texts.dropDuplicates(["class"]).mapInArrow(run, "h long, class long").groupBy("h").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("c"))
-    return owners.filter("c = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+    return texts.select("class", "text").mapInArrow(run, "class long, h long")
 
 
-def group(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of ``docs``: doc (null id: the smallest long), n_shingles, component (smallest doc reachable)."""
-    rows = written(sketches(docs, width, id_col, text), "sketches")
-    named = rows.filter("n > 0").groupBy("class").agg(F.min("doc").alias("rep"))
-    classes = written(rows.filter("n > 0").join(named.withColumnRenamed("rep", "doc"), ["class", "doc"]).dropDuplicates(["class"]).withColumnRenamed("doc", "rep"), "classes")
-
-    probes = classes.select("class", "n", F.explode(F.slice("sketch", 1, PROBES)).alias("v"))
-    sizes = probes.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+def _rarest_first(values: DataFrame, value: str, size, most) -> DataFrame:
+    """The rows (class, value, ...) whose value is among the ``most`` rarest of its class and in other classes too; adds ``c``, its number of classes, and ``met``, how many values of its class are in others."""
+    counts = values.groupBy(value).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = values.join(counts, value)
     of_class = Window.partitionBy("class")
-    filed = probes.join(sizes, "v").withColumns({"shared": F.count(F.lit(1)).over(of_class), "hot": F.sum((F.col("c") > HOT).cast("int")).over(of_class)})
-    cold = F.least("n", F.lit(PROBES)) - F.col("hot")
-    mostly_hot = F.when(F.col("n") > PROBES, cold < LEAST_COLD).otherwise(cold <= F.floor((1 - threshold) * F.col("n") + 1e-9))
-    filed = filed.filter((F.col("c") <= HOT) | mostly_hot)
-    pivots = filed.groupBy("v").agg(F.max_by("class", F.struct("shared", "class")).alias("pivot"))
-    lists = written(filed.join(pivots, "v"), "lists")
-
-    stars = lists.filter("class <> pivot").groupBy(F.col("pivot").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= MEET).select("a", "b")
+    ranked = met.withColumns({"met": F.count(F.lit(1)).over(of_class), "_rank": F.row_number().over(of_class.orderBy("c", value))})
+    return ranked.filter(size - F.col("met") + F.col("_rank") <= most).drop("_rank")
+
+
+def _hot_pairs(hot: DataFrame, texts: DataFrame, width: int, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(pairs, the tables they are read from): candidate pairs of different groups among the classes (class, label, n) of hot lists, by their full sets."""
+    least = F.ceil(threshold * F.col("n") - 1e-9)
+    shingles = written(_shingles(texts.join(hot.select("class"), "class"), width), "hot-sets")
+    sets = shingles.join(hot, "class")
+    counts = sets.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    filed = written(_rarest_first(sets, "h", F.col("n"), F.col("n") - least + 1), "hot-filed")
+
+    end = lambda df, x: df.select("key", F.col("class").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
+    cold = filed.filter(F.col("c") <= HOT).withColumnRenamed("h", "key")
+    open_ = cold.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
+    cold = cold.join(open_, "key")
+    few = end(cold, "a").join(end(cold, "b"), "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike("na", "nb", threshold)).select("a", "b")
+
+    # Classes with hot shingles enough for a link by these alone; equal sets of hot shingles have equal names.
+    core = sets.join(counts.filter(F.col("c") > HOT), "h").groupBy("class").agg(F.count(F.lit(1)).alias("heat"), F.bit_xor(F.xxhash64("h")).alias("name"), F.first("n").alias("n"), F.first("label").alias("label"))
+    core = written(core.filter(F.col("heat") >= least), "hot-core")
+    smallest = core.groupBy("name").agg(F.min_by("class", F.struct("n", "class")).alias("class")).select("class")
+    lists = filed.filter(F.col("c") > HOT).select("h", "class").join(core.select("class"), "class")
+    keys = lists.groupBy("h").agg(F.min("class").alias("key"))
+    lists = written(lists.join(keys, "h").select("key", "class").distinct().join(core, "class"), "hot-lists")
+    x = lists.select("key", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("heat").alias("ha"))
+    y = lists.join(smallest, "class").select("key", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("heat").alias("hb"))
+    reach = F.least("ha", "hb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9
+    many = x.join(y, "key").filter((F.col("la") != F.col("lb")) & reach & _alike("na", "nb", threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return few.union(many), [shingles, filed, core, lists]
+
+
+def _joined(docs: DataFrame, width: int, threshold: float, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(Rows as of ``sketches``; for each class: rep, its smallest (doc, mark), label, and first, the smallest rep of its group)."""
+    rows = written(sketches(docs, width, id_col, text), "sketches")
+    classes = rows.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc", "mark")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes, "classes")
+
+    # Different sets of this size or less can't be linked, as one shingle more or less takes them below the threshold.
+    least_set = math.ceil(threshold / (1 - threshold) - 1e-9)
+    meet = min(MEET, least_set)
+    size = F.least("n", F.lit(SKETCH))
+    shared = F.when(F.col("n") > SKETCH, F.lit(int((threshold - SLACK) * SKETCH + 1e-9))).otherwise(F.ceil(threshold * F.col("n") - 1e-9))
+    values = classes.filter(F.col("n") >= least_set).select("class", "n", F.explode("sketch").alias("v"))
+    filed = written(_rarest_first(values, "v", size, size - shared + meet), "filed")
+    pivots = filed.groupBy("v").agg(F.max_by("class", F.struct("met", "class")).alias("pivot"))
+
+    stars = filed.join(pivots, "v").filter("class <> pivot").groupBy(F.col("pivot").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= meet).select("a", "b")
     stars = written(_passes_sketch(stars, classes, threshold), "stars")
-    nodes = stars.select(F.col("a").alias("class")).union(stars.select("b"))
-    links = written(_confirmed(stars, written(_texts(docs, classes, nodes, id_col, text), "texts"), width, threshold), "confirmed")
-    label = components(links).withColumnRenamed("node", "class")
-    lists = written(lists.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")), "lists")
-
-    # Lists of bounded size: all pairs of different groups that may share MEET values.
-    x = lists.filter(F.col("c") <= HOT).select("v", F.col("class").alias("a"), F.col("label").alias("la"), F.col("hot").alias("ha"), F.col("n").alias("na"))
-    y = lists.filter(F.col("c") <= HOT).select("v", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("hot").alias("hb"), F.col("n").alias("nb"))
-    alike = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-    rest = x.join(y, "v").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike)
-    rest = rest.groupBy("a", "b").agg((F.count(F.lit(1)) + F.first(F.least("ha", "hb"))).alias("m")).filter(F.col("m") >= MEET).select("a", "b")
-
-    # Hotter lists, by their pivots: only members that could reach the threshold with someone.
-    hot = lists.filter(F.col("c") > HOT).select("pivot", "class", "label", "n").distinct()
-    open_ = hot.groupBy("pivot").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("pivot")
-    hot = written(hot.join(open_, "pivot"), "hot")
-    own = _own_shingles(_texts(docs, classes, hot, id_col, text), width)
-    alive = hot.join(own, "class", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).filter(F.col("most") >= threshold * F.col("n") - 1e-9).drop("own")
-    alive = written(alive, "alive")
-    main = alive.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("pivot").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    alive = alive.join(main, "pivot")
-    x = alive.filter("label <> main").select("pivot", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("most").alias("ma"))
-    y = alive.select("pivot", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("most").alias("mb"), "main")
-    reach = F.least("ma", "mb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9
-    late = x.join(y, "pivot").filter((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & reach & alike)
-    late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    rest = written(_passes_sketch(rest.union(late).distinct(), classes, threshold), "rest")
-    nodes = rest.select(F.col("a").alias("class")).union(rest.select("b"))
-    more = _confirmed(rest, written(_texts(docs, classes, nodes, id_col, text), "texts"), width, threshold)
-    # The second round joins the first round's groups.
-    label = components(links.union(more)).withColumnRenamed("node", "class")
-
+    # Texts of all classes that have lists, by class and once each: the one time that texts are shuffled from the whole input.
+    who = filed.select("class").distinct().join(classes.select("class", "rep.doc", "rep.mark"), "class")
+    texts = written(_keyed(docs, id_col, text).join(who, ["doc", "mark"]).dropDuplicates(["doc", "mark"]).select("class", "text"), "texts")
+    links = written(_confirmed(stars, texts, width, threshold), "confirmed")
+    first_label = components(links)
+    filed_all, filed = filed, filed.join(first_label.withColumnRenamed("node", "class").drop("was"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    open_ = filed.groupBy("v").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("v")
+    lists = written(filed.join(open_, "v"), "lists")
+
+    end = lambda x: lists.filter(F.col("c") <= HOT).select("v", F.col("class").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
+    cold = end("a").join(end("b"), "v").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike("na", "nb", threshold))
+    cold = cold.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= meet).select("a", "b")
+    hot = written(lists.filter(F.col("c") > HOT).select("class", "label", "n").distinct(), "hot")
+    hot_pairs, spent = _hot_pairs(hot, texts, width, threshold)
+    rest = written(_passes_sketch(cold.union(hot_pairs).distinct(), classes, threshold), "rest")
+    more = _confirmed(rest, texts, width, threshold)
+
+    label = components(links.union(more)).select(F.col("node").alias("class"), "label")
+    discard(filed_all, stars, texts, links, first_label, lists, hot, rest, *spent)
     told = classes.select("class", "rep").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    told = told.join(told.groupBy("label").agg(F.min("rep").alias("component")), "label").select("class", "component")
-    return rows.select("doc", "n", "class").join(told, "class", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    told = told.join(told.groupBy("label").agg(F.min("rep").alias("first")), "label")
+    return rows, told
+
+
+def group(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row of ``docs``: doc (null id: the smallest long), n_shingles, component (smallest doc reachable)."""
+    rows, told = _joined(docs, width, threshold, id_col, text)
+    return rows.select("doc", "n", "class").join(told.select("class", "first.doc").withColumnRenamed("doc", "component"), "class", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each group the rows with its smallest id stay, equal ones once.
+    """``docs`` without near copies: of each group one row stays, with its smallest id.
 
-    Rows without words are in no group and all stay once for each id.
+    Rows without words are in no group and all stay.
     """
-    found = group(docs, width, threshold, id_col, text)
-    kept = found.filter("doc = component").select(F.col("doc").alias("_kept")).distinct()
-    rows = docs.withColumn("_kept", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    return rows.join(kept, "_kept", "left_semi").dropDuplicates(["_kept", text]).drop("_kept")
+    _, told = _joined(docs, width, threshold, id_col, text)
+    doc, mark = unused(docs.columns, "_doc", "_mark")
+    kept = told.filter(F.col("rep") == F.col("first")).select(F.col("rep.doc").alias(doc), F.col("rep.mark").alias(mark))
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(worded).withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), mark: F.xxhash64(text)})
+    return keyed.join(kept, [doc, mark]).dropDuplicates([doc, mark]).select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -264,19 +307,18 @@ def op2(spark, sf_dir: str) -> DataFrame:
     return found.select(real("doc").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
 
 
-def brute_force(rows: list[tuple[int, str | None]], width: int = 4, percent: int = 80) -> dict[int, tuple[int, int]]:
-    """doc -> (set size, smallest doc reachable), over all pairs that share a shingle (for tests)."""
+def brute_force(rows: list[tuple[int | None, str | None]], width: int = 4, percent: int = 80) -> list[tuple[int | None, int, int | None]]:
+    """For each row (doc, set size, smallest doc reachable), over all pairs that share a shingle (for tests)."""
     import re
 
-    sets: dict[int, set] = {}
+    sets: list[set] = []
     where: dict[tuple, list[int]] = {}
-    for doc, text in rows:
+    for k, (_, text) in enumerate(rows):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        s = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-        sets[doc] = s
-        for g in s:
-            where.setdefault(g, []).append(doc)
-    up = {d: d for d in sets}
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+        for g in sets[-1]:
+            where.setdefault(g, []).append(k)
+    up = list(range(len(rows)))
 
     def find(d):
         while up[d] != d:
@@ -284,13 +326,16 @@ def brute_force(rows: list[tuple[int, str | None]], width: int = 4, percent: int
         return d
 
     done = set()
-    for docs in where.values():
-        for i, a in enumerate(docs):
-            for b in docs[:i]:
+    for nodes in where.values():
+        for i, a in enumerate(nodes):
+            for b in nodes[:i]:
                 if (a, b) not in done:
                     done.add((a, b))
                     k = len(sets[a] & sets[b])
                     if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
-                        p, q = find(a), find(b)
-                        up[max(p, q)] = min(p, q)
-    return {d: (len(s), find(d)) for d, s in sets.items()}
+                        up[find(a)] = find(b)
+    first: dict[int, int] = {}
+    for k, (doc, _) in enumerate(rows):
+        first[find(k)] = min(first.get(find(k), 2**63), NO_ID if doc is None else doc)
+    real = lambda d: None if d == NO_ID else d
+    return [(doc, len(sets[k]), real(first[find(k)])) for k, (doc, _) in enumerate(rows)]

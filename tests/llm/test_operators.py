@@ -7,7 +7,7 @@ import zlib
 import pytest
 
 from ballast.llm import decontam, html_text, huffman, mixing, neardup, quality, secrets, sharding, substrings, warc
-from tests.llm.helpers import hard_documents, read, rows_of, tables
+from tests.llm.helpers import hard_documents, prose, read, rows_of, tables
 
 
 @pytest.fixture(scope="module", params=["generated", "hard"])
@@ -57,37 +57,70 @@ def test_op1_rejects_foreign_distributions(spark):
 
 
 def test_op2_components(spark, folder):
-    docs = [(d["doc_id"], d["text"]) for d in read(folder, "documents") if d["doc_id"] is not None]
-    want = neardup.brute_force(docs)
-    got = [tuple(r) for r in neardup.op2(spark, folder).collect() if r["doc_id"] is not None]
-    assert sorted({(d, n, c, d == c) for d, (n, c) in want.items()}) == sorted(set(got))
-    assert len(got) == len(docs)
+    """Null ids and repeated ids are nodes like any others."""
+    docs = [(d["doc_id"], d["text"]) for d in read(folder, "documents")]
+    want = [(d, n, c, d == c) for d, n, c in neardup.brute_force(docs)]
+    assert rows_of(neardup.op2(spark, folder)) == sorted(want, key=key)
+
+
+def test_op2_rows_without_id_and_with_one_id(spark):
+    """Rows of one id, or of none, with different texts are told apart, and linked by their own texts."""
+    texts = [prose(i, 40) for i in range(12)]
+    rows = [(None, t) for t in texts] + [(5, texts[3] + " tail"), (5, texts[3] + " tail"), (8, texts[1].upper()), (8, texts[7] + " end"), (8, prose(99, 30)), (9, prose(99, 30) + " x")]
+    want = neardup.brute_force(rows, 5)
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, doc int")
+    got = [(None if x["doc"] == neardup.NO_ID else x["doc"], x["n_shingles"], None if x["component"] == neardup.NO_ID else x["component"]) for x in neardup.group(df).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    kept = neardup.keep_first(df).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=key) == sorted([(None, t) for t in texts] + [(8, prose(99, 30))], key=key)
 
 
 def test_op2_hot_lists(spark):
-    """Many near copies that share most shingles, and unlinked documents that share a frequent passage."""
+    """Many near copies that share most shingles; unlinked and linked documents around frequent passages."""
     import random
 
     r = random.Random(5)
     base = [f"b{i}" for i in range(80)]
     common = [f"c{i}" for i in range(60)]
+    blocks = [[f"d{k}_{i}" for i in range(25)] for k in range(6)]
     rows = []
     for i in range(150):
         w = list(base)
         w[r.randrange(80)] = f"x{i}"
         rows.append((i, " ".join(w)))
     for i in range(150, 300):
-        rows.append((i, " ".join(common + [f"u{i}_{j}" for j in range(r.randrange(5, 60))])))
+        rows.append((i, " ".join(common + [f"u{i}_{j}" for j in range(r.randrange(2, 40))])))
+    for i in range(300, 420):  # nothing but frequent blocks, in some order
+        rows.append((i, " ".join(w for b in r.sample(blocks, r.randrange(2, 6)) for w in b)))
+    for i in range(420, 500):
+        rows.append((i, rows[r.randrange(150, 420)][1] + f" t{i} t{i + 1}"))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = neardup.brute_force(rows, 5)
-    got = {x["doc"]: (x["n_shingles"], x["component"]) for x in neardup.group(df).collect()}
-    assert got == want
+    for width in (4, 5):
+        want = neardup.brute_force(rows, width)
+        got = [(x["doc"], x["n_shingles"], x["component"]) for x in neardup.group(df, width).collect()]
+        assert sorted(got) == sorted(want)
+        assert 20 < len({c for _, _, c in want}) < 480
+
+
+def test_op2_lists_of_any_size_give_the_same(spark, monkeypatch):
+    """Where all lists count as hot, or none, the links are the same."""
+    import random
+
+    r = random.Random(8)
+    rows = [(i, prose(r.randrange(60), 90) if i % 3 else " ".join(r.choice("abcde") for _ in range(50))) for i in range(200)]
+    rows = [(i, t + " " + " ".join(f"{i}_{j}" for j in range(r.randrange(8)))) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(neardup.brute_force(rows, 5))
+    for size in (1, 4, 1000):
+        monkeypatch.setattr(neardup, "HOT", size)
+        assert sorted((x["doc"], x["n_shingles"], x["component"]) for x in neardup.group(df).collect()) == want
 
 
 def test_op2_keep_first(spark):
-    rows = [(3, "a b c d e f g h i j", 1), (1, "A B C D E F G H I J", 2), (2, "other words here", 3), (2, "other words here", 4), (7, None, 5), (8, "", 6)]
-    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, extra int"))
-    assert sorted(x["doc_id"] for x in kept.collect()) == [1, 2, 7, 8]
+    rows = [(3, "a b c d e f g h i j", 1), (1, "A B C D E F G H I J", 2), (2, "other words here", 3), (2, "other words here", 4), (7, None, 5), (8, "", 6), (8, "", 7)]
+    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, _doc int"))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [1, 2, 7, 8, 8]
+    assert kept.columns == ["doc_id", "text", "_doc"]
 
 
 def test_op3_pages(spark, folder):

@@ -26,9 +26,11 @@ def expected(folder: str) -> set:
     got = con.execute(f"SELECT doc_id, kept FROM ({quality.SQL})").fetchall()
     good = {i for i, kept in got if kept}
     rows = [(d["doc_id"], d["text"]) for d in read(folder, "documents") if d["doc_id"] in good]
-    named = [(neardup.NO_ID if i is None else i, t) for i, t in rows]
-    first = {d for d, (_, c) in neardup.brute_force(named, 5).items() if d == c}
-    rows = [r for r, (i, _) in zip(rows, named) if i in first]
+    first = {}
+    for (i, t), (_, n, c) in zip(rows, neardup.brute_force(rows, 5)):
+        if i == c:
+            first[i, t] = 1
+    rows = list(first)
     windows = set()
     for b in read(folder, "benchmark"):
         w = words(b["text"])
