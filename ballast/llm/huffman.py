@@ -14,7 +14,10 @@ manifest, which Spark commits; files of lost attempts are never read.
 
 Defined results: null or empty text has the end id alone. Rows with the same
 document id follow each other, ordered by a hash of the text, and count as
-documents of their own. An empty table gives no file and an empty result.
+documents of their own; null ids come first. An empty table gives no file and an
+empty result. Very long texts are encoded whole; a file is closed once it holds
+``FILE_TOKENS``, so a task's memory is bounded by that and its longest text. Only
+the id and text columns are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import flat_bytes, new_path, open_fs, written
+from ballast.llm.common import discard, flat_bytes, new_path, open_fs, row_steps, written
 
 MAGIC = b"BHUF0001"
 BLOCK = 2048
@@ -41,18 +46,49 @@ LIMIT = 18
 LANES = 1024
 END_ID = 0
 CACHE_WORDS = 300_000
+FILE_TOKENS = 8 << 20
 
 _UNSAFE = re.compile(r" [\s\x1c-\x1f\x85]")
 
+#: How a byte-level pre-tokenizer splits a text of Latin letters (up to U+024F).
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+#: Such texts, without the control characters and spaces on which libraries differ.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]*")
+
+#: Fixed value: printable characters stand for themselves in a byte-level vocabulary, the other bytes for those from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
+class _Recent(dict):
+    """A bounded cache: when it is full, what was asked for since it was last full is kept for another round."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        found = self.before.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
 
 class Encoder:
     """Ids of whole texts as little-endian bytes: two for each id if the vocabulary allows it, else four.
 
-    In a byte-level vocabulary that splits before a space followed by something
-    else than white space, a text's ids are those of its pieces at such spaces;
-    known pieces come from a bounded cache. Any other text or vocabulary goes
-    through the library whole. A special token spelled out in a text is its one
-    id, as the library has it by default.
+    In a byte-level vocabulary a text's ids are those of the parts that the
+    pre-tokenizer splits it into. For Latin texts these parts are found here,
+    and those in no cache go through the library's model. Other texts are cut at
+    spaces followed by something else than white space, where the pre-tokenizer
+    splits too, and pieces in no cache go through the whole library. Any other
+    text or vocabulary goes through it whole. Caches are bounded. A special token
+    spelled out in a text is its one id, as the library has it by default.
     """
 
     def __init__(self, path: str):
@@ -63,36 +99,36 @@ class Encoder:
         with open(path) as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
+        added = spec.get("added_tokens") or []
         self.by_piece = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
         # A piece ends before a space: no added token may hold one, take one in, or ask what stands beside it.
-        self.by_piece = self.by_piece and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens") or [])
+        self.by_piece = self.by_piece and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self.added = [t["content"] for t in added]
+        self.by_part = self.by_piece and sys.byteorder == "little" and (spec.get("model") or {}).get("type") == "BPE" and not spec["model"].get("dropout")
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
+        self.kind, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
+        self.parts = _Recent(self._part, CACHE_WORDS)
+        self.pieces = _Recent(lambda w: self._piece(f" {w}"), CACHE_WORDS)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _piece(self, text: str) -> bytes:
+        if self.by_part and _PLAIN.fullmatch(text) and not any(x in text for x in self.added):
+            return b"".join(map(self.parts.__getitem__, _SPLIT.findall(text)))
+        return self._whole(text)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_piece or _UNSAFE.search(text):
-            return self._whole([text])[0]
+        if not self.by_piece or _UNSAFE.search(text) or _PLAIN.fullmatch(text):
+            return self._piece(text)
         first, *rest = text.split(" ")
-        if not rest:
-            return self._whole([first])[0]
-        cache = self.cache
-        try:
-            return self._whole([first])[0] + b"".join(map(cache.__getitem__, rest))
-        except KeyError:
-            pass
-        missing = [w for w in dict.fromkeys(rest) if w not in cache]
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            missing = list(dict.fromkeys(rest))
-        got = self._whole([first, *[f" {w}" for w in missing]])
-        cache.update(zip(missing, got[1:]))
-        return got[0] + b"".join(map(cache.__getitem__, rest))
+        return self._piece(first) + b"".join(map(self.pieces.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -179,7 +215,6 @@ class Code:
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> DataFrame:
     """A row for each row of ``docs``: id, tie (orders rows of one id), ids with the end id; written once."""
-    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -189,9 +224,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["id", "tie", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    path = new_path(spark, "encoded")
-    rows.mapInArrow(run, "id long, tie long, ids binary").write.option("compression", "zstd").parquet(path)
-    return spark.read.schema("id long, tie long, ids binary").parquet(path)
+    return written(rows.mapInArrow(run, "id long, tie long, ids binary"), "encoded")
 
 
 def count_ids(rows: DataFrame, size: int, kind: str) -> np.ndarray:
@@ -248,7 +281,7 @@ class _Writer:
 
 
 def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
-    """Write the corpus; gives the folder and the manifest (part, file, docs, tokens, bytes)."""
+    """Write the corpus; gives the folder and the manifest (part, seq, file, docs, tokens, bytes)."""
     spark = docs.sparkSession
     size, kind = encoder(tokenizer).size, encoder(tokenizer).kind
     rows = encoded(docs, tokenizer, id_col, text)
@@ -259,34 +292,42 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "
     with fs.open_output_stream(f"{top}/codebook") as f:
         f.write(lengths.astype("u1").tobytes())
 
+    item = np.dtype(kind).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        for b in batches:
-            if b.num_rows:
-                out = out or _Writer(Code(lengths))
-                flat, offsets = flat_bytes(b.column(1))
-                out.add(b.column(0).to_pylist(), (np.diff(offsets) // np.dtype(kind).itemsize).tolist(), flat.view(kind))
-        if out is None:
-            return
-        part = TaskContext.get().partitionId()
-        name = f"part-{part:06d}-{uuid.uuid4().hex}"
         fs, top = open_fs(folder)
-        size = 0
-        with fs.open_output_stream(f"{top}/{name}.tmp") as f:
-            for chunk in out.chunks():
-                size += len(chunk)
-                f.write(chunk)
-        fs.move(f"{top}/{name}.tmp", f"{top}/{name}.huf")
-        yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{name}.huf", "docs": len(out.docs), "tokens": out.tokens, "bytes": size}])
+        code, part, seq, out = Code(lengths), TaskContext.get().partitionId(), 0, None
+
+        def close() -> pa.RecordBatch:
+            name, size = f"part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}", 0
+            with fs.open_output_stream(f"{top}/{name}.tmp") as f:
+                for chunk in out.chunks():
+                    size += len(chunk)
+                    f.write(chunk)
+            fs.move(f"{top}/{name}.tmp", f"{top}/{name}.huf")
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": f"{name}.huf", "docs": len(out.docs), "tokens": out.tokens, "bytes": size}])
+
+        for b in batches:
+            flat, offsets = flat_bytes(b.column(1))
+            for i, j in row_steps(offsets, FILE_TOKENS * item // 4):
+                out = out or _Writer(code)
+                out.add(b.column(0).slice(i, j - i).to_pylist(), (np.diff(offsets[i : j + 1]) // item).tolist(), flat[offsets[i] : offsets[j]].view(kind))
+                if out.tokens >= FILE_TOKENS:
+                    yield close()
+                    seq, out = seq + 1, None
+        if out is not None:
+            yield close()
 
     parts = rows.repartitionByRange("id").sortWithinPartitions("id", "tie").select("id", "ids")
-    return folder, written(parts.mapInArrow(run, "part long, file string, docs long, tokens long, bytes long"), "ids-manifest")
+    manifest = written(parts.mapInArrow(run, "part long, seq long, file string, docs long, tokens long, bytes long"), "ids-manifest")
+    discard(rows)
+    return folder, manifest
 
 
 def read(folder: str, manifest: DataFrame) -> DataFrame:
     """Documents back from the files: doc_id, start, n_tokens, ids_crc32."""
     n = max(1, manifest.count())  # files, not rows
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("file", "start").repartition(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -193,7 +193,6 @@ def test_op4_round_trip(spark, folder):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tok.encode_special_tokens = True
     docs = [d for d in read(folder, "documents")]
     got = {}
     for r in huffman.op4(spark, folder).collect():
@@ -224,6 +223,36 @@ def test_op4_special_token_in_a_text(spark, tmp_path):
     assert 50256 in tok.encode(texts[1], add_special_tokens=False).ids
 
 
+def test_op4_encoder_is_the_library(monkeypatch):
+    """Any text, through caches of any size, gives the library's ids."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tok, r = Tokenizer.from_file(path), random.Random(4)
+    chars = ["a", "B", "é", "ß", "1", "²", "ª", " ", " ", "\n", "\t", "\r", "'", "s", "'ll", ".", "#", "\xa0", "\x85", "\x1c", "\u2003", "\u200b", "日", "ا", "🙂", "\u0301", "<|endoftext|>", "\x00", "ǆ", "Ā"]
+    texts = ["".join(r.choice(chars) for _ in range(r.randrange(40))) for _ in range(3000)] + ["don't we'll  it's\n\n  x   ", "  ", " ", "\n", "a " * 500]
+    for most in (3, 200_000):
+        monkeypatch.setattr(huffman, "CACHE_WORDS", most)
+        enc = huffman.Encoder(path)
+        for t in texts:
+            assert enc.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, enc.kind).tobytes(), t
+
+
+def test_op4_small_files(spark, folder, monkeypatch):
+    """Files that roll after a few tokens give the same result."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = rows_of(huffman.op4(spark, folder))
+    monkeypatch.setattr(huffman, "FILE_TOKENS", 500)
+    where, manifest = huffman.write(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert manifest.count() > 8 and rows_of(huffman.read(where, manifest)) == want
+
+
 def test_op4_code_lengths():
     import numpy as np
 
