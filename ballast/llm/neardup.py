@@ -11,8 +11,8 @@ shingles, so sets under four have no link. Of such a pair, at least 0.8 -
    first. If two sketches share s values, ``MEET`` of these are in each one's
    first (size - s + ``MEET``) values. Only those are filed; values of one sketch
    alone take part in the order but in no list.
-2. Each list compares its members to a pivot; pairs that meet at one pivot in
-   ``MEET`` lists are candidates, and the links found make groups.
+2. Each list compares its members to ``PIVOTS`` of them; pairs that meet at one
+   pivot in ``MEET`` lists are candidates, and the links found make groups.
 3. Lists of up to ``HOT`` members give the pairs of different groups that meet
    in ``MEET`` lists. This is complete but for pairs that share a list of more
    members (a hot one).
@@ -20,14 +20,19 @@ shingles, so sets under four have no link. Of such a pair, at least 0.8 -
    done over full sets: all their shingles are counted, and the rarest
    (size - least overlap + 1) are filed, of which a link shares one. Shingles of
    up to ``HOT`` classes give all pairs. A link without such a shingle consists
-   of hot shingles: both ends have few others, and as both overlap through hot
-   shingles alone, an end linked with a member of a set of classes with equal
-   hot shingles is linked with its smallest member too. So every class is
-   compared to the smallest class for each set of hot shingles, not to all.
-5. Candidates pass if the overlap within the union's sketch isn't far below the
-   threshold (rejecting a link: below 1e-9), and are confirmed on the full sets,
-   computed again from the texts.
-
+   of hot shingles: both ends have few others, which bounds what they can share.
+   First, each list's member with the largest share of hot shingles is compared
+   to all, and groups are joined. Then, as such ends overlap through hot shingles
+   alone, an end linked with a member of a set of classes with equal hot shingles
+   is linked with its smallest member too: every class is compared to one class
+   for each set of hot shingles, not to all.
+5. Candidates of 2 and 3 pass if the overlap within the union's sketch isn't far
+   below the threshold (rejecting a link: below 1e-8), and are confirmed on the
+   full sets, computed again from the texts; those of 4 are confirmed on the full
+   sets at hand.
+
+What is left to pairs is bounded by lists of ``HOT`` and, for texts made of
+nothing but frequent passages, by how many different sets of these there are.
 No row leaves for the size of its list: the two sizes of list have different
 ways to the same links. Links make components by repeated minimum labels with
 pointer jumping, each round written to the shared folder.
@@ -56,6 +61,7 @@ SKETCH = 64
 SLACK = 0.35
 MEET = 3
 HOT = 32
+PIVOTS = 3
 NO_ID = -(2**63)
 SALT_ROWS = 64
 
@@ -189,18 +195,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _shingles(texts: DataFrame, width: int) -> DataFrame:
-    """(class, h) of the full sets."""
+def _full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(class, hs): the hashes of all shingles, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash(5)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 sets = _sets_of(b.column(1).slice(i, 256), width, roll)
-                names = np.repeat(np.asarray(b.column(0).slice(i, 256)), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], names=["class", "h"])
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], names=["class", "hs"])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, hs array<long>")
 
-    return texts.select("class", "text").mapInArrow(run, "class long, h long")
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose full sets reach the threshold, for classes whose sets stand in a table."""
+    percent = round(threshold * 100)
+    a, b = (sets.select(F.col("class").alias(x), F.col("hs").alias(f"h{x}")) for x in "ab")
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
 def _rarest_first(values: DataFrame, value: str, size, most) -> DataFrame:
@@ -212,11 +226,23 @@ def _rarest_first(values: DataFrame, value: str, size, most) -> DataFrame:
     return ranked.filter(size - F.col("met") + F.col("_rank") <= most).drop("_rank")
 
 
-def _hot_pairs(hot: DataFrame, texts: DataFrame, width: int, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
-    """(pairs, the tables they are read from): candidate pairs of different groups among the classes (class, label, n) of hot lists, by their full sets."""
+def _stars(lists: DataFrame, pivots: int, meet: int) -> DataFrame:
+    """Pairs of a member and a pivot that meet in ``meet`` lists or more; each list has up to ``pivots`` of them.
+
+    A list's pivots are the first in so many orders: class names are hashes, and each constant shuffles them anew.
+    """
+    orders = [int(x) for x in np.random.default_rng(pivots).integers(0, 2**63 - 1, pivots)]
+    first = lists.groupBy("v").agg(*[F.min(F.col("class").bitwiseXOR(F.lit(x))).alias(f"p{k}") for k, x in enumerate(orders)])
+    first = first.select("v", F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(orders)])).alias("pivots"))
+    met = lists.join(first, "v").select("class", F.explode("pivots").alias("pivot")).filter("class <> pivot").groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= meet)
+    return met.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+
+
+def _hot_links(hot: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links of different groups among the classes (class, label, n) of hot lists, by their full sets."""
     least = F.ceil(threshold * F.col("n") - 1e-9)
-    shingles = written(_shingles(texts.join(hot.select("class"), "class"), width), "hot-sets")
-    sets = shingles.join(hot, "class")
+    full = written(_full_sets(texts.join(hot.select("class"), "class"), width), "hot-sets")
+    sets = full.select("class", F.explode("hs").alias("h")).join(hot, "class")
     counts = sets.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     filed = written(_rarest_first(sets, "h", F.col("n"), F.col("n") - least + 1), "hot-filed")
 
@@ -229,15 +255,28 @@ def _hot_pairs(hot: DataFrame, texts: DataFrame, width: int, threshold: float) -
     # Classes with hot shingles enough for a link by these alone; equal sets of hot shingles have equal names.
     core = sets.join(counts.filter(F.col("c") > HOT), "h").groupBy("class").agg(F.count(F.lit(1)).alias("heat"), F.bit_xor(F.xxhash64("h")).alias("name"), F.first("n").alias("n"), F.first("label").alias("label"))
     core = written(core.filter(F.col("heat") >= least), "hot-core")
-    smallest = core.groupBy("name").agg(F.min_by("class", F.struct("n", "class")).alias("class")).select("class")
+    smallest = core.groupBy("name").agg(F.min_by("class", F.struct("n", "class")).alias("class"))
     lists = filed.filter(F.col("c") > HOT).select("h", "class").join(core.select("class"), "class")
     keys = lists.groupBy("h").agg(F.min("class").alias("key"))
-    lists = written(lists.join(keys, "h").select("key", "class").distinct().join(core, "class"), "hot-lists")
-    x = lists.select("key", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("heat").alias("ha"))
-    y = lists.join(smallest, "class").select("key", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("heat").alias("hb"))
-    reach = F.least("ha", "hb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9
-    many = x.join(y, "key").filter((F.col("la") != F.col("lb")) & reach & _alike("na", "nb", threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return few.union(many), [shingles, filed, core, lists]
+    lists = written(lists.join(keys, "h").select("key", "class").distinct().join(core.drop("label"), "class").join(smallest.select("class", F.lit(True).alias("chief")), "class", "left"), "hot-lists")
+
+    def pairs(label: DataFrame, ends: DataFrame) -> DataFrame:
+        """Members of a list with its ``ends``, of other groups, whose hot shingles allow a link."""
+        x = lists.join(label, "class").select("key", F.col("class").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("heat").alias("hx"))
+        y = ends.join(label, "class").select("key", F.col("class").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("heat").alias("hy"))
+        reach = F.least("hx", "hy") * (1 + threshold) >= threshold * (F.col("nx") + F.col("ny")) - 1e-9
+        return x.join(y, "key").filter((F.col("lx") != F.col("ly")) & reach & _alike("nx", "ny", threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    # Each list's member with the largest share of hot shingles first, as most of the list is nearest to it.
+    warm = lists.groupBy("key").agg(F.max_by(F.struct("class", "n", "heat"), F.struct(F.col("heat") / F.col("n"), "class")).alias("top")).select("key", "top.class", "top.n", "top.heat")
+    near = written(_linked(few.union(pairs(core.select("class", "label"), warm)).distinct(), full, threshold), "hot-near")
+    of = core.select("class", F.col("label").alias("was"))
+    edges = near.join(of.withColumnRenamed("class", "a"), "a").withColumnRenamed("was", "x").join(of.withColumnRenamed("class", "b"), "b").select(F.col("x").alias("a"), F.col("was").alias("b"))
+    up = components(edges)
+    label = of.join(up.select(F.col("node").alias("was"), "label"), "was", "left").select("class", F.coalesce("label", "was").alias("label"))
+    found = written(near.union(_linked(pairs(label, lists.filter("chief")), full, threshold)), "hot-links")
+    discard(full, filed, core, lists, near, up)
+    return found
 
 
 def _joined(docs: DataFrame, width: int, threshold: float, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -253,29 +292,26 @@ def _joined(docs: DataFrame, width: int, threshold: float, id_col: str, text: st
     shared = F.when(F.col("n") > SKETCH, F.lit(int((threshold - SLACK) * SKETCH + 1e-9))).otherwise(F.ceil(threshold * F.col("n") - 1e-9))
     values = classes.filter(F.col("n") >= least_set).select("class", "n", F.explode("sketch").alias("v"))
     filed = written(_rarest_first(values, "v", size, size - shared + meet), "filed")
-    pivots = filed.groupBy("v").agg(F.max_by("class", F.struct("met", "class")).alias("pivot"))
-
-    stars = filed.join(pivots, "v").filter("class <> pivot").groupBy(F.col("pivot").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= meet).select("a", "b")
+    stars = _stars(filed, PIVOTS, meet)
     stars = written(_passes_sketch(stars, classes, threshold), "stars")
     # Texts of all classes that have lists, by class and once each: the one time that texts are shuffled from the whole input.
     who = filed.select("class").distinct().join(classes.select("class", "rep.doc", "rep.mark"), "class")
     texts = written(_keyed(docs, id_col, text).join(who, ["doc", "mark"]).dropDuplicates(["doc", "mark"]).select("class", "text"), "texts")
     links = written(_confirmed(stars, texts, width, threshold), "confirmed")
-    first_label = components(links)
-    filed_all, filed = filed, filed.join(first_label.withColumnRenamed("node", "class").drop("was"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    open_ = filed.groupBy("v").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("v")
-    lists = written(filed.join(open_, "v"), "lists")
+    label = components(links)
+    lists = filed.join(label.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    open_ = lists.groupBy("v").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("v")
+    lists = written(lists.join(open_, "v"), "lists")
 
     end = lambda x: lists.filter(F.col("c") <= HOT).select("v", F.col("class").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
     cold = end("a").join(end("b"), "v").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike("na", "nb", threshold))
     cold = cold.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= meet).select("a", "b")
     hot = written(lists.filter(F.col("c") > HOT).select("class", "label", "n").distinct(), "hot")
-    hot_pairs, spent = _hot_pairs(hot, texts, width, threshold)
-    rest = written(_passes_sketch(cold.union(hot_pairs).distinct(), classes, threshold), "rest")
-    more = _confirmed(rest, texts, width, threshold)
-
-    label = components(links.union(more)).select(F.col("node").alias("class"), "label")
-    discard(filed_all, stars, texts, links, first_label, lists, hot, rest, *spent)
+    hot_links = _hot_links(hot, texts, width, threshold)
+    rest = written(_passes_sketch(cold, classes, threshold), "rest")
+    more = written(links.union(hot_links).union(_confirmed(rest, texts, width, threshold)), "confirmed")
+    discard(filed, stars, texts, links, label, lists, hot, hot_links, rest)
+    label = components(more).select(F.col("node").alias("class"), "label")
     told = classes.select("class", "rep").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
     told = told.join(told.groupBy("label").agg(F.min("rep").alias("first")), "label")
     return rows, told
