@@ -1,29 +1,32 @@
 """Secret scan with one combined deterministic automaton (operator 6).
 
 The rules' regular expressions are parsed, joined into one nondeterministic
-automaton that may start a match at any byte, determinised by subset
-construction and minimised by partition refinement into one transition array
-over byte classes. All documents of a batch go through the array side by side,
-one byte at a step; a state's bits say which rules have just matched. Where a
-rule has matched in a document, its expression gives the exact spans.
-
-The base rules' spans are leftmost and non-overlapping for each kind, and
-matches that fail their length rule are dropped after matching. The automaton
-holds of each rule what every match must begin with (for hexadecimal runs and
-access keys the whole least length), so no match is missed and the product of
-the rules' length counters doesn't multiply its states.
-
-Defined results: null or empty text has no spans. Very long texts are scanned
-whole. Repeated rows give equal results.
+automaton, determinised by subset construction and minimised by partition
+refinement into one transition array over byte classes. All documents of a batch
+go through the array side by side, one byte at a step, all rules in that pass; a
+match may start at any byte, and a state's bits say which rules have just
+matched.
+
+Where a rule has matched in a document, the same construction without the free
+start gives the spans: from every byte at once for the rules' openings, which
+finds all starts, then from each start in turn for the whole rules, whose last
+accepting position is the end. A kind's spans are leftmost, longest and don't
+overlap, and matches that fail their length rule are dropped after matching.
+
+An opening holds what every match of a rule that isn't dropped must begin with
+(for hexadecimal runs and access keys the whole least length), so no match is
+missed and the product of the rules' length counters doesn't multiply states.
+
+Defined results: null or empty text has no spans, an empty table gives an empty
+result. Very long texts are scanned whole, in time linear in their length.
+Repeated rows give equal results. Extra columns pass through; a column named as
+the result is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
-from re import _constants as C
-from re import _parser as P
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +35,32 @@ from pyspark.sql import functions as F
 
 from ballast.llm.common import flat_bytes
 
-#: Fixed values: (kind, what the automaton looks for, the expression of its spans, group that must be long, its least length).
+#: Fixed values: (kind, opening, head, body, least length of the body).
 RULES = [
-    ("assign", r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 8),
-    ("access", r"AKIA[A-Z0-9]{12}", r"AKIA[A-Z0-9]+", 0, 16),
-    ("hex", r"[0-9a-f]{32}", r"[0-9a-f]+", 0, 32),
-    ("forge", r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]{20,}", 0, 24),
-    ("chat", r"xox[abprs]-[A-Za-z0-9-]", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    ("cloud", r"AIza[A-Za-z0-9_-]", r"AIza[A-Za-z0-9_-]{20,}", 0, 24),
-    ("pay", r"[sr]k_live_[A-Za-z0-9]", r"[sr]k_live_[A-Za-z0-9]{16,}", 0, 24),
-    ("jwt", r"eyJ[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
+    ("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?", r"[A-Za-z0-9+/_.=-]+", 8),
+    ("access", r"AKIA[A-Z0-9]{12}", r"", r"AKIA[A-Z0-9]+", 16),
+    ("hex", r"[0-9a-f]{32}", r"", r"[0-9a-f]+", 32),
+    ("forge", r"gh[pousr]_[A-Za-z0-9]", r"", r"gh[pousr]_[A-Za-z0-9]{20,}", 24),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]", r"", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15),
+    ("cloud", r"AIza[A-Za-z0-9_-]", r"", r"AIza[A-Za-z0-9_-]{20,}", 24),
+    ("pay", r"[sr]k_live_[A-Za-z0-9]", r"", r"[sr]k_live_[A-Za-z0-9]{16,}", 24),
+    ("jwt", r"eyJ[A-Za-z0-9_-]", r"", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\x20\t\n\r\f\v]*-----END [A-Z ]*PRIVATE KEY-----)?", 1),
 ]
 BASE = ("assign", "access", "hex")
 
 #: With fewer documents left in a step than this, the rest is scanned one by one.
 LEAST_LANES = 48
 
+_ESCAPES = {"t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
+ALL = frozenset(range(256))
+
 
 class _Nfa:
-    """Thompson automaton over bytes: moves (byte set, target) and free moves of each state."""
+    """Thompson automaton over bytes of an expression: moves (byte set, target) and free moves of each state.
+
+    Expressions hold ASCII literals, escapes, sets, groups (also ``(?i:``), branches and the repeats ``? * + {m} {m,} {m,n}``.
+    """
 
     def __init__(self):
         self.moves: list[list[tuple[frozenset, int]]] = []
@@ -62,76 +71,147 @@ class _Nfa:
         self.free.append([])
         return len(self.moves) - 1
 
-    def build(self, parsed, at: int, fold: bool) -> int:
-        """Adds the parsed expression after state ``at``; gives its last state."""
-        for op, arg in parsed:
-            if op in (C.LITERAL, C.IN, C.ANY, C.NOT_LITERAL):
-                end = self.state()
-                self.moves[at].append((_bytes_of(op, arg, fold), end))
-                at = end
-            elif op is C.SUBPATTERN:
-                at = self.build(arg[3], at, fold or bool(arg[1] & re.I))
-            elif op is C.BRANCH:
-                end = self.state()
-                for branch in arg[1]:
-                    start = self.state()
-                    self.free[at].append(start)
-                    self.free[self.build(branch, start, fold)].append(end)
+    def add(self, pattern: str, at: int) -> int:
+        """Adds an expression after state ``at``; gives its last state."""
+        self.text, self.pos = pattern, 0
+        end = self._branches(at, False)
+        if self.pos < len(pattern):
+            raise ValueError(f"unexpected {pattern[self.pos]!r} in {pattern!r}")
+        return end
+
+    def _peek(self) -> str:
+        return self.text[self.pos : self.pos + 1]
+
+    def _take(self) -> str:
+        self.pos += 1
+        return self.text[self.pos - 1]
+
+    def _branches(self, at: int, fold: bool) -> int:
+        end = self.state()
+        while True:
+            start = self.state()
+            self.free[at].append(start)
+            self.free[self._sequence(start, fold)].append(end)
+            if self._peek() != "|":
+                return end
+            self._take()
+
+    def _sequence(self, at: int, fold: bool) -> int:
+        while self._peek() not in ("", "|", ")"):
+            begin = self.pos
+            end = self._atom(at, fold)
+            after = self.pos
+            low, high = self._repeat()
+            if (low, high) == (1, 1):
                 at = end
-            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
-                low, high, what = arg
-                for _ in range(low):
-                    at = self.build(what, at, fold)
-                if high is C.MAXREPEAT:
-                    loop, end = self.state(), self.state()
-                    self.free[at].append(loop)
-                    self.free[self.build(what, loop, fold)].append(loop)
-                    self.free[loop].append(end)
-                    at = end
-                else:
-                    end = self.state()
-                    self.free[at].append(end)
-                    for _ in range(high - low):
-                        at = self.build(what, at, fold)
-                        self.free[at].append(end)
-                    at = end
+                continue
+            follow = self.pos
+
+            def again(start: int) -> int:
+                self.pos = begin
+                return self._atom(start, fold)
+
+            reached = at
+            for _ in range(low):
+                reached = again(reached)
+            last = self.state()
+            self.free[reached].append(last)
+            if high is None:
+                loop = self.state()
+                self.free[reached].append(loop)
+                back = again(loop)
+                self.free[back] += [loop, last]
             else:
-                raise ValueError(f"{op} isn't supported in a rule")
+                for _ in range(high - low):
+                    reached = again(reached)
+                    self.free[reached].append(last)
+            assert self.pos in (begin, after)
+            self.pos, at = follow, last
         return at
 
-
-def _bytes_of(op, arg, fold: bool) -> frozenset:
-    if op is C.ANY:
-        found, negate = set(range(256)) - {10}, False
-    elif op is C.LITERAL or op is C.NOT_LITERAL:
-        found, negate = {arg}, op is C.NOT_LITERAL
-    else:
-        found, negate = set(), False
-        for kind, value in arg:
-            if kind is C.NEGATE:
-                negate = True
-            elif kind is C.LITERAL:
-                found.add(value)
-            elif kind is C.RANGE:
-                found.update(range(value[0], value[1] + 1))
-            else:
-                raise ValueError(f"{kind} isn't supported in a rule")
-    if fold:
-        found |= {x ^ 32 for x in found if chr(x).isalpha()}
-    if max(found, default=0) > 127:
-        raise ValueError("rules hold ASCII characters only")
-    return frozenset(set(range(256)) - found if negate else found)
+    def _repeat(self) -> tuple[int, int | None]:
+        c = self._peek()
+        if c and c in "?*+":
+            self._take()
+            return {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
+        if c != "{":
+            return 1, 1
+        inner = self.text[self.pos + 1 : self.text.index("}", self.pos)]
+        self.pos += len(inner) + 2
+        low, comma, high = inner.partition(",")
+        return int(low), int(high) if high else None if comma else int(low)
+
+    def _atom(self, at: int, fold: bool) -> int:
+        c = self._take()
+        if c == "(":
+            if self.text.startswith("?:", self.pos):
+                self.pos += 2
+            elif self.text.startswith("?i:", self.pos):
+                self.pos, fold = self.pos + 3, True
+            elif self._peek() == "?":
+                raise ValueError(f"this kind of group isn't supported: {self.text!r}")
+            end = self._branches(at, fold)
+            if self._peek() != ")":
+                raise ValueError(f"a group isn't closed: {self.text!r}")
+            self._take()
+            return end
+        if c == "[":
+            found = self._set(fold)
+        elif c == ".":
+            found = ALL - {10}
+        elif c in "*+?{^$":
+            raise ValueError(f"{c!r} isn't supported here: {self.text!r}")
+        else:
+            found = self._folded({self._char(c)}, fold)
+        end = self.state()
+        self.moves[at].append((frozenset(found), end))
+        return end
+
+    def _char(self, c: str) -> int:
+        if c == "\\":
+            c = self._take()
+            if c == "x":
+                self.pos += 2
+                return int(self.text[self.pos - 2 : self.pos], 16)
+            if c in _ESCAPES:
+                return _ESCAPES[c]
+            if c.isalnum():
+                raise ValueError(f"the escape of {c!r} isn't supported in a rule")
+        if ord(c) > 127:
+            raise ValueError("rules hold ASCII characters only")
+        return ord(c)
+
+    @staticmethod
+    def _folded(found: set, fold: bool) -> set:
+        return found | {x ^ 32 for x in found if chr(x).isalpha()} if fold else found
+
+    def _set(self, fold: bool) -> set:
+        negate = self._peek() == "^"
+        self.pos += negate
+        found: set[int] = set()
+        while self._peek() != "]":
+            low = high = self._char(self._take())
+            if self._peek() == "-" and self.text[self.pos + 1] != "]":
+                self._take()
+                high = self._char(self._take())
+            found |= set(range(low, high + 1))
+        self._take()
+        found = self._folded(found, fold)
+        return ALL - found if negate else found
 
 
 class Automaton:
-    """``table[state * classes + class]`` gives the next state times ``classes``; states from ``accepting`` on carry rule bits."""
+    """``table[state * classes + class]`` gives the next state times ``classes``; states from ``accepting`` on carry rule bits.
+
+    With ``anywhere``, a match may start at any byte; else it starts where the automaton does, and ``dead`` is the state that no match leaves.
+    """
 
-    def __init__(self, patterns: list[str]):
+    def __init__(self, patterns: list[str], anywhere: bool = True):
         nfa = _Nfa()
         root = nfa.state()
-        final = {}
+        final: dict[int, int] = {}
         for k, p in enumerate(patterns):
-            final[nfa.build(P.parse(p), root, False)] = 1 << k
+            final[nfa.add(p, root)] = 1 << k
         # Bytes that no rule tells apart form a class.
         sets = sorted({s for m in nfa.moves for s, _ in m}, key=sorted)
         keys: dict[tuple, int] = {}
@@ -148,13 +228,14 @@ class Automaton:
                         todo.append(x)
             return frozenset(seen)
 
-        # Subset construction; the root stays in every set, so that a match may start anywhere.
+        # Subset construction; where a match may start anywhere, the root stays in every set.
+        stay = {root} if anywhere else set()
         start = closure({root})
         number, order, rows = {start: 0}, [start], []
         for states in order:
             row = []
             for b in sample:
-                target = closure({t for s in states for chars, t in nfa.moves[s] if b in chars} | {root})
+                target = closure({t for s in states for chars, t in nfa.moves[s] if b in chars} | stay)
                 if target not in number:
                     number[target] = len(order)
                     order.append(target)
@@ -183,6 +264,8 @@ class Automaton:
         self.table = (small * self.classes).astype(np.int32).ravel()
         self.states = n
         self.subsets = len(order)
+        stuck = [k for k in range(n) if not self.bits[k] and (small[k] == k).all()]
+        self.dead = stuck[0] * self.classes if stuck else -1
 
     def scan(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each document the bits of the rules that match in it: one pass, a byte of every document at a step."""
@@ -216,27 +299,78 @@ class Automaton:
                 masks[order[k]] |= self.bits[s // self.classes]
         return masks
 
-
-def spans_of(text: str, mask: int, rules=RULES) -> list[tuple[int, int, int]]:
-    """(start, rule number, end) in code points of the rules in ``mask``, by start and then rule."""
-    found = []
-    for k, (_, _, pattern, group, least) in enumerate(rules):
-        if mask >> k & 1:
-            found += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
-    return sorted(found)
+    def starts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(byte, bits of the rules that match from it) of all bytes of a document, from all of them side by side."""
+        classes = self.classes_of[data].astype(np.int32)
+        bits = np.zeros(len(data), np.int64)
+        at, state, step = np.arange(len(data)), np.full(len(data), self.start, np.int32), 0
+        while len(at):
+            state = self.table[state + classes[at + step]]
+            hit = state >= self.accepting
+            bits[at[hit]] |= self.bits[state[hit] // self.classes]
+            step += 1
+            live = (state != self.dead) & (at + step < len(data))
+            at, state = at[live], state[live]
+        found = np.flatnonzero(bits)
+        return found, bits[found]
+
+    def longest(self, classes: bytes, at: int, rules: tuple[int, ...]) -> list[int]:
+        """Ends of the longest matches of the rules from byte ``at`` (-1: none)."""
+        s, ends = self.start, [at if self.bits[self.start // self.classes] >> k & 1 else -1 for k in rules]
+        if not hasattr(self, "quick"):
+            self.quick, self.marks = self.table.tolist(), self.bits.tolist()
+        for k in range(at, len(classes)):
+            s = self.quick[s + classes[k]]
+            if s == self.dead:
+                break
+            if s >= self.accepting:
+                bits = self.marks[s // self.classes]
+                ends = [k + 1 if bits >> r & 1 else e for r, e in zip(rules, ends)]
+        return ends
+
+
+class Scanner:
+    """The automata of a set of rules: all openings anywhere, all openings from a byte on, heads and whole rules from a byte on."""
+
+    def __init__(self, rules=RULES):
+        self.rules = rules
+        self.anywhere = Automaton([r[1] for r in rules])
+        self.openings = Automaton([r[1] for r in rules], anywhere=False)
+        self.whole = Automaton([r[2] for r in rules] + [r[2] + r[3] for r in rules], anywhere=False)
+
+    def spans(self, data: np.ndarray, mask: int) -> list[tuple[int, int, int]]:
+        """(start, rule number, end) in code points of the rules in ``mask``, by start and then rule."""
+        n = len(self.rules)
+        at, bits = self.openings.starts(data)
+        classes = self.whole.classes_of[data].tobytes()
+        found = []
+        for k in range(n):
+            if mask >> k & 1:
+                done = 0
+                for s in at[bits >> k & 1 > 0].tolist():
+                    if s >= done:
+                        head, end = self.whole.longest(classes, s, (k, n + k))
+                        if end >= 0:
+                            done = max(end, s + 1)
+                            if end - max(head, s) >= self.rules[k][4]:
+                                found.append((s, k, end))
+        if not found:
+            return []
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        return sorted((int(points[s]), k, int(points[e])) for s, k, e in found)
 
 
 def scan(docs: DataFrame, text: str = "text", into: str = "secrets", rules=RULES) -> DataFrame:
     """``docs`` with an array of (kind, start, end) spans, by start and then kind as listed."""
     docs = docs.drop(into)
-    machine = Automaton([r[1] for r in rules])
+    scanner = Scanner(rules)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(text)
-            masks = machine.scan(*flat_bytes(column))
-            found = [[{"kind": rules[k][0], "start": s, "end": e} for s, k, e in spans_of(column[i].as_py(), int(m), rules)] if m else [] for i, m in enumerate(masks)]
+            flat, offsets = flat_bytes(b.column(text))
+            masks = scanner.anywhere.scan(flat, offsets)
+            found = [[{"kind": rules[k][0], "start": s, "end": e} for s, k, e in scanner.spans(flat[offsets[i] : offsets[i + 1]], int(m))] if m else [] for i, m in enumerate(masks)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -328,6 +328,34 @@ def test_op6_spans(spark, folder):
         assert any(sum(w[1:4]) for w in want)
 
 
+def test_op6_automata_match_like_expressions():
+    """Random texts near the rules, against the expressions' own leftmost matches."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(6)
+    parts = ["password", "PassWd", "api_key", "apikey", "ſecret", "secret", "toKen", "=", ":", " ", "  ", "'", '"', "a" * 8, "deadbeef" * 4, "0" * 31, "AKIA", "AKIA" + "Q" * 16, "é", "x", "-----BEGIN RSA PRIVATE KEY-----", "-----END PRIVATE KEY-----", "\n", "ghp_" + "a" * 22, "eyJ" + "a" * 9 + ".", "b" * 12, "==", "Z1"]
+    scanner = secrets.Scanner()
+    for _ in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(14)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        mask = int(scanner.anywhere.scan(data, np.array([0, len(data)]))[0])
+        want = sorted((m.start(), k, m.end()) for k, (_, _, head, body, least) in enumerate(secrets.RULES) for m in re.finditer(f"(?a:{head})({body})", text) if len(m[1]) >= least)
+        assert scanner.spans(data, mask) == want, text
+
+
+def test_op6_long_runs_are_linear():
+    import time
+
+    import numpy as np
+
+    data = np.frombuffer(b"password=" + b"a" * 1_000_000 + b" " + b"password " * 100_000, np.uint8)
+    began = time.time()
+    scanner = secrets.Scanner()
+    assert [k for _, k, _ in scanner.spans(data, 7)] == [0, 2] and time.time() - began < 20
+
+
 def test_op6_added_rules_and_redaction(spark):
     text = "é ghp_" + "a" * 30 + " x -----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
     row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
