@@ -3,25 +3,31 @@
 Markup is stripped into lines, one for each block element. A line's length is
 its text outside links, and nothing inside page furniture (menus, headers,
 footers, sidebars, notices, adverts, forms, comments). Lengths are summed over
-windows of ``WINDOW`` lines: text starts at a surge (a window above the
-threshold) and ends at the dive (windows of no text). Where the page marks its
-main part (article, main), only lines in it have a length and any text is a
-surge; elsewhere the threshold is ``SURGE`` characters.
+windows of ``WINDOW`` lines: text starts at a surge (a window above ``SURGE``
+characters) and ends at the dive (windows of no text).
 
-A class or id makes an element furniture if all words of one of its tokens are
+Where the page marks its main part (article, main), that weighs in: a line in it
+counts ``SURGE`` characters more, so that a short one is a surge of its own, and
+a line outside counts for an ``OUTSIDE``-th, so that only dense text is one.
+
+A class or id makes a block furniture if all words of one of its tokens are
 furniture's (sidebar, cookie-banner, but not has-sidebar); html and body never
-are. A main part inside such an element still is one, and is kept whole unless
+are. A main part inside such an element still is one, and counts as marked unless
 the page marks another outside of furniture.
 
 Defined results: null or empty html gives an empty text; pages without main
-text give an empty text; unclosed and cut-off markup is read as far as it goes.
-Rows are independent, so repeated rows give equal results.
+text give an empty text; an empty table gives an empty result. Unclosed and
+cut-off markup is read as far as it goes: a tag with an unclosed quote ends at its
+first ``>``. Very long pages are read whole, in one forward scan. Rows are
+independent, so repeated rows give equal results. Extra columns pass through; a
+column named as the result is replaced.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,9 +35,10 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 SURGE = 86
+OUTSIDE = 8
 
 #: Element names by role in HTML.
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|video|audio"
+RAW = frozenset("script style noscript template svg math iframe object textarea select title canvas video audio".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form head header html main menu nav ol section table tbody td tfoot th thead tr ul".split())
 FURNITURE = frozenset("nav header footer aside form menu head dialog button".split())
@@ -40,6 +47,13 @@ FURNITURE_NAMES = frozenset(
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*))")
+_STOP = re.compile(r"[>\"']")
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside side header masthead footer foot comment comments disqus reply replies respond related recommended share sharing social newsletter subscribe signup login search pagination pager toolbar widget copyright".split()
+)
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
+
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPLIT = re.compile(r"[^A-Za-z]+")
@@ -65,81 +79,127 @@ def _furniture(tag: str, attributes: str, inside_main: bool) -> int:
     return found
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, int]], bool]:
-    """The page's block lines as (text, counted length, main), and whether it marks a main part in the open.
-
-    ``main`` is 2 in such a part, 1 in one inside an element whose name alone makes it furniture, else 0.
+def _tag_end(page: str, at: int, unclosed: set[int]) -> int:
+    """Where the tag ends whose attributes begin at ``at``; ``unclosed`` holds quotes known to leave a tag open, so that no stretch is read again for each tag."""
+    p, quotes = at, []
+    while True:
+        m = _STOP.search(page, p)
+        if m is None:
+            return len(page)
+        if m[0] == ">":
+            return m.end()
+        q = m.start()
+        if q in unclosed:
+            break
+        quotes.append(q)
+        e = page.find(m[0], q + 1)
+        if e < 0:
+            break
+        p = e + 1
+    unclosed.update(quotes)
+    return page.find(">", at) + 1 or len(page)
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag name or "", whether it closes, attributes) from the start to the end, in one forward scan."""
+    at, unclosed = 0, set()
+    while True:
+        m = _OPEN.search(page, at)
+        if m is None:
+            yield page[at:], "", False, ""
+            return
+        text, tag = page[at : m.start()], (m[2] or "").lower()
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            at = len(page) if end < 0 else end + 3
+        elif not tag:
+            at = page.find(">", m.end()) + 1 or len(page)
+        else:
+            at = _tag_end(page, m.end(), unclosed)
+        attributes = page[m.end() : at].removesuffix(">") if tag else ""
+        if tag in RAW and not m[1]:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at, tag = len(page) if end is None else end.end(), ""
+        elif tag in RAW:
+            tag = ""
+        yield text, tag, bool(m[1]), attributes
+
+
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """The page's block lines as (text, counted length, main).
+
+    ``main`` is 2 in a main part marked in the open, 1 in one inside an element whose name alone makes it furniture, else 0.
     """
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    linked = at = link = 0
+    linked = link = 0
     stack: list[tuple[str, int, int]] = []  # name, furniture so far, main so far
+    held: Counter[str] = Counter()  # names on the stack
     furniture = main = 0
-    marked = False
+    named = False  # the line's own block is furniture by its name
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, named
         text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
         if text:
-            lines.append((text, 0 if furniture else max(len(text) - linked, 1 if main else 0), main))
+            lines.append((text, 0 if furniture or named else max(len(text) - linked, 1 if main else 0), main))
         parts.clear()
-        linked = 0
+        linked, named = 0, False
 
-    def say(text: str) -> None:
-        nonlocal linked
+    for text, tag, closes, attributes in _tokens(page):
         if text:
             parts.append(text)
             if link:
                 linked += len(text)
-
-    for m in _TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
         if tag == "a":
-            link = 0 if m[2] else 1
+            link = 0 if closes else 1
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCKS or tag == "button":
             flush()
             if tag not in CONTAINERS and tag != "button":
-                continue
-            if m[2]:
-                if any(tag == x[0] for x in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                named = not closes and _furniture(tag, attributes, bool(main)) != NONE
+            elif closes:
+                if held[tag]:
+                    while True:
+                        name = stack.pop()[0]
+                        held[name] -= 1
+                        if name == tag:
+                            break
                 furniture, main = stack[-1][1:] if stack else (NONE, 0)
             else:
-                if tag == "body":
+                if tag == "body" and held["head"]:
                     stack = [x for x in stack if x[0] != "head"]
+                    held["head"] = 0
                     furniture, main = stack[-1][1:] if stack else (NONE, 0)
-                is_main = tag in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?main\b", m[4], re.I))
+                is_main = tag in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I))
                 if is_main and not main:
                     if furniture != PLAIN:
                         furniture, main = NONE, 1 if furniture else 2
                 elif not is_main or tag == "article":
-                    furniture = max(furniture, _furniture(tag, m[4], bool(main)))
-                marked = marked or main == 2
-                if not m[4].rstrip().endswith("/"):
+                    furniture = max(furniture, _furniture(tag, attributes, bool(main)))
+                if not attributes.rstrip().endswith("/"):
                     stack.append((tag, furniture, main))
-    say(page[at:])
+                    held[tag] += 1
     flush()
-    return lines, marked
+    return lines
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    lines, marked = lines_of(page or "")
-    sizes = [n if main == (2 if marked else 0) else 0 for _, n, main in lines]
-    least = 0 if marked else surge
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    lines = lines_of(page or "")
+    best = max((main for _, n, main in lines if n), default=0)
+
+    def size(n: int, main: int) -> int:
+        if n and main and main == best:
+            return n + surge
+        return n if best < 2 else 0 if main else n // OUTSIDE
+
+    sizes = [size(n, main) for _, n, main in lines]
     kept, inside = [], False
-    for i, (text, n, main) in enumerate(lines):
-        if not inside and sums[i] > least and sizes[i]:
+    for i, (text, _, _) in enumerate(lines):
+        if not inside and sizes[i] and sum(sizes[i : i + window]) > surge:
             inside = True  # a surge
-        if inside and sizes[i] or main == 1 and n and not marked:
+        if inside and sizes[i]:
             kept.append(text)
         if inside and not sum(sizes[i + 1 : i + 1 + window]):
             inside = False  # the dive

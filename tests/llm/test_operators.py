@@ -186,6 +186,29 @@ def test_op3_windows_on_unmarked_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p class='advert'>Buy now</p><p>Body</p><h2 class='cookie notice'>We use</h2><p>More</p></article>", "Body\nMore"),
+        ("<article><div class='article-header'><h1>Title</h1><p>Lead</p></div><p>Body</p></article>", "Title\nLead\nBody"),
+        (f"<p>{LONG * 9}</p><article><p>Body</p></article><p>Aside.</p>", f"{LONG * 9}\nBody"),  # dense text outside the mark surges too
+        (f"<p>{LONG}</p><article></article>", LONG),  # a mark without text is none
+        ("<article><p title='a > b'>x<br/>y</p><p title='open>z</p></article>", "x y\nz"),
+    ],
+)
+def test_op3_marks_weigh_and_windows_decide(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<![CDATA[", '<a "', "<script ", "<!", "<div><ul>", "<body>", "<p class='x", "<!--", "<div class='a' id=\"b"])
+def test_op3_hostile_pages_take_linear_time(part):
+    import time
+
+    began = time.time()
+    html_text.main_text(part * (1_000_000 // len(part)) + "</div>" * 1000)
+    assert time.time() - began < 5
+
+
 def test_op4_round_trip(spark, folder):
     import numpy as np
     import public_tokenizers
