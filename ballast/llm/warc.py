@@ -1,11 +1,14 @@
 """Deterministic sharded WARC writer (operator 10).
 
-Records are range-sorted by page id; every partition writes gzip members, one
-for each record, and rolls to a new file once the compressed size passes
-``roll_bytes``. Headers and digests are made anew from the payload, dates are a
-parameter, and record ids follow from page id and digest, so equal partitions
-give equal bytes. Of equal payloads of ``least_bytes`` or more, the smallest
-page id is the response and the others are revisits of it.
+Records stand in the order of page id. Parts of about ``part_bytes`` are cut at
+exact sums of payload bytes over blocks of ``BLOCK_IDS`` page ids, so they depend
+on the pages alone, not on partitions or samples. Each part is written as gzip
+members, one for each record, and rolls to a new file once the compressed size
+passes ``roll_bytes``. Headers and digests are made anew from the payload, dates
+are a parameter, and record ids follow from page id and digest, so equal tables
+give files of equal names and bytes, whatever their partitioning. Of equal
+payloads of ``least_bytes`` or more, the smallest page id is the response and the
+others are revisits of it.
 
 Files are written under temporary names; Spark commits the list of finished
 ones, a second job renames those into place (which may be repeated), and the
@@ -13,7 +16,10 @@ manifest it commits is what readers go by. Files of lost attempts stay unnamed.
 
 Defined results: null html is an empty payload; a null url gets a urn of its
 page. Rows equal in page id and payload: one is the response, the repeats revisit
-it. Null page ids sort first and count as largest in choosing the response.
+it. Null page ids sort first and count as largest in choosing the response. Very
+long payloads are records of their own size. An empty table gives an empty
+manifest and no records. Only the id, url and html columns are read, so no other
+column can clash.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import new_path, open_fs, written
+from ballast.llm.common import block_starts, discard, new_path, open_fs, written
 
 ROLL_BYTES = 32 << 20
+PART_BYTES = 64 << 20
+BLOCK_IDS = 256
 LEAST_BYTES = 100
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,25 +121,36 @@ class _Rolling:
             self.file, self.seq = None, self.seq + 1
 
 
-def write(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES) -> tuple[str, DataFrame]:
+def write(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES, part_bytes: int = PART_BYTES) -> tuple[str, DataFrame]:
     """Write all pages; gives the folder and the committed manifest (file, records, bytes, sha256)."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     fs, top = open_fs(folder)
     fs.create_dir(top)
     html = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select("page_id", F.sha2(html.cast("binary"), 256).alias("sha"), F.octet_length(html).alias("n")).filter(F.col("n") >= least_bytes)
-    firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 AND first IS NOT NULL").drop("rows")
-    marks = keyed.join(firsts, "sha").filter("page_id IS NULL OR page_id <> first")
-    marks = marks.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "first")
-    content = pages.select("page_id", F.lit(1).alias("kind"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("sha"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("first"))
-    rows = content.unionByName(marks).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "sha", "url")
+    block = F.coalesce(F.floor(F.col("page_id") / BLOCK_IDS).cast("long"), F.lit(-(2**62)))
+    narrow = written(pages.select("page_id", block.alias("block"), F.sha2(html.cast("binary"), 256).alias("sha"), F.octet_length(html).cast("long").alias("n")), "warc-narrow")
+    sums = block_starts(narrow.groupBy("block").agg(F.sum("n").alias("bytes")).withColumn("all", F.lit(0)), ["all"], "block", "bytes", "before")
+    parts = written(sums.select("block", F.floor(F.col("before") / part_bytes).cast("int").alias("part")), "warc-parts")
+    count = (parts.agg(F.max("part")).first()[0] or 0) + 1
+
+    long = narrow.filter(F.col("n") >= least_bytes)
+    firsts = long.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 AND first IS NOT NULL").drop("rows")
+    marks = long.join(firsts, "sha").filter("page_id IS NULL OR page_id <> first")
+    marks = marks.select("page_id", "block", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "first")
+    content = pages.select("page_id", block.alias("block"), F.lit(1).alias("kind"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("sha"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("first"))
+    rows = content.unionByName(marks).join(parts, "block").drop("block").repartitionById(count, "part").sortWithinPartitions("part", "page_id", "kind", "sha", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Rolling(folder, TaskContext.get().partitionId(), roll_bytes)
+        out, part_now, listed = None, None, []
         now, revisits, said = object(), {}, set()
         for b in batches:
-            for page_id, kind, url, text, sha, first in zip(*(c.to_pylist() for c in b.columns)):
+            for page_id, kind, url, text, sha, first, part in zip(*(c.to_pylist() for c in b.columns)):
+                if part != part_now:
+                    if out is not None:
+                        out.close()
+                        listed += out.listed
+                    part_now, out = part, _Rolling(folder, part, roll_bytes)
                 if page_id != now:
                     now, revisits, said = page_id, {}, set()
                 if kind == 0:
@@ -142,8 +161,10 @@ def write(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEA
                 said.add(sha)
                 refers = revisits.get(sha, page_id if repeat else None)
                 out.add(record(page_id, url, payload, sha, refers, sha in revisits or repeat))
-        out.close()
-        yield pa.RecordBatch.from_pylist(out.listed, schema=pa.schema([("temp", pa.string()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
+        if out is not None:
+            out.close()
+            listed += out.listed
+        yield pa.RecordBatch.from_pylist(listed, schema=pa.schema([("temp", pa.string()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
     finished = written(rows.mapInArrow(run, "temp string, file string, records long, bytes long, sha256 string"), "warc-finished")
 
@@ -157,7 +178,9 @@ def write(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEA
                     fs.move(f"{top}/{temp}", f"{top}/{name}")
             yield b.select(["file", "records", "bytes", "sha256"])
 
-    return folder, written(finished.mapInArrow(rename, "file string, records long, bytes long, sha256 string"), "warc-manifest")
+    manifest = written(finished.mapInArrow(rename, "file string, records long, bytes long, sha256 string"), "warc-manifest")
+    discard(narrow, parts, finished)
+    return folder, manifest
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:

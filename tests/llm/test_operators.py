@@ -477,9 +477,30 @@ def test_op9_minimax_is_least():
     for _ in range(50):
         sizes = r.integers(1, 50, r.integers(1, 9))
         k = int(r.integers(1, 4))
-        capacity, cuts = sharding.minimax_cuts(sizes, k)
-        best = min(max(x.sum() for x in np.split(sizes, c)) for m in range(k) for c in itertools.combinations(range(1, len(sizes)), m)) if len(sizes) else 0
-        assert capacity == best and max(x.sum() for x in np.split(sizes, cuts)) == best
+        ends, whole = np.cumsum(sizes), np.ones(len(sizes), bool)
+        best = min(max(x.sum() for x in np.split(sizes, c)) for m in range(k) for c in itertools.combinations(range(1, len(sizes)), m))
+        capacity = sharding.least_capacity(ends, whole, k)
+        cuts = sharding.greedy(ends, whole, capacity)
+        assert capacity == best and np.diff([0, *cuts, ends[-1]]).max() == best
+
+
+@pytest.mark.parametrize("shape", ["even", "heavy", "few"])
+def test_op9_equals_minimax_over_all_groups(spark, shape):
+    """Finer and finer ranges end at the capacity and the cuts over single groups."""
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    n = {"even": 20_000, "heavy": 5_000, "few": 9}[shape]
+    h = np.sort(r.choice(2**62, n, replace=False).astype(np.int64) * 2 - 2**62)
+    sizes = (r.pareto(0.7, n) * 20 + 8).astype(np.int64).clip(8, 10**7) if shape == "heavy" else r.integers(8, 900, n)
+    import pandas as pd
+
+    groups = spark.createDataFrame(pd.DataFrame({"h": h, "bytes": sizes}).sample(frac=1, random_state=1))
+    ends, whole = np.cumsum(sizes), np.ones(n, bool)
+    capacity = sharding.least_capacity(ends, whole, 24)
+    want = [int(h[np.searchsorted(ends, c, side="right")]) for c in sharding.greedy(ends, whole, capacity)]
+    for ranges in (8, 64, 1 << 16):
+        assert sharding.cut_hashes(groups, 24, ranges) == (capacity, want)
 
 
 def test_op10_records(spark, folder):
@@ -494,10 +515,18 @@ def test_op10_records(spark, folder):
     assert rows_of(warc.op10(spark, folder)) == sorted(want, key=key)
 
 
-def test_op10_archives_are_deterministic(spark, folder):
+def test_op10_archives_are_deterministic(spark, folder, monkeypatch):
+    """Any order and partitioning of the pages gives the same files."""
+    monkeypatch.setattr(warc, "BLOCK_IDS", 4)
     pages = spark.read.parquet(f"{folder}/pages.parquet")
-    found = [sorted((r["file"], r["sha256"]) for r in warc.write(p, roll_bytes=1000)[1].collect()) for p in (pages, pages.orderBy("html"))]
-    assert found[0] == found[1] and len(found[0]) > 1
+    found = [sorted((r["file"], r["records"], r["sha256"]) for r in warc.write(p, roll_bytes=1000, part_bytes=20_000)[1].collect()) for p in (pages, pages.orderBy("html"), pages.repartition(7))]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 1
+
+
+def test_op10_archives_of_a_large_table_are_deterministic(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = [sorted((r["file"], r["records"], r["sha256"]) for r in warc.write(p, part_bytes=1 << 20)[1].collect()) for p in (pages, pages.repartition(13))]
+    assert found[0] == found[1] and len(found[0]) > 6
 
 
 @pytest.mark.parametrize("op", [quality.op1, neardup.op2, html_text.op3, huffman.op4, decontam.op5, secrets.op6, mixing.op7, substrings.op8, sharding.op9, warc.op10])
