@@ -9,9 +9,10 @@ the common-word histogram counts only with ``min_hits`` hits or more.
 
 Defined results: null text has no words (base rule fails). A null or unlisted
 language has no reference, so only the base rule decides. Repeated rows are
-judged one by one; an empty table gives an empty result. Extra columns of the
-input pass through ``judge`` unless they carry the name of a result column,
-which the result replaces.
+judged one by one; an empty table gives an empty result. Very long texts are
+judged whole, in arrays of their words. Extra columns of the input pass through
+``judge`` unless they carry the name of a result column, which the result
+replaces; columns for the work get names that the input doesn't have.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import written
+from ballast.llm.common import unused, written
 
 #: Frequent function words of each language.
 LANGUAGE_WORDS = {
@@ -77,41 +78,43 @@ def _left(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base counts and the two histograms (``class_hist``, ``word_hist``) to every row."""
+def features(docs: DataFrame, text: str = "text", class_hist: str = "class_hist", word_hist: str = "word_hist") -> DataFrame:
+    """Adds the base counts and the two histograms to every row."""
+    keys = ["words", "lines", "common", "length", *NOT_CLASS]
+    own = dict(zip(keys, unused([*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], *[f"_{k}" for k in keys])))
     t = F.coalesce(F.col(text), F.lit(""))
-    new = docs.withColumn("_words", F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    words = F.col("_words")
+    new = docs.withColumn(own["words"], F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    words = F.col(own["words"])
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     new = new.withColumns(
         {
-            "_lines": lines,
-            "_common": F.transform(F.filter(words, lambda w: w.isin(_SPELLINGS)), lambda w: F.array_position(F.array(*[F.lit(x) for x in _SPELLINGS]), w) % len(COMMON_WORDS)),
+            own["lines"]: lines,
+            own["common"]: F.transform(F.filter(words, lambda w: w.isin(_SPELLINGS)), lambda w: F.array_position(F.array(*[F.lit(x) for x in _SPELLINGS]), w) % len(COMMON_WORDS)),
             "n_words": F.size(words).cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": _left(t, NOT_SYMBOL),
-            "_length": F.length(t).cast("long"),
-            **{f"_{k}": _left(t, p) for k, p in NOT_CLASS.items()},
+            own["length"]: F.length(t).cast("long"),
+            **{own[k]: _left(t, p) for k, p in NOT_CLASS.items()},
         }
     )
-    others = [F.col("_upper"), F.col("_digit"), F.col("_beyond"), F.col("_punct")]
-    space = F.col("_length") - F.col("word_chars")
-    lower = F.col("_length") - space - sum(others[1:], others[0])
+    others = [F.col(own[k]) for k in NOT_CLASS]
+    space = F.col(own["length"]) - F.col("word_chars")
+    lower = F.col(own["length"]) - space - sum(others[1:], others[0])
     return new.withColumns(
         {
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_dup_lines": (F.size(own["lines"]) - F.size(F.array_distinct(own["lines"]))).cast("long"),
             "n_repeat_words": _repeat_words(words),
-            "class_hist": F.array(*others, space, lower),
-            "word_hist": F.array(*[(F.size("_common") - F.size(F.array_remove("_common", (k + 1) % len(COMMON_WORDS)))).cast("long") for k in range(len(COMMON_WORDS))]),
+            class_hist: F.array(*others, space, lower),
+            word_hist: F.array(*[(F.size(own["common"]) - F.size(F.array_remove(own["common"], (k + 1) % len(COMMON_WORDS)))).cast("long") for k in range(len(COMMON_WORDS))]),
         }
-    ).drop("_words", "_lines", "_common", "_length", *[f"_{k}" for k in NOT_CLASS])
+    ).drop(*own.values())
 
 
-def references(featured: DataFrame, lang: str = "lang", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each listed language (at most ``len(LANGUAGE_WORDS)`` rows): its summed histograms over all documents."""
-    sums = [F.sum(F.col("class_hist")[i]).alias(f"c{i}") for i in range(6)] + [F.sum(F.col("word_hist")[i]).alias(f"w{i}") for i in range(len(COMMON_WORDS))]
-    rows = featured.filter(F.col(lang).isin(list(LANGUAGE_WORDS)) & (F.col("n_words") >= min_words)).groupBy(F.col(lang).alias("_lang")).agg(*sums)
-    return rows.select("_lang", F.array(*[F.col(f"c{i}") for i in range(6)]).alias("_class_ref"), F.array(*[F.col(f"w{i}") for i in range(len(COMMON_WORDS))]).alias("_word_ref"))
+def references(featured: DataFrame, lang: str = "lang", min_words: int = MIN_WORDS, class_hist: str = "class_hist", word_hist: str = "word_hist") -> DataFrame:
+    """One row for each listed language (at most ``len(LANGUAGE_WORDS)`` rows): its summed histograms over all documents, as ref_lang, class_ref, word_ref."""
+    sums = [F.sum(F.col(class_hist)[i]).alias(f"c{i}") for i in range(6)] + [F.sum(F.col(word_hist)[i]).alias(f"w{i}") for i in range(len(COMMON_WORDS))]
+    rows = featured.filter(F.col(lang).isin(list(LANGUAGE_WORDS)) & (F.col("n_words") >= min_words)).groupBy(F.col(lang).alias("ref_lang")).agg(*sums)
+    return rows.select("ref_lang", F.array(*[F.col(f"c{i}") for i in range(6)]).alias("class_ref"), F.array(*[F.col(f"w{i}") for i in range(len(COMMON_WORDS))]).alias("word_ref"))
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -128,29 +131,36 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_hits: int = MIN_HITS) -> DataFrame:
-    """``docs`` with the base counts, ``base_failed``, the two distances and ``kept``."""
-    taken = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept", "class_hist", "word_hist", "_lang", "_class_ref", "_word_ref"]
-    # Written once: the counts serve the references and the verdicts, and no filter on a verdict is pushed into them.
-    featured = written(features(docs.drop(*taken), text), "featured")
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_hits: int = MIN_HITS, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep`` alone) with the base counts, ``base_failed``, the two distances and ``kept``."""
+    docs = docs.drop(*(c for c in RESULTS if c not in (text, lang)))
+    names = [c for c in docs.columns if keep is None or c in keep]
+    class_hist, word_hist, by, ref_lang, class_ref, word_ref = unused([*docs.columns, *RESULTS], "_class_hist", "_word_hist", "_by", "_ref_lang", "_class_ref", "_word_ref")
+    # Written once: the counts serve the references and the verdicts, and no filter on a verdict is pushed into them. A text that isn't kept isn't written.
+    featured = features(docs.withColumn(by, F.col(lang)), text, class_hist, word_hist)
+    featured = written(featured.select(*names, by, *RESULTS[:5], class_hist, word_hist), "featured")
     # At most len(LANGUAGE_WORDS) rows, whatever the input: a proven bound for the broadcast.
-    joined = featured.join(F.broadcast(references(featured, lang, min_words)), F.col(lang) == F.col("_lang"), "left")
-    hits = F.aggregate("word_hist", F.lit(0).cast("long"), lambda s, v: s + v)
-    known = F.aggregate("_word_ref", F.lit(0).cast("long"), lambda s, v: s + v)
+    refs = references(featured, by, min_words, class_hist, word_hist).toDF(ref_lang, class_ref, word_ref)
+    joined = featured.join(F.broadcast(refs), F.col(by) == F.col(ref_lang), "left")
+    hits = F.aggregate(word_hist, F.lit(0).cast("long"), lambda s, v: s + v)
+    known = F.aggregate(word_ref, F.lit(0).cast("long"), lambda s, v: s + v)
     judged = joined.withColumns(
         {
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-            "class_distance": F.when(F.col("_lang").isNotNull() & (F.col("n_words") >= min_words), js_distance(F.col("class_hist"), F.col("_class_ref"))),
-            "word_distance": F.when((hits >= min_hits) & (known > 0), js_distance(F.col("word_hist"), F.col("_word_ref"))),
+            "class_distance": F.when(F.col(ref_lang).isNotNull() & (F.col("n_words") >= min_words), js_distance(F.col(class_hist), F.col(class_ref))),
+            "word_distance": F.when((hits >= min_hits) & (known > 0), js_distance(F.col(word_hist), F.col(word_ref))),
         }
     )
     odd = F.coalesce(F.col("class_distance") > max_class, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word, F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~odd).drop("class_hist", "word_hist", "_lang", "_class_ref", "_word_ref")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~odd).select(*names, *RESULTS)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 _BINS = [f"len(list_filter(common, lambda w: w = '{w}'))" for w in COMMON_WORDS]
