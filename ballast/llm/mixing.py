@@ -10,8 +10,11 @@ every pass its documents stand in hash-permuted blocks, whole passes first, and
 a last pass that ends once its budget of tokens is met.
 
 Defined results: null text has no tokens; a null source is a source of its own;
-sources without tokens are passed once. Repeated rows are mixed one by one. An
-empty table gives an empty result. Columns named as results are replaced.
+sources without tokens are passed once. Repeated rows are mixed one by one (they
+have one permutation key, so they stand in one block). Very long texts are
+counted whole. An empty table gives an empty result. Extra columns pass through;
+columns named as results are replaced, and columns for the work get names that
+the input doesn't have.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import block_starts
+from ballast.llm.common import block_starts, unused, written
 
 MAX_REPEATS = 2.0
 BLOCK_ROWS = 64
@@ -51,8 +54,11 @@ def entropy_of(sources: DataFrame, exponent: float) -> float:
 
 
 def plan(docs: DataFrame, source: str = "source", max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
-    """One row for each source: tokens, rows, share, weight, repeats (passes over it, with a fraction)."""
-    sums = docs.groupBy(F.col(source).alias("_source")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    """One row for each source of rows with ``n_tokens``: tokens, rows, share, weight, repeats (passes over it, with a fraction).
+
+    The sums are written once, so that each step of a bisection reads a row for each source and no document.
+    """
+    sums = written(docs.groupBy(F.col(source).alias("_source")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "sources")
     total, most, least = sums.agg(F.sum("tokens"), F.max("tokens"), F.min(F.when(F.col("tokens") > 0, F.col("tokens")))).first()
     total, most, least = total or 0, most or 0, least or 0
     sources = sums.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
@@ -76,19 +82,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """Every pass of every document that the mixture holds, with ``n_tokens``, ``epoch``, ``block`` and ``place`` in the block.
 
     Places are found on narrow rows (hashes of the row, token count, a
-    permutation key for each pass); the texts are shuffled once, to meet them.
+    permutation key for each pass), written once; the texts are shuffled once,
+    to meet them.
     """
-    docs = docs.drop("n_tokens", "epoch", "block", "place", "_source", "_key", "_keys", "_a", "_b")
-    counted = docs.withColumn("n_tokens", token_count(F.col(text)))
-    sources = plan(counted, source, max_repeats, target_entropy, budget).select("_source", "tokens", "rows", "repeats")
-    passes = int(sources.agg(F.max(F.ceil("repeats"))).first()[0] or 1)
+    docs = docs.drop("n_tokens", "epoch", "block", "place")
     hashed = lambda *of: F.conv(F.substring(F.md5(F.concat_ws(":", *of)), 1, 15), 16, 10).cast("long")
     key_of = lambda epoch: hashed(F.lit(seed), epoch, F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
     # 128 bits of the whole row stand for it: rows equal in all columns may stand in for each other.
     whole_row = [F.col(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    names = {"_a": F.xxhash64(*whole_row), "_b": F.xxhash64(F.lit(seed), *reversed(whole_row))}
-    narrow = counted.withColumns(names).select("_a", "_b", F.col(id_col).alias("_id"), F.col(source).alias("_src"), "n_tokens", F.array(*[key_of(F.lit(e)) for e in range(passes)]).alias("_keys"))
-    tagged = narrow.join(sources, narrow["_src"].eqNullSafe(sources["_source"])).drop("_src")
+    a, b = unused([*docs.columns, "n_tokens", "epoch", "block", "place"], "_a", "_b")
+    names = {a: F.xxhash64(*whole_row), b: F.xxhash64(F.lit(seed), *reversed(whole_row))}
+
+    def narrow(passes: int) -> DataFrame:
+        found = docs.select(names[a].alias("_a"), names[b].alias("_b"), F.col(id_col).alias("_id"), F.col(source).alias("_src"), token_count(F.col(text)).alias("n_tokens"), F.array(*[key_of(F.lit(e)) for e in range(passes)]).alias("_keys"))
+        return written(found, "mixed")
+
+    if target_entropy is None and budget is None:  # no source is passed more often than this
+        rows = narrow(max(1, math.ceil(max_repeats)))
+        sources = plan(rows, "_src", max_repeats).select("_source", "tokens", "rows", "repeats")
+    else:
+        counted = docs.select(F.col(source).alias("_src"), token_count(F.col(text)).alias("n_tokens"))
+        sources = plan(counted, "_src", max_repeats, target_entropy, budget).select("_source", "tokens", "rows", "repeats")
+        rows = narrow(int(sources.agg(F.max(F.ceil("repeats"))).first()[0] or 1))
+    tagged = rows.join(sources, rows["_src"].eqNullSafe(sources["_source"])).drop("_src")
     taken = tagged.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("repeats").cast("int") - 1, F.lit(0)))))
     taken = taken.withColumn("_key", F.get("_keys", F.col("epoch"))).drop("_keys")
     taken = taken.withColumn("block", F.pmod("_key", F.ceil(F.col("rows") / block_rows)))
@@ -100,10 +116,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     placed = taken.withColumns({"place": F.row_number().over(inside), "_before": F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")})
     room = (F.col("repeats") - F.col("epoch")) * F.col("tokens")
     whole = F.col("epoch") < F.floor("repeats")
-    held = placed.join(starts, [*keys, "block"]).filter(whole | (F.col("_start") + F.col("_before") < room)).select("_a", "_b", "n_tokens", "epoch", "block", "place")
-    first = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_a"))
-    texts = docs.withColumns(names).withColumn("_key", first).filter("_key = 1").drop("_key")
-    return texts.join(held, ["_a", "_b"]).select(*docs.columns, "n_tokens", "epoch", "block", "place")
+    held = placed.join(starts, [*keys, "block"]).filter(whole | (F.col("_start") + F.col("_before") < room)).select(F.col("_a").alias(a), F.col("_b").alias(b), "n_tokens", "epoch", "block", "place")
+    # Repeats of a row go before the shuffle: their places are in ``held``.
+    texts = docs.withColumns(names).dropDuplicates([a, b])
+    return texts.join(held, [a, b]).select(*docs.columns, "n_tokens", "epoch", "block", "place")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
