@@ -18,10 +18,17 @@ Consecutive windows with one anchor form a stretch.
    than ``GROUP`` such stretches are not gathered in one place: their positions
    are spread by the rank pair at offset 50, equal ones combined beforehand.
 
+The first step is one sort of rank pairs at offset ``GRAM``, not a chain of
+doublings over all bytes; what it leaves is doubled twice, in tasks that each hold
+the stretches of some anchors (at most ``GROUP`` for each anchor).
+
 Defined results: null text has no bytes; texts under ``least`` bytes lose
-nothing. Documents are ordered by id (null first), then by a hash of their text;
-rows equal in both are one document and get equal results. Long texts are cut
-into overlapping pieces for the work, never for the result.
+nothing. Documents are ordered by id, then by a hash of their text; rows without
+id come first, by such a hash. Rows equal in id and text are one document and get
+equal results. Long texts are cut into overlapping pieces for the work, never for
+the result. An empty table gives an empty result. Extra columns pass through;
+columns named as results are replaced, and columns for the work get names that
+the input doesn't have.
 """
 
 from __future__ import annotations
@@ -31,10 +38,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm.common import RollingHash, flat_bytes, mixed, row_steps, written
+from ballast.llm.common import RollingHash, flat_bytes, mixed, row_steps, unused, written
 
 LEAST = 100
 GRAM = 36
@@ -91,9 +98,16 @@ def stretches(flat: np.ndarray, offsets: np.ndarray, least: int, gram: int, roll
     return r, w, n, a.view(np.int64), s.view(np.int64)
 
 
-def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def _keys(id_col: str, text: str) -> tuple[Column, Column]:
+    """(document, tie): ids from -2**62 on stand for themselves; rows without id get a number below, by their text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tie": F.pmod(F.xxhash64(t), F.lit(1 << _TIE)).cast("long")})
+    without = F.lit(NO_ID) + F.xxhash64(t).bitwiseAND(F.lit((1 << 61) - 1))
+    return F.coalesce(F.col(id_col).cast("long"), without), F.pmod(F.xxhash64(F.lit(1), t), F.lit(1 << _TIE)).cast("long")
+
+
+def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    doc, tie = _keys(id_col, text)
+    return docs.select(doc.alias("_doc"), tie.alias("_tie"), F.col(text).alias("text"))
 
 
 def _first_of(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +131,7 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 38, (at >> 7) & ((1 << 31) - 1), at & 127
 
 
-def _pairs(keyed: DataFrame, text: str, least: int, gram: int) -> DataFrame:
+def _pairs(keyed: DataFrame, least: int, gram: int) -> DataFrame:
     """Rank pairs of all stretches; those that equal an earlier one of their batch are marked (``~at``) and spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +149,7 @@ def _pairs(keyed: DataFrame, text: str, least: int, gram: int) -> DataFrame:
             at = np.where(gone, ~at, at)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, s, doc, at)], names=["anchor", "rank", "doc", "at"])
 
-    return keyed.select("_doc", "_tie", text).mapInArrow(run, _PAIRS)
+    return keyed.mapInArrow(run, _PAIRS)
 
 
 def _reranked(pairs: DataFrame) -> DataFrame:
@@ -211,10 +225,10 @@ def ranked_equal(flat: np.ndarray, starts: np.ndarray, group: np.ndarray, least:
     return out
 
 
-def _edge_rows(keyed: DataFrame, text: str, edges: DataFrame, least: int) -> DataFrame:
+def _edge_rows(keyed: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     """Each remaining stretch with its bytes, by anchor; for hot anchors its positions by their rank pair instead."""
     lists = edges.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "n", "anchor", "hot")).alias("edges"))
-    joined = keyed.select("_doc", "_tie", text).join(lists, (F.col("_doc") == F.col("doc")) & (F.col("_tie") == F.col("tie"))).select("_doc", "_tie", text, "edges")
+    joined = keyed.join(lists, (F.col("_doc") == F.col("doc")) & (F.col("_tie") == F.col("tie"))).select("_doc", "_tie", "text", "edges")
     half = least // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +331,7 @@ def _edge_matches(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _release(spark: SparkSession) -> None:
-    """Steps written out are done with: let Spark's cleaner drop their shuffle files."""
+    """Steps written out are done with: let Spark's cleaner drop their shuffle files, which it does after a collection of the driver."""
     import gc
 
     gc.collect()
@@ -326,24 +340,27 @@ def _release(spark: SparkSession) -> None:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``docs`` with ``n_bytes``, ``removed`` (maximal byte spans, end exclusive) and ``kept`` (the remaining bytes)."""
+    if least % 4 or not 0 < gram < least or least - gram + 1 > 127:
+        raise ValueError("least must be a multiple of 4, and gram from least - 126 to least - 1")
     spark = docs.sparkSession
-    docs = docs.drop("n_bytes", "removed", "kept", "_doc", "_tie", "_spans")
+    docs = docs.drop("n_bytes", "removed", "kept")
+    doc, tie, found = unused([*docs.columns, "n_bytes", "removed", "kept"], "_doc", "_tie", "_spans")
     keyed = _keyed(docs, id_col, text)
-    matches = written(_reranked(_pairs(keyed, text, least, gram)), "matches")
+    matches = written(_reranked(_pairs(keyed, least, gram)), "matches")
     _release(spark)
     edges = matches.filter("edge").drop("edge")
     hot = edges.groupBy("anchor").count().filter(F.col("count") > group).select("anchor", F.lit(True).alias("hot"))
     edges = edges.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    more = written(_edge_matches(_edge_rows(keyed, text, edges, least), least), "edge-matches")
+    more = written(_edge_matches(_edge_rows(keyed, edges, least), least), "edge-matches")
     _release(spark)
-    spans = matches.filter("NOT edge").unionByName(more).groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", (F.col("lo") + F.col("n") + (least - 1)).alias("hi"))).alias("_spans"))
-    joined = keyed.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_tie") == F.col("tie")), "left").drop("_doc", "_tie", "doc", "tie")
+    spans = matches.filter("NOT edge").unionByName(more).groupBy(F.col("doc").alias(doc), F.col("tie").alias(tie)).agg(F.collect_list(F.struct("lo", (F.col("lo") + F.col("n") + (least - 1)).alias("hi"))).alias(found))
+    joined = docs.withColumns(dict(zip((doc, tie), _keys(id_col, text)))).join(spans, [doc, tie], "left").select(*docs.columns, found)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, removed, kept = [], [], []
-            for x, s in zip(b.column(text), b.column("_spans")):
+            for x, s in zip(b.column(text), b.column(found)):
                 data = (x.as_py() or "").encode()
                 merged: list[list[int]] = []
                 if s.is_valid:

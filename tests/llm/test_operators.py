@@ -427,17 +427,43 @@ def test_op7_targets(spark):
 
 
 def test_op8_removed_bytes(spark, folder):
-    docs = [(d["doc_id"], d["text"]) for d in read(folder, "documents")]
-    ids = [i for i, _ in docs]
-    want = substrings.brute_force([d for d in docs if d[0] is not None and ids.count(d[0]) == 1])
-    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.op8(spark, folder).collect()}
-    if None in ids:  # repeats of a row count as one document: leave what they touch out
-        touched = {None, 9, 10, 16}
-        want = {k: v for k, v in want.items() if k not in touched}
-    assert {k: got[k] for k in want} == want
+    """Rows without id are documents in the order of their texts' hashes; equal rows are one document."""
+    import xxhash
+
+    order = lambda i, t: i if i is not None else substrings.NO_ID + (xxhash.xxh64_intdigest((t or "").encode(), seed=42) & ((1 << 61) - 1))
+    docs = [(order(d["doc_id"], d["text"]), d["text"], d["doc_id"]) for d in read(folder, "documents")]
+    want = substrings.brute_force(list({k: (k, t) for k, t, _ in docs}.values()))
+    got = rows_of(substrings.op8(spark, folder))
+    assert got == sorted(((i, *want[k]) for k, _, i in docs), key=key)
     assert any(v[1] for v in want.values())
 
 
+def test_op8_rows_without_id_and_names_of_its_own(spark):
+    import xxhash
+
+    texts = [prose(i, 60) for i in range(6)]
+    rows = [(None, texts[0] + " a"), (None, texts[0] + " b"), (None, texts[1]), (3, texts[1] + texts[2]), (4, texts[2]), (5, None), (6, ""), (7, texts[3] * 3)]
+    order = lambda i, t: i if i is not None else substrings.NO_ID + (xxhash.xxh64_intdigest(t.encode(), seed=42) & ((1 << 61) - 1))
+    want = substrings.brute_force([(order(i, t), t) for i, t in rows])
+    names = "doc_id long, text string, doc int, tie int, _doc int, _Tie int, lo int, edges int, kept int"
+    got = substrings.deduplicate(spark.createDataFrame([(i, t, k, k, k, k, k, k, k) for k, (i, t) in enumerate(rows)], names)).collect()
+    for r in got:
+        assert want[order(r["doc_id"], r["text"])] == (r["n_bytes"], sum(x["end"] - x["start"] for x in r["removed"]), len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest())
+        assert r["doc"] == r["tie"] == r["_doc"] == r["_Tie"] == r["lo"] == r["edges"] and rows[r["doc"]] == (r["doc_id"], r["text"])
+    assert len(got) == len(rows)
+
+
+def test_op8_lengths_that_it_takes(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for least, gram in ((50, 36), (400, 36), (100, 100)):
+        with pytest.raises(ValueError):
+            substrings.deduplicate(df, least=least, gram=gram)
+    rows = [(i, prose(i % 3, 40)[i:]) for i in range(9)]
+    want = substrings.brute_force(rows, 40)
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), least=40, gram=16).collect()
+    assert {r["doc_id"]: sum(x["end"] - x["start"] for x in r["removed"]) for r in got} == {k: v[1] for k, v in want.items()}
+
+
 def test_op8_hot_anchor(spark):
     """Anchors with very many different stretches, and self-overlapping runs."""
     import random
@@ -535,13 +561,24 @@ def test_empty_tables(spark, hollow, op):
 
 
 def test_clashing_and_extra_columns(spark, tmp_path):
-    """General interfaces keep extra columns and replace columns that carry a result's name."""
-    docs = spark.read.parquet(f"{tables(tmp_path)}/documents.parquet")
+    """General interfaces pass extra columns on, whatever their names, with each row's own values; columns named as results are replaced."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    folder = tables(tmp_path)
+    taken = ["_words", "_lines", "_common", "_length", "_upper", "_lang", "_by", "class_hist", "word_hist", "_class_ref", "_source", "_key", "_keys", "_a", "_b", "_doc", "_tie", "_spans", "_h", "_block", "_before", "_rank", "_first", "_chunk", "class", "label", "h", "v", "n", "mark", "Doc"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({n: F.concat(F.lit(f"{n}-"), F.col("extra").cast("string")) for n in taken})
     n = len(hard_documents())
-    assert quality.judge(docs).select("extra", "kept").count() == n
-    assert secrets.scan(docs.withColumnRenamed("extra", "secrets")).count() == n
-    assert decontam.scan(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).where("n_words >= 0").select("extra").count() == n
-    assert mixing.mix(docs.withColumnRenamed("kept", "epoch")).where("epoch = 0").select("extra").count() == n
-    assert sharding.shard(docs.withColumnRenamed("kept", "shard")).select("extra", "shard").count() == n
-    assert substrings.deduplicate(docs).select("extra", "kept").count() == n
-    assert html_text.extract(spark.read.parquet(f"{tmp_path}/pages.parquet")).select("record_type", "text").count() == 8
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    for df in (quality.judge(docs), secrets.scan(docs), decontam.scan(docs, bench), mixing.mix(docs).where("epoch = 0"), sharding.shard(docs), substrings.deduplicate(docs)):
+        rows = df.select("extra", *taken).collect()
+        assert sorted(r["extra"] for r in rows) == list(range(n))
+        assert all(r[x] == f"{x}-{r['extra']}" for r in rows for x in taken)
+    kept = neardup.keep_first(docs).collect()
+    assert 0 < len(kept) < n and all(r[x] == f"{x}-{r['extra']}" for r in kept for x in taken)
+    assert quality.judge(docs).schema["kept"].dataType.typeName() == "boolean"
+    assert html_text.extract(spark.read.parquet(f"{folder}/pages.parquet").withColumn("_text", F.lit(3))).where("_text = 3").select("record_type", "text").count() == 8
+    where, manifest = huffman.write(docs.withColumns({"id": F.lit(1), "ids": F.lit(2), "tie": F.lit(3)}), str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert huffman.read(where, manifest).count() == n
+    pages = spark.read.parquet(f"{folder}/pages.parquet").withColumns({"sha": F.lit(1), "part": F.lit(2), "kind": F.lit(3), "first": F.lit(4)})
+    assert warc.read(*warc.write(pages)).count() == 8
