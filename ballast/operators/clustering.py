@@ -22,15 +22,45 @@ def _spanning_edges(distance: np.ndarray) -> list[tuple[float, int, int]]:
     return sorted(edges)
 
 
-def density_labels(x: np.ndarray, least: int = 25, min_samples: int = 1) -> np.ndarray:
-    """Cluster of every row or -1: condensed tree of the linkage, clusters of the largest total stability (published algorithm)."""
+def checked(x) -> np.ndarray:
+    """Rows of features as doubles; none, or rows that aren't of one length, are an error."""
+    x = np.asarray(x, float)
+    if x.size == 0:
+        raise ValueError("there are no features to cluster")
+    if x.ndim != 2:
+        raise ValueError(f"features must be rows of one length, not an array of {x.ndim} dimensions")
+    return x
+
+
+def distances(x: np.ndarray, metric: str = "cosine") -> np.ndarray:
+    """All distances within a chunk; the metric is a name in any case, or a function of two arrays of rows."""
+    if callable(metric):
+        d = np.asarray(metric(x, x), float)
+    elif (name := metric.strip().lower()) in ("cosine", "precomputed"):
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        d = 1.0 - unit @ unit.T
+    elif name == "euclidean":
+        d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0.0))
+    elif name == "manhattan":
+        d = np.abs(x[:, None, :] - x[None, :, :]).sum(-1)
+    else:
+        raise ValueError(f"unknown metric {metric!r}: cosine, euclidean, manhattan or a function")
+    np.fill_diagonal(d, 0.0)
+    return d
+
+
+def density_labels(x: np.ndarray, least: int = 25, min_samples: int = 1, metric: str = "cosine", epsilon: float = 0.0, single: bool = False) -> np.ndarray:
+    """Cluster of every row or -1: condensed tree of the linkage, clusters of the largest total stability (published algorithm).
+
+    Clusters that come apart at less than ``epsilon`` are taken as the one they
+    come from; only with ``single`` may all rows be one cluster.
+    """
+    x = checked(x)
     n = len(x)
     labels = np.full(n, -1)
     if n < max(least, 2):
         return labels
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    distance = 1.0 - unit @ unit.T
-    np.fill_diagonal(distance, 0.0)
+    distance = distances(x, metric)
     core = np.sort(distance, axis=1)[:, min(min_samples, n - 1)]
     distance = np.maximum(distance, np.maximum(core[:, None], core[None, :]))
     up = list(range(2 * n - 1))
@@ -78,25 +108,34 @@ def density_labels(x: np.ndarray, least: int = 25, min_samples: int = 1) -> np.n
         else:
             clusters[c]["stability"] += gained * sum(size[k] for k in (a, b) if size[k] < least)
             todo += [(k, c) for k in large]
-    # Bottom up: a cluster is taken if it is at least as stable as the best choice below it; never the whole.
+    # Bottom up: a cluster is taken if it is at least as stable as the best choice below it.
     best, taken = [c["stability"] for c in clusters], [True] * len(clusters)
     for i in range(len(clusters) - 1, -1, -1):
         below = sum(best[k] for k in clusters[i]["kids"])
         if clusters[i]["kids"] and below > best[i]:
             best[i], taken[i] = below, False
-    todo, chosen = list(clusters[0]["kids"]), []
+    todo, chosen = [0] if single else list(clusters[0]["kids"]), []
     while todo:
         i = todo.pop()
         if taken[i]:
             chosen.append(i)
         else:
             todo += clusters[i]["kids"]
+    if epsilon > 0:
+        parent = {k: i for i, c in enumerate(clusters) for k in c["kids"]}
+        wide = set()
+        for i in chosen:
+            while i and 1.0 / clusters[i]["birth"] < epsilon and (parent[i] or single):
+                i = parent[i]
+            wide.add(i)
+        below = lambda i: i in parent and (parent[i] in wide or below(parent[i]))
+        chosen = [i for i in wide if not below(i)]
     for label, i in enumerate(sorted(chosen)):
         labels[clusters[i]["rows"]] = label
     return labels
 
 
-def cluster_chunks(df: DataFrame, index: str, embedding: str = "embedding", least: int = 25, fallback: bool = True, quantile: float = 0.7) -> DataFrame:
+def cluster_chunks(df: DataFrame, index: str, embedding: str = "embedding", least: int = 25, fallback: bool = True, quantile: float = 0.7, metric: str = "cosine", epsilon: float = 0.0, single: bool = False) -> DataFrame:
     """(chunk, index, cluster) of chunked rows; a chunk is a fixed number of rows, so tasks stay small at any input size.
 
     Where no cluster is found in a chunk of ``least`` rows or more, the fallback
@@ -106,7 +145,7 @@ def cluster_chunks(df: DataFrame, index: str, embedding: str = "embedding", leas
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(index)
         x = np.array(part[embedding].tolist(), float)
-        labels = density_labels(x, least)
+        labels = density_labels(x, least, metric=metric, epsilon=epsilon, single=single)
         if fallback and len(x) >= least and (labels < 0).all():
             labels = (x[:, 0] > np.quantile(x[:, 0], quantile)).astype(int)
             if labels.min() == labels.max():

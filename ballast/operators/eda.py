@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,16 @@ def integrity_report(df: DataFrame, split: str, content: str, path: str) -> Data
     overlaps = content_overlap(df, split, content, path).agg(F.count(F.lit(1)).alias("overlaps"))
     files = df.agg(F.count(F.lit(1)).alias("total_files"), F.count_distinct(F.sha1(F.col(content).cast("binary"))).alias("checked"), F.count_if(F.col(content).isNull()).alias("missing"))
     return files.crossJoin(F.broadcast(overlaps)).withColumn("passed", F.col("overlaps") == 0)  # one row each
+
+
+def dataset_root(folders: DataFrame, dataset: str, folder: str) -> DataFrame:
+    """Where a dataset's splits stand: directly in it (an empty root), else in split_0, else in the first split folder."""
+    name = F.col(folder)
+    return folders.groupBy(dataset).agg(
+        F.when(F.max(name.isin("train", "val", "test")), "").when(F.max(name == "split_0"), "split_0").otherwise(F.coalesce(F.min(F.when(name.startswith("split_"), name)), F.lit(""))).alias("root")
+    )
+
+
+def kind_of(text: Column) -> Column:
+    """boolean, long, double or string: the first that the text can be read as."""
+    return F.when(F.lower(text).isin("true", "false"), "boolean").when(text.try_cast("long").isNotNull(), "long").when(text.try_cast("double").isNotNull(), "double").otherwise("string")

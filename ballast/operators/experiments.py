@@ -48,6 +48,24 @@ def schedules(spark: SparkSession, epochs: int, rate: float, least: float = 0.0,
     )
 
 
+def restarts(spark: SparkSession, epochs: int, rate: float, first: int = 10, least: float = 0.0, step: int = 20, decay: float = 0.1) -> DataFrame:
+    """(epoch, restarted, stepped): cosine annealing that starts again with cycles twice as long each time, and decay by steps."""
+    e = F.col("id").cast("double")
+    cycle = F.floor(F.log2(e / first + 1)).cast("double")
+    length = first * F.pow(F.lit(2.0), cycle)
+    at = e - first * (F.pow(F.lit(2.0), cycle) - 1)
+    return spark.range(epochs).select(
+        F.col("id").alias("epoch"), F.round(F.lit(least) + F.lit((rate - least) / 2) * (1 + F.cos(F.lit(math.pi) * at / length)), 10).alias("restarted"),
+        F.round(F.lit(rate) * F.pow(F.lit(decay), F.floor(e / step).cast("double")), 10).alias("stepped"),
+    )
+
+
+def space_info(space: DataFrame) -> DataFrame:
+    """Of a search space (name, kind, low, high, choices): how many parameters of each kind, and their description."""
+    said = F.concat(F.col("name"), F.lit(":"), F.when(F.col("choices").isNotNull(), F.array_join("choices", "|")).otherwise(F.concat(F.col("low").cast("string"), F.lit(".."), F.col("high").cast("string"))))
+    return space.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(said)), ",").alias("parameters"))
+
+
 def duration_text(seconds: Column) -> Column:
     """Whole seconds as HH:MM:SS."""
     s = seconds.cast("long")

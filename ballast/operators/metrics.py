@@ -56,3 +56,23 @@ def losses(df: DataFrame, scores: str, true: str, gamma: float = 2.0, alpha: flo
     """Adds cross-entropy (``ce``) and focal loss (``focal``)."""
     logp = log_softmax(F.col(scores), F.col(true))
     return df.withColumn("ce", -logp).withColumn("focal", F.lit(alpha) * F.pow(1 - F.exp(-F.col("ce")), F.lit(gamma)) * F.col("ce"))
+
+
+def smoothed(ce: Column, scores: Column, smoothing: float) -> Column:
+    """Cross-entropy against labels that give ``smoothing`` of their mass to all classes evenly."""
+    top = F.array_max(scores)
+    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x)
+    spread = top + F.log(F.aggregate(F.transform(scores, lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x)) - total / F.size(scores)
+    return (1 - smoothing) * ce + smoothing * spread
+
+
+def weighted_loss(df: DataFrame, scores: str, true: str, weight: str, smoothing: float = 0.0) -> DataFrame:
+    """Mean and sum of every sample's loss times its weight; the mean is over the samples, not over the weights."""
+    loss = smoothed(F.col("ce"), F.col(scores), smoothing) * F.col(weight)
+    return losses(df, scores, true).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(loss), 8).alias("mean_loss"), F.round(F.sum(loss), 6).alias("sum_loss"))
+
+
+def loss_and_accuracy(df: DataFrame, scores: str, true: str, *by: str) -> DataFrame:
+    """Rows, summed loss and hits of each batch in one pass; the first of equal scores counts as the guess."""
+    hit = F.array_position(scores, F.array_max(scores)) - 1 == F.col(true)
+    return losses(df, scores, true).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ce"), 6).alias("loss"), F.count_if(hit).alias("hits"))

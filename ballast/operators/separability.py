@@ -69,6 +69,27 @@ def nearest_centroid(df: DataFrame, centers: DataFrame, index: str, embedding: s
     return near.groupBy(index).agg(F.min_by("_c", F.struct(d, F.col("_c"))).alias("nearest"))
 
 
+def nearest_by_cosine(df: DataFrame, centers: DataFrame, index: str, embedding: str = "embedding") -> DataFrame:
+    """As ``nearest_centroid``, by cosine distance."""
+    ends = centers.select(F.col("label").alias("_c"), unit(F.col("centroid")).alias("_u"))
+    near = df.withColumn("_v", unit(doubles(embedding))).crossJoin(F.broadcast(ends))  # class dimension only
+    return near.groupBy(index).agg(F.min_by("_c", F.struct(F.round(1 - dot(F.col("_v"), F.col("_u")), 12), F.col("_c"))).alias("nearest"))
+
+
+def pair_overlap(df: DataFrame, index: str, pairs: int = 30_000, label: str = "label", embedding: str = "embedding", seed: int = SEED) -> DataFrame:
+    """Of hash-drawn pairs of different rows (ids from 0): the median distance between classes, and the share of pairs within a class that are further apart; null without either kind.
+
+    The pairs are as many at any size; both joins are by the id.
+    """
+    n = df.count()
+    draw = lambda side: F.conv(F.substring(order_key(F.lit(side), F.col("id"), seed=seed), 1, 13), 16, 10).cast("long") % max(n, 1)
+    drawn = df.sparkSession.range(pairs).select("id", draw("a").alias("a"), draw("b").alias("b")).filter("a <> b")
+    v = df.select(F.col(index).alias("i"), F.col(label).alias("l"), F.col(embedding).alias("e"))
+    both = drawn.join(v.toDF("a", "la", "ea"), "a").join(v.toDF("b", "lb", "eb"), "b").select(F.col("la") == F.col("lb"), F.round(F.sqrt(squared_distance(doubles("ea"), doubles("eb"))), 9)).toDF("same", "d")
+    middle = both.filter("NOT same").agg(F.percentile("d", 0.5).alias("m"))
+    return both.crossJoin(F.broadcast(middle)).agg(F.round(F.max("m"), 7).alias("median_inter"), F.round(F.avg(F.when(F.col("same"), (F.col("d") > F.col("m")).cast("double"))), 8).alias("overlap"))  # one row
+
+
 def sampled(df: DataFrame, index: str, most: int, seed: int = SEED) -> DataFrame:
     """At most ``most`` rows in hash order: a top-n."""
     return df.orderBy(order_key(index, seed=seed), index).limit(most)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ballast.operators import batches, sampling
 from ballast.plans.base import query
 from ballast.plans.weighting import DRAWS, _draws
-from ballast.sources.tables import table
+from ballast.sources.tables import scratch, table
+from ballast.streaming import batches as stream
 
 SIZE = 64
 EVENTS = f"SELECT event_id, user_id, event_type AS label, (event_id // {SIZE})::BIGINT AS batch_id FROM events"
@@ -157,18 +158,9 @@ def batch_cap(spark, d):
 
 @query("stream_daily_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, d):
-    """Counts by day through a stream that is run to its end; sink and checkpoint lie in the shared folder."""
-    import tempfile
-    import uuid
-
-    from ballast.streaming import batches as stream
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Counts by day through a stream that is run to its end, open windows included."""
+    at = scratch(spark, "stream")
     schema = table(spark, d, "events").schema
     counts = stream.windowed_counts(stream.event_stream(spark, d, "events", schema), "event_type")
-    stream.run_available(counts.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"), f"{at}/out", f"{at}/state", "append")
-    done = spark.read.parquet(f"{at}/out")
-    # Windows that the watermark hasn't closed yet are counted from the table.
-    rest = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").join(done.select("day").distinct(), "day", "left_anti")
-    return done.unionByName(rest.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n")))
+    stream.run_available(counts.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"), f"{at}/out", f"{at}/state", "complete")
+    return spark.read.parquet(f"{at}/out")

@@ -252,9 +252,16 @@ def canonical_path(spark, d):
     return _docs(spark, d).select("doc_id", annotations.normal_path(raw).alias("path"))
 
 
-@query("dataset_root", "SELECT lang, min(source) AS root FROM documents WHERE source LIKE 'src%' GROUP BY lang")
+ROOTS = "SELECT DISTINCT lang AS dataset, CASE WHEN lang IN ('de', 'en') AND doc_id % 3 > 0 THEN 'split_' || (doc_id % 3) WHEN lang = 'fr' THEN 'split_' || (doc_id % 4) WHEN lang = 'de' THEN 'train' ELSE 'other' END AS folder FROM documents WHERE lang IS NOT NULL"
+
+
+@query("dataset_root", f"SELECT dataset, CASE WHEN bool_or(folder IN ('train', 'val', 'test')) THEN '' WHEN bool_or(folder = 'split_0') THEN 'split_0' ELSE coalesce(min(folder) FILTER (WHERE starts_with(folder, 'split_')), '') END AS root FROM ({ROOTS}) GROUP BY dataset")
 def dataset_root(spark, d):
-    return _docs(spark, d).filter(F.col("source").startswith("src")).groupBy("lang").agg(F.min("source").alias("root"))
+    i = F.col("doc_id")
+    part = lambda n: F.concat(F.lit("split_"), (i % n).cast("string"))
+    folder = F.when(F.col("lang").isin("de", "en") & (i % 3 > 0), part(3)).when(F.col("lang") == "fr", part(4)).when(F.col("lang") == "de", "train").otherwise("other")
+    folders = _docs(spark, d).filter(F.col("lang").isNotNull()).select(F.col("lang").alias("dataset"), folder.alias("folder")).distinct()
+    return eda.dataset_root(folders, "dataset", "folder")
 
 
 @query("path_match", "SELECT split_part(url, '/', 3) AS host, arg_min(page_id, lpad((length(url) - length(replace(url, '/', '')))::VARCHAR, 4, '0') || url || ':' || lpad(page_id::VARCHAR, 12, '0')) AS page_id FROM pages GROUP BY 1")
@@ -291,7 +298,7 @@ def missing_videos(spark, d):
     return table(spark, d, "conversations").join(pages, "conv_id", "left_anti").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
 
 
-@query("file_candidates", "SELECT source, unnest([source || x FOR x IN ['.mp4', '.avi', '.mov', '.mkv', '.webm', '.m4v', '.mpg', '.mpeg']]) AS candidate FROM (SELECT DISTINCT source FROM documents)")
+@query("file_candidates", "SELECT source, unnest([source || x FOR x IN ['', '.mp4', '.avi', '.mov', '.mkv', '.m4v', '.mpg', '.mpeg', '.wmv']]) AS candidate FROM (SELECT DISTINCT source FROM documents)")
 def file_candidates(spark, d):
     name = F.concat(F.lit("./"), F.col("source"))
     return _docs(spark, d).select("source").distinct().select("source", F.explode(annotations.file_candidates(name)).alias("candidate"))
@@ -303,11 +310,23 @@ def chunk_dir_names(spark, d):
     return a.select("conv_id", "turn", annotations.chunk_name(F.col("conv_id"), F.concat("role", F.lit("/x")), F.col("s"), F.col("e"), F.col("turn"), F.lit(None)).alias("name"))
 
 
-@query("video_resolution", "SELECT c.conv_id, coalesce(min(p.url), 'video_' || c.conv_id || '.mp4') AS path FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN pages p ON p.page_id = c.conv_id GROUP BY c.conv_id")
+#: A listing with files at their exact names, in other folders, and at two depths.
+FILES = "SELECT DISTINCT CASE WHEN page_id % 4 = 0 THEN 'cam/v' || page_id || '.avi' WHEN page_id % 4 = 1 THEN 'old/x/v' || page_id || '.mkv' WHEN page_id % 4 = 2 THEN 'b/v' || page_id || '.mp4' ELSE 'y/z/v' || page_id || '.mov' END AS path FROM pages UNION SELECT 'a/v' || page_id || '.wmv' FROM pages WHERE page_id % 8 = 1"
+
+
+@query(
+    "video_resolution",
+    f"""SELECT id AS file_id, coalesce((SELECT min(path) FROM ({FILES}) f WHERE f.path = i.name || '.avi'),
+    (SELECT arg_min(path, lpad((length(path) - length(replace(path, '/', '')))::VARCHAR, 3, '0') || path) FROM ({FILES}) f WHERE split_part(path, '/', -1) IN (SELECT split_part(i.name, '/', -1) || x FROM (SELECT unnest(['.mp4', '.avi', '.mov', '.mkv', '.m4v', '.mpg', '.mpeg', '.wmv']) AS x))), i.name || '.mp4') AS resolved
+    FROM (SELECT DISTINCT './cam\\v' || conv_id AS id, 'cam/v' || conv_id AS name FROM conversations) i""",
+)
 def video_resolution(spark, d):
-    ids = table(spark, d, "conversations").select("conv_id").distinct()
-    pages = table(spark, d, "pages").groupBy(F.col("page_id").alias("conv_id")).agg(F.min("url").alias("url"))
-    return ids.join(pages, "conv_id", "left").select("conv_id", F.coalesce("url", F.concat(F.lit("video_"), F.col("conv_id").cast("string"), F.lit(".mp4"))).alias("path"))
+    p = F.col("page_id")
+    at = F.when(p % 4 == 0, F.concat(F.lit("cam/v"), p, F.lit(".avi"))).when(p % 4 == 1, F.concat(F.lit("old/x/v"), p, F.lit(".mkv"))).when(p % 4 == 2, F.concat(F.lit("b/v"), p, F.lit(".mp4"))).otherwise(F.concat(F.lit("y/z/v"), p, F.lit(".mov")))
+    pages = table(spark, d, "pages")
+    listing = pages.select(at.alias("path")).union(pages.filter("page_id % 8 = 1").select(F.concat(F.lit("a/v"), p, F.lit(".wmv"))))
+    ids = table(spark, d, "conversations").select(F.concat(F.lit("./cam\\v"), F.col("conv_id")).alias("file_id"))
+    return annotations.resolved_paths(ids, listing, "file_id", "path")
 
 
 @query("class_weights", "SELECT event_type AS class, count(*) AS n, round(sum(count(*)) OVER ()::DOUBLE / count(*), 8) AS weight FROM events GROUP BY event_type")
@@ -323,3 +342,38 @@ def normalized_weights(spark, d):
 @query("content_hashes", "SELECT doc_id, sha1(text) AS sha1, substr(md5(source), 1, 16) AS url_key, sha256(text) AS sha256 FROM documents")
 def content_hashes(spark, d):
     return _docs(spark, d).select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1"), F.substring(F.md5(F.col("source").cast("binary")), 1, 16).alias("url_key"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+@query("relative_path", "SELECT page_id, CASE WHEN page_id % 3 > 0 THEN split_part(url, '/', -1) ELSE substr(url, length('https://') + 1) END AS path FROM pages WHERE starts_with(url, 'https://')")
+def relative_path(spark, d):
+    base = F.when(F.col("page_id") % 3 > 0, F.lit("/data")).otherwise(F.lit("https:/"))
+    return table(spark, d, "pages").filter(F.col("url").startswith("https://")).select("page_id", annotations.relative_path(F.col("url"), base).alias("path"))
+
+
+@query("split_from_filename", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM documents")
+def split_from_filename(spark, d):
+    split = F.when(F.col("doc_id") % 3 == 0, "train").when(F.col("doc_id") % 3 == 1, "val").otherwise("test")
+    return _docs(spark, d).select("doc_id", annotations.split_of_name(F.concat(F.lit("part."), split, F.lit(".csv"))).alias("split"))
+
+
+@query("manifest_type", "SELECT source, contains(source || '_imbalanced_' || lang, 'imbalanced') AS imbalanced, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY source, lang UNION ALL SELECT source, false, count(*) FROM documents WHERE lang IS NULL GROUP BY source")
+def manifest_type(spark, d):
+    name = F.concat("source", F.when(F.col("lang").isNull(), "_balanced").otherwise(F.concat(F.lit("_imbalanced_"), F.col("lang"))))
+    kinds = _docs(spark, d).groupBy("source", name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.select("source", F.contains("name", F.lit("imbalanced")).alias("imbalanced"), "n")
+
+
+@query("type_coercion", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'true' WHEN event_id % 4 = 1 THEN event_id::VARCHAR WHEN event_id % 4 = 2 THEN (event_id // 2) || '.5' ELSE event_type END AS raw, CASE event_id % 4 WHEN 0 THEN 'boolean' WHEN 1 THEN 'long' WHEN 2 THEN 'double' ELSE 'string' END AS kind FROM events")
+def type_coercion(spark, d):
+    """The narrowest type that an argument's text can be read as."""
+    i = F.col("event_id")
+    raw = F.when(i % 4 == 0, "true").when(i % 4 == 1, i.cast("string")).when(i % 4 == 2, F.concat(F.floor(i / 2).cast("string"), F.lit(".5"))).otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", raw.alias("raw")).withColumn("kind", eda.kind_of(F.col("raw")))
+
+
+@query("map_json_roundtrip", "SELECT lang AS class, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def map_json_roundtrip(spark, d):
+    """Class counts as one map, written as JSON and read back; one entry for each class."""
+    counts = _docs(spark, d).filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    text = counts.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "n"))))).alias("json"))
+    return text.select(F.explode(F.from_json("json", "map<string,long>")).alias("class", "n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast.operators import experiments, metrics, separability, splits
 from ballast.plans.base import query
+from ballast.operators.weights import CHUNK
 from ballast.sources.tables import table
 
 DIMS = 64
@@ -172,7 +173,7 @@ def knn_accuracy(spark, d):
 
 @query(
     "silhouette",
-    """WITH p AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    """WITH s AS (SELECT * FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT 5000), p AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM s a JOIN s b ON a.vec_id <> b.vec_id),
     m AS (SELECT i, li, lj, avg(dist) AS m FROM p GROUP BY ALL)
     SELECT round(avg((b - a) / greatest(a, b)), 7) AS silhouette FROM (SELECT i, max(m) FILTER (WHERE li = lj) AS a, min(m) FILTER (WHERE li <> lj) AS b FROM m GROUP BY i)""",
 )
@@ -191,11 +192,11 @@ def l2_normalize(spark, d):
 
 @query(
     "pairwise_cosine",
-    "SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a.embedding::DOUBLE[], lambda x: x * x))) * sqrt(list_sum(list_transform(b.embedding::DOUBLE[], lambda x: x * x)))), 7) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id // 32 = b.vec_id // 32 AND a.vec_id < b.vec_id",
+    "SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a.embedding::DOUBLE[], lambda x: x * x))) * sqrt(list_sum(list_transform(b.embedding::DOUBLE[], lambda x: x * x)))), 7) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id // 128 = b.vec_id // 128 AND a.vec_id < b.vec_id",
 )
 def pairwise_cosine(spark, d):
-    """Distances within chunks of 32 rows: pairs grow with the rows, not with their square."""
-    v = _emb(spark, d).select(F.floor(F.col("vec_id") / 32).alias("chunk"), F.col("vec_id").alias("a"), separability.unit(separability.doubles("embedding")).alias("ea"))
+    """Distances within the chunks that are clustered: pairs grow with the rows, not with their square."""
+    v = _emb(spark, d).select(F.floor(F.col("vec_id") / CHUNK).alias("chunk"), F.col("vec_id").alias("a"), separability.unit(separability.doubles("embedding")).alias("ea"))
     w = v.select("chunk", F.col("a").alias("b"), F.col("ea").alias("eb"))
     return v.join(w, "chunk").filter("a < b").select("a", "b", F.round(1 - separability.dot(F.col("ea"), F.col("eb")), 7).alias("distance"))
 
@@ -231,6 +232,58 @@ def compare_feature_sets(spark, d):
     return own.groupBy((F.col("vec_id") % 2).alias("set_name")).agg(F.round(F.avg(separability.squared_distance(separability.doubles("embedding"), F.col("centroid"))), 8).alias("msd"))
 
 
+TRAIN64 = f"SELECT h.label, i, avg(x) AS c FROM ({E64}) e JOIN ({HELD}) h USING (vec_id) WHERE h.train GROUP BY h.label, i"
+
+
+@query(
+    "nearest_centroid_holdout",
+    f"""SELECT count(*) AS queries, round(avg((label = nearest)::INT), 8) AS accuracy FROM (SELECT vec_id, label, arg_min(c_label, round(d, 12) * 1000 + c_label / 1000.0) AS nearest FROM (
+    SELECT e.vec_id, h.label, m.label AS c_label, sum((x - c) * (x - c)) AS d FROM ({E64}) e JOIN ({HELD}) h ON e.vec_id = h.vec_id AND NOT h.train JOIN ({TRAIN64}) m ON e.i = m.i GROUP BY ALL) GROUP BY vec_id, label)""",
+)
+def nearest_centroid_holdout(spark, d):
+    held = splits.stratified_split(_emb(spark, d), "vec_id", "label", 0.8, 0.0)
+    test = held.filter("split = 'test'").select("vec_id", "label", "embedding")
+    near = separability.nearest_centroid(test, separability.centroids(held.filter("split = 'train'"), DIMS), "vec_id")
+    return test.select("vec_id", "label").join(near, "vec_id").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg((F.col("label") == F.col("nearest")).cast("double")), 8).alias("accuracy"))
+
+
+@query(
+    "nearest_centroid_cosine",
+    f"""SELECT vec_id, arg_min(label, round(1 - dots / (greatest(sqrt(xx), 1e-12) * greatest(sqrt(cc), 1e-12)), 12) * 1000 + label / 1e9) AS nearest FROM (
+    SELECT e.vec_id, m.label, sum(x * c) AS dots, sum(x * x) AS xx, sum(c * c) AS cc FROM ({E64}) e JOIN ({CENTERS}) m ON e.i = m.i GROUP BY e.vec_id, m.label) GROUP BY vec_id""",
+)
+def nearest_centroid_cosine(spark, d):
+    return separability.nearest_by_cosine(_emb(spark, d).select("vec_id", "embedding"), separability.centroids(_emb(spark, d), DIMS), "vec_id")
+
+
+@query(
+    "pair_overlap",
+    """WITH n AS (SELECT count(*) AS n FROM embeddings), r AS (SELECT ('0x' || substr(md5('42:a:' || i), 1, 13))::BIGINT % n AS a, ('0x' || substr(md5('42:b:' || i), 1, 13))::BIGINT % n AS b FROM range(30000) t(i), n),
+    p AS (SELECT x.label = y.label AS same, round(sqrt(list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM r JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE a <> b),
+    m AS (SELECT quantile_cont(d, 0.5) AS m FROM p WHERE NOT same)
+    SELECT round(max(m), 7) AS median_inter, round(avg(CASE WHEN same THEN (d > m)::INT END), 8) AS overlap FROM p, m""",
+)
+def pair_overlap(spark, d):
+    return separability.pair_overlap(_emb(spark, d), "vec_id")
+
+
+@query("weighted_ce", f"SELECT count(*) AS n, round(avg(l), 8) AS mean_loss, round(sum(l), 6) AS sum_loss FROM (SELECT (0.9::DOUBLE * ce + 0.1::DOUBLE * (list_max(s) + ln(list_sum(list_transform(s, lambda x: exp(x - list_max(s))))) - list_sum(s) / 10)) / (1 + vec_id % 5) AS l FROM ({CE}) JOIN ({SCORES}) USING (vec_id))")
+def weighted_ce(spark, d):
+    weighted = _scores(spark, d).withColumn("w", F.lit(1.0) / (1 + F.col("vec_id") % 5))
+    return metrics.weighted_loss(weighted, "s", "label", "w", smoothing=0.1)
+
+
+@query("batch_loss_accuracy", f"SELECT vec_id // 128 AS batch, count(*) AS n, round(sum(ce), 6) AS loss, count(*) FILTER (WHERE list_position(s, list_max(s)) - 1 = label) AS hits FROM ({CE}) JOIN ({SCORES}) USING (vec_id) GROUP BY 1")
+def batch_loss_accuracy(spark, d):
+    return metrics.loss_and_accuracy(_scores(spark, d).withColumn("batch", F.floor(F.col("vec_id") / CHUNK).cast("long")), "s", "label", "batch")
+
+
+@query("search_space_info", "SELECT * FROM (VALUES ('choice', 2, 'batch_size:32|64|128,optimizer:adam|sgd'), ('log', 2, 'rate:0.001..0.1,weight_decay:1.0E-6..0.01'), ('uniform', 1, 'dropout:0.0..0.5')) t(kind, n, parameters)")
+def search_space_info(spark, d):
+    space = [("rate", "log", 0.001, 0.1, None), ("weight_decay", "log", 1e-6, 0.01, None), ("dropout", "uniform", 0.0, 0.5, None), ("optimizer", "choice", None, None, ["adam", "sgd"]), ("batch_size", "choice", None, None, ["32", "64", "128"])]
+    return experiments.space_info(spark.createDataFrame(space, "name string, kind string, low double, high double, choices array<string>"))
+
+
 LOG = "SELECT event_type AS run, (event_id // 100)::BIGINT AS epoch, round(avg(value), 6) AS metric FROM events GROUP BY ALL"
 
 
@@ -295,7 +348,7 @@ def grid_product(spark, d):
     return a.crossJoin(b).crossJoin(spark.createDataFrame([(0.1,), (0.01,)], "rate double"))  # small dimensions only
 
 
-@query("format_duration", "SELECT event_id, lpad((event_id * 7 // 3600)::VARCHAR, greatest(2, length((event_id * 7 // 3600)::VARCHAR))::INTEGER, '0') || ':' || lpad((event_id * 7 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((event_id * 7 % 60)::VARCHAR, 2, '0') AS text FROM events WHERE event_id < 20000")
+@query("format_duration", "SELECT event_id, lpad((event_id * 7 // 3600)::VARCHAR, greatest(2, length((event_id * 7 // 3600)::VARCHAR))::INTEGER, '0') || ':' || lpad((event_id * 7 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((event_id * 7 % 60)::VARCHAR, 2, '0') AS text FROM events")
 def format_duration(spark, d):
     return table(spark, d, "events").select("event_id", experiments.duration_text(F.col("event_id") * 7).alias("text"))
 
@@ -305,3 +358,8 @@ def json_safe(spark, d):
     v = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
     safe = F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), safe.alias("value"))
+
+
+@query("lr_restarts", "SELECT epoch, round(0.05::DOUBLE * (1 + cos(pi() * (epoch - 10 * (pow(2, k) - 1)) / (10 * pow(2, k)))), 10) AS restarted, round(0.1::DOUBLE * pow(0.1::DOUBLE, epoch // 20), 10) AS stepped FROM (SELECT epoch, floor(log2(epoch / 10.0::DOUBLE + 1)) AS k FROM range(80) r(epoch))")
+def lr_restarts(spark, d):
+    return experiments.restarts(spark, 80, 0.1)

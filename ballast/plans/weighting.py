@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast.operators import clustering, sampling, weights
 from ballast.plans.base import query
-from ballast.sources.tables import table
+from ballast.sources.tables import read_weights, save_weights, scratch, table
 
 CHUNKS = "SELECT vec_id, label, embedding, floor(vec_id / 128)::BIGINT AS chunk FROM embeddings"
 FALLBACK = f"""SELECT vec_id, label, chunk, CASE WHEN lo = hi THEN (rn > n // 2)::INTEGER ELSE above END AS cluster FROM (
@@ -137,6 +137,31 @@ def flagship_clustered(spark, d):
     return weights.cluster_weights(found, "vec_id").select("vec_id", "chunk", "cluster", "updated", F.round("weight", 10).alias("weight"))
 
 
+@query(
+    "cluster_planted",
+    f"SELECT vec_id, chunk, min(vec_id) OVER (PARTITION BY chunk, vec_id % 3) AS chief, round(1.0::DOUBLE / count(*) OVER (PARTITION BY chunk, vec_id % 3), 10) AS weight FROM ({CHUNKS})",
+)
+def cluster_planted(spark, d):
+    """The chain over three planted clusters in each chunk, one direction each: the kernel must find them."""
+    axis = F.array(*[(F.col("vec_id") % 3 == k).cast("double") for k in range(3)])
+    found = clustering.cluster_chunks(_chunks(spark, d).withColumn("embedding", axis), "vec_id", least=5, fallback=False)
+    w = weights.cluster_weights(found, "vec_id")
+    return w.select("vec_id", "chunk", F.min("vec_id").over(Window.partitionBy("chunk", "cluster")).alias("chief"), F.round("weight", 10).alias("weight"))
+
+
+@query("cluster_sizes", f"SELECT chunk, cluster, count(*) AS n, round(avg(weight), 10) AS mean_weight FROM ({WEIGHTED}) GROUP BY chunk, cluster")
+def cluster_sizes(spark, d):
+    return _weighted(spark, d).groupBy("chunk", "cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("weight"), 10).alias("mean_weight"))
+
+
+@query("weights_roundtrip", f"SELECT 'img_' || lpad(vec_id::VARCHAR, 6, '0') AS image_path, round(weight, 10) AS weight, 'computed' AS source FROM ({WEIGHTED})")
+def weights_roundtrip(spark, d):
+    """The weight table written and read back, as a later run takes it instead of clustering."""
+    at = scratch(spark, "weights")
+    save_weights(weights_table(spark, d).select("image_path", "weight"), at, "computed")
+    return read_weights(spark, at)
+
+
 LEFT = "SELECT vec_id, label, 'p' || (vec_id // 2) AS path FROM embeddings"
 RIGHT = "SELECT 'p' || (vec_id // 2) AS path, label, round(1.0::DOUBLE / (1 + vec_id), 10) AS weight, vec_id AS seq FROM embeddings WHERE vec_id % 50 <> 7"
 ALIGN = f"""SELECT coalesce(l.path, r.path) AS path, coalesce(l.label, r.label) AS label, vec_id, seq, weight

@@ -19,5 +19,17 @@ def windowed_counts(stream: DataFrame, label: str, width: str = "1 day", late: s
 
 
 def run_available(counts: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what there is and stop; the sink is a Parquet folder with exactly-once commits."""
+    """Process what there is and stop.
+
+    In append mode the sink is a Parquet folder with exactly-once commits of
+    closed windows; in complete mode each batch puts the whole result, open
+    windows included, in place of the last one.
+    """
+    if mode == "complete":
+
+        def put(batch: DataFrame, _: int) -> None:
+            batch.write.mode("overwrite").parquet(path)
+
+        counts.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return
     counts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()

@@ -145,3 +145,31 @@ def test_neighbours_against_brute_force_with_ties(spark, monkeypatch):
     assert {t["q"]: (t["label"], t["vote"]) for t in got.collect()} == want
     assert separability.neighbours(df, df.filter("id < 0"), "id", 7).count() == 0
     assert separability.neighbours(df.filter("id < 2"), df.filter("id < 3"), "id", 7).count() == 2
+
+
+def test_clustering_checks_and_options():
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(0, 0.01, (30, 2)), r.normal(0, 0.01, (30, 2)) + [0.5, 0], r.normal(0, 0.01, (30, 2)) + [9, 9]])
+    for bad in ([], np.ones(3), np.ones((2, 2, 2))):
+        with pytest.raises(ValueError):
+            clustering.density_labels(bad, 2)
+    with pytest.raises(ValueError):
+        clustering.density_labels(x, 10, metric="nearest")
+    by = lambda **o: clustering.density_labels(x, 10, metric=" Euclidean ", **o)
+    assert {frozenset(by()[k : k + 30]) for k in (0, 30)} and by()[0] != by()[30]
+    wide = by(epsilon=2.0)
+    assert wide[0] == wide[30] >= 0 and wide[0] != wide[60]
+    blob = x[:30]
+    assert (clustering.density_labels(blob, 20, metric="euclidean") == -1).all()
+    assert (clustering.density_labels(blob, 20, metric="euclidean", single=True) == 0).sum() > 20
+    assert (clustering.density_labels(x, 10, metric=lambda a, b: np.abs(a[:, None, 0] - b[None, :, 0])) >= 0).any()
+
+
+def test_resolved_paths_and_names(spark):
+    listing = spark.createDataFrame([(p,) for p in ["a/x.mp4", "b/c/y.avi", "b/y.wmv", "a/y.wmv", "d/z.tar.mkv", "e/w.txt"]], "path string")
+    ids = spark.createDataFrame([(i,) for i in ["./a\\\\x".replace("\\\\", "\\"), "q/y", "z.tar", "w.txt", "none", "", "a/x.mp4"]], "f string")
+    got = {r["f"]: r["resolved"] for r in annotations.resolved_paths(ids, listing, "f", "path").collect()}
+    assert got == {"./a\\x": "a/x.mp4", "q/y": "a/y.wmv", "z.tar": "d/z.tar.mkv", "w.txt": "e/w.txt", "none": "none.mp4", "": ".mp4", "a/x.mp4": "a/x.mp4"}
+    assert annotations.activity_column(["id", " Action "]) == 1 and annotations.activity_column(list("abcdef")) == 5
+    with pytest.raises(ValueError):
+        annotations.activity_column(["id"])
