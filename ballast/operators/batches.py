@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballast.functions.running import running
+
 EPS = 1e-10
 
 
@@ -43,30 +45,39 @@ def improvement(before: Column, after: Column) -> Column:
 def concentration(counts: DataFrame, value: str = "n") -> DataFrame:
     """One row for each distinct value, ascending: items, draws, and their running shares.
 
-    Equal values are added up first, so the window has one row for each distinct
-    value and not one for each item.
+    Equal values are added up first, so there is one row for each distinct value
+    and not one for each item.
     """
     groups = counts.filter(F.col(value) >= 0).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("items"))
-    up = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
     drawn = F.col("x") * F.col("items")
-    return groups.select(
-        "x", "items", F.round(F.sum("items").over(up) / F.sum("items").over(total), 8).alias("item_share"),
-        F.round(F.sum(drawn).over(up) / F.sum(drawn).over(total), 8).alias("draw_share"),
-    )
+    total = groups.agg(F.sum("items").alias("_all"), F.sum(drawn).alias("_drawn"))
+    up = running(groups, "x", [], {"_items": F.col("items"), "_draws": drawn}).crossJoin(F.broadcast(total))  # one row
+    return up.select("x", "items", F.round(F.col("_items") / F.col("_all"), 8).alias("item_share"), F.round(F.col("_draws") / F.col("_drawn"), 8).alias("draw_share"))
 
 
 def gini(counts: DataFrame, value: str = "n") -> DataFrame:
     """2 sum(i x_i) / (n sum(x)) - (n + 1) / n over ascending values; null if empty or all zero."""
     groups = counts.filter(F.col(value) >= 0).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    r = F.coalesce(F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = groups.withColumn("_r", F.col("c") * r + F.col("c") * (F.col("c") + 1) / 2)
+    ranks = running(groups, "x", [], {"_to": F.col("c")}).withColumn("_r", F.col("c") * (F.col("_to") - F.col("c")) + F.col("c") * (F.col("c") + 1) / 2)
     n, s = F.sum("c").cast("double"), F.sum(F.col("x") * F.col("c")).cast("double")
     return ranks.agg(F.when(s > 0, F.round(2 * F.sum(F.col("x") * F.col("_r")) / (n * s) - (n + 1) / n, 8)).alias("gini"))
 
 
+def ecdf(kl: DataFrame, value: str = "kl", tie: str = "batch_id") -> DataFrame:
+    """(tie, value, y): the share of rows up to each, ties in steps of their own."""
+    total = kl.agg(F.count(F.lit(1)).alias("_all"))
+    ranks = running(kl, value, [tie], {"_rn": F.lit(1)}).crossJoin(F.broadcast(total))  # one row
+    return ranks.select(tie, value, F.round(F.col("_rn") / F.col("_all"), 8).alias("y"))
+
+
 def rolling_mean(kl: DataFrame, width: int, batch: str = "batch_id") -> DataFrame:
-    """Mean of the last ``width`` batches, full windows only; fewer batches give one mean. Rows are batches, not records."""
-    order = Window.orderBy(batch)
-    w = kl.withColumns({"_rn": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy()), "_m": F.avg("kl").over(order.rowsBetween(-(width - 1), 0))})
-    return w.filter((F.col("_rn") >= width) | ((F.col("_n") < width) & (F.col("_rn") == F.col("_n")))).select(F.col("_rn").cast("long").alias("x"), F.round("_m", 7).alias("mean"))
+    """Mean of the last ``width`` batches, full windows only; fewer batches give one mean.
+
+    Every batch is sent to the ``width`` windows that hold it, which are then averaged.
+    """
+    total = kl.agg(F.count(F.lit(1)).alias("_all"))
+    ranks = running(kl, batch, [], {"_rn": F.lit(1)}).crossJoin(F.broadcast(total))  # one row
+    last = F.least(F.col("_rn") + width - 1, F.col("_all"))
+    held = ranks.select("kl", "_all", F.explode(F.sequence(F.col("_rn"), last)).alias("x"))
+    means = held.groupBy(F.col("x").cast("long").alias("x")).agg(F.avg("kl").alias("_m"), F.max("_all").alias("_all"))
+    return means.filter((F.col("x") >= width) | ((F.col("_all") < width) & (F.col("x") == F.col("_all")))).select("x", F.round("_m", 7).alias("mean"))

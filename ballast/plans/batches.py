@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ballast.functions.running import running
 from ballast.operators import batches, sampling
 from ballast.plans.base import query
 from ballast.plans.weighting import DRAWS, _draws
@@ -73,9 +74,9 @@ def batch_unique(spark, d):
 def cumulative_unique(spark, d):
     e = _events(spark, d)
     fresh = e.groupBy("user_id").agg(F.min("batch_id").alias("batch_id")).groupBy("batch_id").agg(F.count(F.lit(1)).alias("f"))
-    up = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
     each = e.groupBy("batch_id").agg(F.count_distinct("user_id").alias("u")).join(fresh, "batch_id", "left")
-    return each.select("batch_id", F.sum("u").over(up).alias("cum_batch_unique"), F.sum(F.coalesce("f", F.lit(0))).over(up).alias("cum_true_unique"))
+    up = running(each, "batch_id", [], {"cum_batch_unique": F.col("u"), "cum_true_unique": F.coalesce("f", F.lit(0))})
+    return up.select("batch_id", "cum_batch_unique", "cum_true_unique")
 
 
 FREQ = f"SELECT d.doc_id, count(*) AS n, any_value(n_chars) AS weight FROM ({DRAWS}) r JOIN documents d ON r.doc_id = d.doc_id GROUP BY d.doc_id"
@@ -103,8 +104,7 @@ def kl_rolling(spark, d):
 
 @query("kl_ecdf", f"SELECT batch_id, kl, round(row_number() OVER (ORDER BY kl, batch_id)::DOUBLE / count(*) OVER (), 8) AS y FROM ({KL})")
 def kl_ecdf(spark, d):
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return _kl(spark, d).select("batch_id", "kl", F.round(F.row_number().over(Window.orderBy("kl", "batch_id")) / n, 8).alias("y"))
+    return batches.ecdf(_kl(spark, d).select("batch_id", "kl"))
 
 
 @query("kl_histogram", f"SELECT bin, count(*) AS n FROM (SELECT least(floor(kl / 0.01::DOUBLE), 19)::BIGINT AS bin FROM ({KL})) GROUP BY bin")
