@@ -15,7 +15,9 @@ never passes through the driver.
 Defined results: null or wordless text has no hits. Items without words have no
 window; items with a null id are left out; an item id that occurs more than once
 has the windows of all its rows. Repeated documents get equal rows. An empty
-benchmark contaminates nothing.
+benchmark contaminates nothing, an empty table gives an empty result. Very long
+texts are shards of their own. Extra columns pass through; columns named as
+results are replaced.
 """
 
 from __future__ import annotations
