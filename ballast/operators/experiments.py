@@ -66,6 +66,50 @@ def space_info(space: DataFrame) -> DataFrame:
     return space.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(said)), ",").alias("parameters"))
 
 
+#: Where a trial's parameter stands in a configuration; later rows win over earlier ones.
+TRIAL_PATHS = [
+    ("learning_rate", "optimizer.lr"), ("learning_rate", "scheduler.start_lr"), ("weight_decay", "optimizer.weight_decay"), ("initial_lr", "optimizer.lr"), ("initial_lr", "scheduler.start_lr"),
+    ("end_lr", "scheduler.end_lr"), ("optimizer", "optimizer.name"), ("scheduler", "scheduler.name"), ("batch_size", "dataloader.batch_size"), ("dropout", "model.dropout"),
+]
+
+#: What an optimizer needs (its default) and what it can't take (null).
+OPTIMIZER_NEEDS = {
+    "SGD": {"betas": None, "eps": None, "amsgrad": None, "momentum": "0.9", "dampening": "0.0", "nesterov": "false"},
+    "ADAM": {"dampening": None, "nesterov": None, "betas": "[0.9, 0.999]", "eps": "1e-8", "amsgrad": "false"},
+    "ADAMW": {"dampening": None, "nesterov": None, "betas": "[0.9, 0.999]", "eps": "1e-8", "amsgrad": "false"},
+}
+
+
+def trial_config(base: DataFrame, trials: DataFrame) -> DataFrame:
+    """(trial, path, value): the base configuration (path, value) under each trial's parameters (trial, key, value).
+
+    Unknown parameters have no path and no effect. A trial that names an
+    optimizer loses the settings this one can't take and gets the defaults it
+    needs; other trials keep the base's. A trial without known parameters is the base.
+    """
+    spark = trials.sparkSession
+    paths = spark.createDataFrame([(k, f, i) for i, (k, f) in enumerate(TRIAL_PATHS)], "key string, path string, _order int")
+    needs = spark.createDataFrame([(o, f"optimizer.{k}", v) for o, all_ in OPTIMIZER_NEEDS.items() for k, v in all_.items()], "_name string, path string, _need string")
+    named = F.when(F.col("path") == "optimizer.name", F.upper("value")).otherwise(F.col("value"))
+    own = trials.join(F.broadcast(paths), "key").groupBy("trial", "path").agg(F.max_by("value", "_order").alias("value")).select("trial", "path", named.alias("_own"))
+    needed = own.filter("path = 'optimizer.name'").select("trial", F.col("_own").alias("_name")).join(F.broadcast(needs), "_name").select("trial", "path", "_need", F.lit(True).alias("_ruled"))
+    of_base = trials.select("trial").distinct().crossJoin(base.select("path", F.col("value").alias("_base")))  # a configuration's settings, for each trial
+    merged = of_base.join(own, ["trial", "path"], "full").join(needed, ["trial", "path"], "full")
+    value = F.coalesce("_own", "_base")
+    stays = F.col("_ruled").isNull() | F.col("_need").isNotNull()
+    return merged.filter(stays).select("trial", "path", F.coalesce(value, F.col("_need")).alias("value"))
+
+
+#: Parameters of the weighting that extend a search space, as (name, kind, low, high).
+WEIGHTING_SPACE = [("min_cluster_size", "integer", 10.0, 50.0), ("outlier_weight", "log", 0.0001, 0.01)]
+
+
+def extended_space(space: DataFrame) -> DataFrame:
+    """A search space (name, kind, low, high, choices) with the weighting's parameters, where it doesn't have them already."""
+    more = space.sparkSession.createDataFrame([(*p, None) for p in WEIGHTING_SPACE], "name string, kind string, low double, high double, choices array<string>")
+    return space.unionByName(more.join(space.select("name"), "name", "left_anti"))
+
+
 def duration_text(seconds: Column) -> Column:
     """Whole seconds as HH:MM:SS."""
     s = seconds.cast("long")

@@ -159,6 +159,21 @@ def batch_cap(spark, d):
 @query("stream_daily_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, d):
     """Counts by day through a stream that is run to its end, open windows included."""
+    return _streamed_days(spark, d)
+
+
+DAILY = "SELECT event_id, user_id, event_type AS label, strftime(date_trunc('day', ts), '%Y-%m-%d') AS batch_id FROM events"
+
+
+@query("stream_batch_kl", f"SELECT batch_id AS day, \"rows\", kl, entropy FROM ({KL.replace(EVENTS, DAILY)})")
+def stream_batch_kl(spark, d):
+    """Divergence of each day's event types, from the counts that a stream gives."""
+    counts = _streamed_days(spark, d).withColumnRenamed("event_type", "label")
+    hist = counts.select("day").distinct().crossJoin(F.broadcast(counts.select("label").distinct())).join(counts, ["day", "label"], "left")  # class dimension only
+    return batches.divergence(hist.select("day", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n")), "day").select("day", "rows", "kl", "entropy")
+
+
+def _streamed_days(spark, d):
     at = scratch(spark, "stream")
     schema = table(spark, d, "events").schema
     counts = stream.windowed_counts(stream.event_stream(spark, d, "events", schema), "event_type")

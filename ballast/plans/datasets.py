@@ -111,6 +111,23 @@ def variant_manifest(spark, d):
     return parts.groupBy("variant", "split", F.col("lang").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+BINARY = "CASE WHEN lang = 'en' THEN 'non_distracted' ELSE 'distracted' END"
+
+
+@query(
+    "binary_variants",
+    f"""WITH c AS (SELECT 'balanced_binary' AS variant, split, {BINARY} AS class, count(*) AS n FROM ({SPLIT}) GROUP BY ALL
+    UNION ALL SELECT 'imbalanced_binary', 'train', {BINARY} AS class, count(*) FROM ({TAIL}) GROUP BY ALL
+    UNION ALL SELECT 'imbalanced_binary', split, {BINARY} AS class, count(*) FROM ({SPLIT}) WHERE split <> 'train' GROUP BY split, class)
+    SELECT variant, split, class, n, sum(n) OVER (PARTITION BY variant, split)::BIGINT AS total FROM c""",
+)
+def binary_variants(spark, d):
+    """Counts of the two binary data sets made from the balanced and the imbalanced one, with each split's total."""
+    counts = variant_manifest(spark, d).withColumn("class", F.when(annotations.relabel_set(F.col("class"), ["en"]) == 0, "non_distracted").otherwise("distracted"))
+    counts = counts.groupBy(F.concat("variant", F.lit("_binary")).alias("variant"), "split", "class").agg(F.sum("n").alias("n"))
+    return counts.withColumn("total", F.sum("n").over(Window.partitionBy("variant", "split")))
+
+
 @query("balanced_pool", "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id), event_id) AS rn FROM events) WHERE rn <= 20")
 def balanced_pool(spark, d):
     return splits.head_per_class(table(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type", 20)

@@ -280,8 +280,42 @@ def batch_loss_accuracy(spark, d):
 
 @query("search_space_info", "SELECT * FROM (VALUES ('choice', 2, 'batch_size:32|64|128,optimizer:adam|sgd'), ('log', 2, 'rate:0.001..0.1,weight_decay:1.0E-6..0.01'), ('uniform', 1, 'dropout:0.0..0.5')) t(kind, n, parameters)")
 def search_space_info(spark, d):
+    return experiments.space_info(_space(spark))
+
+
+@query("search_space_extended", "SELECT * FROM (VALUES ('choice', 2, 'batch_size:32|64|128,optimizer:adam|sgd'), ('integer', 1, 'min_cluster_size:10.0..50.0'), ('log', 3, 'outlier_weight:1.0E-4..0.01,rate:0.001..0.1,weight_decay:1.0E-6..0.01'), ('uniform', 1, 'dropout:0.0..0.5')) t(kind, n, parameters)")
+def search_space_extended(spark, d):
+    return experiments.space_info(experiments.extended_space(_space(spark)))
+
+
+def _space(spark):
     space = [("rate", "log", 0.001, 0.1, None), ("weight_decay", "log", 1e-6, 0.01, None), ("dropout", "uniform", 0.0, 0.5, None), ("optimizer", "choice", None, None, ["adam", "sgd"]), ("batch_size", "choice", None, None, ["32", "64", "128"])]
-    return experiments.space_info(spark.createDataFrame(space, "name string, kind string, low double, high double, choices array<string>"))
+    return spark.createDataFrame(space, "name string, kind string, low double, high double, choices array<string>")
+
+
+BASE_CONFIG = [("optimizer.name", "SGD"), ("optimizer.lr", "0.001"), ("optimizer.momentum", "0.8"), ("optimizer.nesterov", "true"), ("scheduler.name", "cosine"), ("scheduler.start_lr", "0.001"), ("dataloader.batch_size", "128")]
+_BASE = ", ".join(f"('{p}', '{v}')" for p, v in BASE_CONFIG)
+
+
+@query(
+    "trial_config",
+    f"""WITH t AS (SELECT event_type AS trial, count(*) AS n FROM events GROUP BY event_type),
+    cfg AS (SELECT trial, n, CASE WHEN n % 3 = 0 THEN 'SGD' WHEN n % 3 = 1 THEN 'ADAMW' END AS opt, (32 * (1 + n % 4))::VARCHAR AS bs, ('0.' || (1 + n % 9)::VARCHAR) AS lr, CASE WHEN n % 2 = 0 THEN '0.05' END AS first_lr FROM t),
+    merged AS (SELECT trial, opt, path, CASE path WHEN 'optimizer.name' THEN coalesce(opt, value) WHEN 'optimizer.lr' THEN coalesce(first_lr, lr) WHEN 'scheduler.start_lr' THEN coalesce(first_lr, lr) WHEN 'dataloader.batch_size' THEN bs ELSE value END AS value FROM cfg, (VALUES {_BASE}) b(path, value)),
+    adam AS (SELECT trial, opt, path, value FROM cfg, (VALUES ('optimizer.betas', '[0.9, 0.999]'), ('optimizer.eps', '1e-8'), ('optimizer.amsgrad', 'false')) x(path, value) WHERE opt = 'ADAMW'),
+    sgd AS (SELECT trial, 'optimizer.dampening' AS path, '0.0' AS value FROM cfg WHERE opt = 'SGD')
+    SELECT trial, path, value FROM merged WHERE NOT (coalesce(opt, '') = 'ADAMW' AND path = 'optimizer.nesterov') UNION ALL SELECT trial, path, value FROM adam UNION ALL SELECT trial, path, value FROM sgd""",
+)
+def trial_config(spark, d):
+    """Configurations of one trial for each event type, whose parameters come from its counts; 'unknown' has no place in a configuration."""
+    t = table(spark, d, "events").groupBy(F.col("event_type").alias("trial")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    values = {
+        "optimizer": F.when(n % 3 == 0, "sgd").when(n % 3 == 1, "AdamW"), "batch_size": (32 * (1 + n % 4)).cast("string"), "learning_rate": F.concat(F.lit("0."), (1 + n % 9).cast("string")),
+        "initial_lr": F.when(n % 2 == 0, "0.05"), "unknown": F.lit("1"),
+    }
+    trials = t.select("trial", F.explode(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])).alias("key", "value")).filter("value IS NOT NULL")
+    return experiments.trial_config(spark.createDataFrame(BASE_CONFIG, "path string, value string"), trials)
 
 
 LOG = "SELECT event_type AS run, (event_id // 100)::BIGINT AS epoch, round(avg(value), 6) AS metric FROM events GROUP BY ALL"

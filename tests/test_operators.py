@@ -173,3 +173,25 @@ def test_resolved_paths_and_names(spark):
     assert annotations.activity_column(["id", " Action "]) == 1 and annotations.activity_column(list("abcdef")) == 5
     with pytest.raises(ValueError):
         annotations.activity_column(["id"])
+
+
+def test_trial_config_normalises_the_optimizer(spark):
+    from ballast.operators import experiments
+
+    base = spark.createDataFrame([("optimizer.name", "ADAM"), ("optimizer.betas", "[0.5, 0.9]"), ("optimizer.lr", "1")], "path string, value string")
+    trials = spark.createDataFrame([("a", "optimizer", "sgd"), ("a", "initial_lr", "3"), ("a", "learning_rate", "2"), ("b", "optimizer", "adam"), ("c", "other", "9"), ("d", "learning_rate", "2")], "trial string, key string, value string")
+    got = {}
+    for r in experiments.trial_config(base, trials).collect():
+        got.setdefault(r["trial"], {})[r["path"]] = r["value"]
+    assert got["a"] == {"optimizer.name": "SGD", "optimizer.lr": "3", "scheduler.start_lr": "3", "optimizer.momentum": "0.9", "optimizer.dampening": "0.0", "optimizer.nesterov": "false"}
+    assert got["b"] == {"optimizer.name": "ADAM", "optimizer.lr": "1", "optimizer.betas": "[0.5, 0.9]", "optimizer.eps": "1e-8", "optimizer.amsgrad": "false"}
+    assert got["c"] == {"optimizer.name": "ADAM", "optimizer.lr": "1", "optimizer.betas": "[0.5, 0.9]"}
+    assert got["d"] == {"optimizer.name": "ADAM", "optimizer.lr": "2", "scheduler.start_lr": "2", "optimizer.betas": "[0.5, 0.9]"}
+
+
+def test_extended_space_keeps_own_parameters(spark):
+    from ballast.operators import experiments
+
+    own = spark.createDataFrame([("outlier_weight", "uniform", 0.0, 1.0, None)], "name string, kind string, low double, high double, choices array<string>")
+    got = {r["name"]: r["kind"] for r in experiments.extended_space(own).collect()}
+    assert got == {"outlier_weight": "uniform", "min_cluster_size": "integer"}
