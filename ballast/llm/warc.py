@@ -16,8 +16,8 @@ manifest it commits is what readers go by. Files of lost attempts stay unnamed.
 
 Defined results: null html is an empty payload; a null url gets a urn of its
 page. Rows equal in page id and payload: one is the response, the repeats revisit
-it. Null page ids sort first and count as largest in choosing the response. Very
-long payloads are records of their own size. An empty table gives an empty
+it. Null page ids sort first, in blocks by digest, so that many of them make many
+parts, and count as largest in choosing the response. Very long payloads are records of their own size. An empty table gives an empty
 manifest and no records. Only the id, url and html columns are read, so no other
 column can clash.
 """
@@ -128,8 +128,11 @@ def write(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEA
     fs, top = open_fs(folder)
     fs.create_dir(top)
     html = F.coalesce(F.col("html"), F.lit(""))
-    block = F.coalesce(F.floor(F.col("page_id") / BLOCK_IDS).cast("long"), F.lit(-(2**62)))
-    narrow = written(pages.select("page_id", block.alias("block"), F.sha2(html.cast("binary"), 256).alias("sha"), F.octet_length(html).cast("long").alias("n")), "warc-narrow")
+    # Rows without id may be many: they come first, in blocks by their digest.
+    by_digest = F.lit(-(2**62)) + F.conv(F.substring("sha", 1, 4), 16, 10).cast("long")
+    block = F.coalesce(F.floor(F.col("page_id") / BLOCK_IDS).cast("long"), by_digest)
+    told = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("sha")).withColumn("block", block)
+    narrow = written(told.select("page_id", "block", "sha", F.octet_length("html").cast("long").alias("n")), "warc-narrow")
     sums = block_starts(narrow.groupBy("block").agg(F.sum("n").alias("bytes")).withColumn("all", F.lit(0)), ["all"], "block", "bytes", "before")
     parts = written(sums.select("block", F.floor(F.col("before") / part_bytes).cast("int").alias("part")), "warc-parts")
     count = (parts.agg(F.max("part")).first()[0] or 0) + 1
@@ -138,7 +141,7 @@ def write(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEA
     firsts = long.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 AND first IS NOT NULL").drop("rows")
     marks = long.join(firsts, "sha").filter("page_id IS NULL OR page_id <> first")
     marks = marks.select("page_id", "block", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "first")
-    content = pages.select("page_id", block.alias("block"), F.lit(1).alias("kind"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("sha"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("first"))
+    content = told.select("page_id", "block", F.lit(1).alias("kind"), "url", "html", "sha", F.lit(None).cast(pages.schema["page_id"].dataType).alias("first"))
     rows = content.unionByName(marks).join(parts, "block").drop("block").repartitionById(count, "part").sortWithinPartitions("part", "page_id", "kind", "sha", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -555,6 +556,19 @@ def test_op10_archives_of_a_large_table_are_deterministic(spark):
     assert found[0] == found[1] and len(found[0]) > 6
 
 
+def test_op10_many_pages_without_id(spark):
+    """Rows without id are spread over parts; equal payloads among them have one response, or revisit the smallest id."""
+    rows = [(None, f"u{k}", f"page {k % 150} " + "x" * 200) for k in range(300)] + [(7, "v", "page 0 " + "x" * 200), (9, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder, manifest = warc.write(pages, part_bytes=5000)
+    assert manifest.count() > 3
+    found = warc.read(folder, manifest).collect()
+    kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in found)
+    assert kinds == {(None, "response", None): 149, (None, "revisit", None): 149, (None, "revisit", 7): 2, (7, "response", None): 1, (9, "response", None): 1}
+    again = warc.write(pages.repartition(7), part_bytes=5000)[1]
+    assert sorted(manifest.collect()) == sorted(again.collect())
+
+
 @pytest.mark.parametrize("op", [quality.op1, neardup.op2, html_text.op3, huffman.op4, decontam.op5, secrets.op6, mixing.op7, substrings.op8, sharding.op9, warc.op10])
 def test_empty_tables(spark, hollow, op):
     assert op(spark, hollow).count() == 0
