@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ballast.llm import decontam, html_text, huffman, mixing, neardup, quality, secrets, sharding, substrings, warc
+from ballast.llm import centroids, decontam, html_text, huffman, line_index, mixing, neardup, quality, secrets, sharding, substrings, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_substrings_prefix_doubling": substrings.op8,
         "op9_sharding_minimax": sharding.op9,
         "op10_warc_shards": warc.op10,
+        "op11_clusters_exponion": centroids.op11,
+        "op12_codes_kd_trees": vector_codes.op12,
+        "op13_lines_perfect_hash": line_index.op13,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_divergence": quality.SQL, "op7_mixing_temperature": mixing.SQL, "op10_warc_shards": warc.SQL}
+    return {
+        "op1_quality_divergence": quality.SQL,
+        "op7_mixing_temperature": mixing.SQL,
+        "op10_warc_shards": warc.SQL,
+        "op11_clusters_exponion": centroids.SQL,
+        "op12_codes_kd_trees": vector_codes.SQL,
+        "op13_lines_perfect_hash": line_index.SQL,
+    }
