@@ -78,6 +78,18 @@ def plan(docs: DataFrame, source: str = "source", max_repeats: float = MAX_REPEA
     return sources.withColumn("weight", weight).withColumn("repeats", repeats).withColumn("exponent", F.lit(exponent))
 
 
+def row_values(df: DataFrame) -> list[Column]:
+    """Columns whose hash tells rows apart that differ anywhere: plain values, which of them are null, and nested values as JSON.
+
+    Hashes skip nulls and can't take maps, so (null, x) and (x, null) would be one row without the flags.
+    """
+    nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct", "variant")]
+    plain = [F.col(c) for c in df.columns if c not in nested]
+    flags = [F.concat(*[c.isNull().cast("int").cast("string") for c in plain])] if plain else []
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return [*plain, *flags, *[F.to_json(F.struct(c), options) for c in nested]]
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
     """Every pass of every document that the mixture holds, with ``n_tokens``, ``epoch``, ``block`` and ``place`` in the block.
 
@@ -89,7 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     hashed = lambda *of: F.conv(F.substring(F.md5(F.concat_ws(":", *of)), 1, 15), 16, 10).cast("long")
     key_of = lambda epoch: hashed(F.lit(seed), epoch, F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
     # 128 bits of the whole row stand for it: rows equal in all columns may stand in for each other.
-    whole_row = [F.col(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    whole_row = row_values(docs)
     a, b = unused([*docs.columns, "n_tokens", "epoch", "block", "place"], "_a", "_b")
     names = {a: F.xxhash64(*whole_row), b: F.xxhash64(F.lit(seed), *reversed(whole_row))}
 
