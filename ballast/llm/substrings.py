@@ -22,10 +22,13 @@ The first step is one sort of rank pairs at offset ``GRAM``, not a chain of
 doublings over all bytes; what it leaves is doubled twice, in tasks that each hold
 the stretches of some anchors (at most ``GROUP`` for each anchor).
 
+Different texts of one id are numbered first, from hashes, so that no two of them
+share a key; without such ids that costs one narrow aggregation.
+
 Defined results: null text has no bytes; texts under ``least`` bytes lose
 nothing. Documents are ordered by id, then by a hash of their text; rows without
 id come first, by such a hash. Rows equal in id and text are one document and get
-equal results. Long texts are cut into overlapping pieces for the work, never for
+equal results. One id may have up to 2**25 different texts; more are an error. Long texts are cut into overlapping pieces for the work, never for
 the result. An empty table gives an empty result. Extra columns pass through;
 columns named as results are replaced, and columns for the work get names that
 the input doesn't have.
@@ -38,16 +41,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import RollingHash, flat_bytes, mixed, row_steps, unused, written
+from ballast.llm.common import RollingHash, block_starts, discard, flat_bytes, mixed, row_steps, unused, written
 
 LEAST = 100
 GRAM = 36
 GROUP = 2000
 NO_ID = -(2**63)
-_TIE = 25  # bits of the text's hash that order rows of one id
+_TIE = 25  # bits of the number of a text among those of its id
+_BUCKETS = 4096
 
 
 def _argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -98,16 +102,48 @@ def stretches(flat: np.ndarray, offsets: np.ndarray, least: int, gram: int, roll
     return r, w, n, a.view(np.int64), s.view(np.int64)
 
 
-def _keys(id_col: str, text: str) -> tuple[Column, Column]:
-    """(document, tie): ids from -2**62 on stand for themselves; rows without id get a number below, by their text."""
+def _names(id_col: str, text: str) -> tuple[Column, Column, Column]:
+    """(document, two hashes of the text): ids from -2**62 on stand for themselves; rows without id get a number below, by their text."""
     t = F.coalesce(F.col(text), F.lit(""))
     without = F.lit(NO_ID) + F.xxhash64(t).bitwiseAND(F.lit((1 << 61) - 1))
-    return F.coalesce(F.col(id_col).cast("long"), without), F.pmod(F.xxhash64(F.lit(1), t), F.lit(1 << _TIE)).cast("long")
-
-
-def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    doc, tie = _keys(id_col, text)
-    return docs.select(doc.alias("_doc"), tie.alias("_tie"), F.col(text).alias("text"))
+    return F.coalesce(F.col(id_col).cast("long"), without), F.xxhash64(t), F.xxhash64(F.lit(1), t)
+
+
+def _ties(docs: DataFrame, id_col: str, text: str) -> DataFrame | None:
+    """(doc, h, g, tie): numbers from 0 for the different texts of each document key that has several; None if there are none.
+
+    Keys are counted in buckets of hashes, so no task holds all texts of one id.
+    """
+    doc, h, g = _names(id_col, text)
+    named = docs.select(doc.alias("doc"), h.alias("h"), g.alias("g"))
+    several = named.groupBy("doc").agg(*[f(c).alias(f"{n}_{c}") for c in "hg" for n, f in (("min", F.min), ("max", F.max))])
+    several = written(several.filter("min_h <> max_h OR min_g <> max_g").select("doc"), "several")
+    if several.isEmpty():
+        discard(several)
+        return None
+    texts = written(named.join(several, "doc").distinct().withColumn("bucket", F.pmod("h", F.lit(_BUCKETS))), "texts")
+    starts = block_starts(texts.groupBy("doc", "bucket").agg(F.count(F.lit(1)).alias("n")), ["doc"], "bucket", "n", "start").drop("n")
+    rank = F.row_number().over(Window.partitionBy("doc", "bucket").orderBy("h", "g")) - 1 + F.col("start")
+    many = F.raise_error(F.lit(f"an id has more than 2**{_TIE} different texts")).cast("long")
+    ties = written(texts.join(starts, ["doc", "bucket"]).select("doc", "h", "g", rank.cast("long").alias("tie")), "ties")
+    discard(several, texts)
+    return ties.withColumn("tie", F.when(F.col("tie") < (1 << _TIE), F.col("tie")).otherwise(many))
+
+
+def _with_keys(docs: DataFrame, id_col: str, text: str, ties: DataFrame | None, into: tuple[str, str]) -> DataFrame:
+    """``docs`` with the document key and the number of the text among those of its key."""
+    doc, h, g = _names(id_col, text)
+    docs = docs.withColumn(into[0], doc)
+    if ties is None:
+        return docs.withColumn(into[1], F.lit(0).cast("long"))
+    own, a, b, tie = unused([*docs.columns, *into], "_own", "_a", "_b", "_number")
+    found = docs.withColumns({a: h, b: g}).join(ties.toDF(own, f"{a}_", f"{b}_", tie), (F.col(into[0]) == F.col(own)) & (F.col(a) == F.col(f"{a}_")) & (F.col(b) == F.col(f"{b}_")), "left")
+    return found.withColumn(into[1], F.coalesce(F.col(tie), F.lit(0))).select(*docs.columns, into[1])
+
+
+def _keyed(docs: DataFrame, id_col: str, text: str, ties: DataFrame | None) -> DataFrame:
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    return _with_keys(narrow, "id", "text", ties, ("_doc", "_tie")).select("_doc", "_tie", "text")
 
 
 def _first_of(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,7 +381,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     spark = docs.sparkSession
     docs = docs.drop("n_bytes", "removed", "kept")
     doc, tie, found = unused([*docs.columns, "n_bytes", "removed", "kept"], "_doc", "_tie", "_spans")
-    keyed = _keyed(docs, id_col, text)
+    ties = _ties(docs, id_col, text)
+    keyed = _keyed(docs, id_col, text, ties)
     matches = written(_reranked(_pairs(keyed, least, gram)), "matches")
     _release(spark)
     edges = matches.filter("edge").drop("edge")
@@ -354,7 +391,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     more = written(_edge_matches(_edge_rows(keyed, edges, least), least), "edge-matches")
     _release(spark)
     spans = matches.filter("NOT edge").unionByName(more).groupBy(F.col("doc").alias(doc), F.col("tie").alias(tie)).agg(F.collect_list(F.struct("lo", (F.col("lo") + F.col("n") + (least - 1)).alias("hi"))).alias(found))
-    joined = docs.withColumns(dict(zip((doc, tie), _keys(id_col, text)))).join(spans, [doc, tie], "left").select(*docs.columns, found)
+    joined = _with_keys(docs, id_col, text, ties, (doc, tie)).join(spans, [doc, tie], "left").select(*docs.columns, found)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

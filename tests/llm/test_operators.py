@@ -427,6 +427,20 @@ def test_op7_targets(spark):
         assert abs(r[1] - 500 * plan[r[0]]["weight"]) <= 10
 
 
+def test_op7_keeps_each_rows_own_values(spark):
+    """Rows that differ in a nested value alone, or in which of two columns is null, keep what they hold."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import Row
+
+    extra = [({"k": 1}, [{"k": 1}], None, "x"), ({"k": 2}, [{"k": 1}], None, "x"), ({"k": 1}, [{"k": 2}], "x", None), ({"k": None}, [], "x", None), ({}, [None], "x", None), (None, None, None, None), ({"k": 1}, [{"k": 1}], None, "x")]
+    rows = [(1, "some words in a text", "s", *e) for e in extra] + [(2, "one", "t", {"k": 5}, [], "y", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, l array<map<string,int>>, a string, b string").withColumn("s", F.struct("m", "a"))
+    got = mixing.mix(df).filter("epoch = 0").drop("n_tokens", "epoch", "block", "place").collect()
+    want = [Row(doc_id=r[0], text=r[1], source=r[2], m=r[3], l=r[4], a=r[5], b=r[6]) for r in rows]
+    assert sorted(map(repr, (r.asDict() | {"s": 0} for r in got))) == sorted(map(repr, (r.asDict() | {"s": 0} for r in want)))
+    assert all(r["s"]["m"] == r["m"] and r["s"]["a"] == r["a"] for r in got)
+
+
 def test_op8_removed_bytes(spark, folder):
     """Rows without id are documents in the order of their texts' hashes; equal rows are one document."""
     import xxhash
@@ -454,6 +468,20 @@ def test_op8_rows_without_id_and_names_of_its_own(spark):
     assert len(got) == len(rows)
 
 
+def test_op8_many_texts_of_one_id(spark):
+    """Different texts of one id never stand in for each other, however many there are; a copy under a larger id goes."""
+    import random
+
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=110)) for _ in range(12_000)]
+    rows = [(7, t) for t in texts] + [(1, texts[0]), (9, texts[1]), (9, texts[2]), (9, "own " * 3)]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = {(x["doc_id"], bytes(x["kept"]).decode()): x["n_bytes"] - len(x["kept"]) for x in got}
+    assert len(got) == len(rows)
+    assert all(gone[7, t] == 0 for t in texts[1:]) and gone[7, ""] == 110 and gone[1, texts[0]] == 0
+    assert gone[9, ""] == 110 and gone[9, "own " * 3] == 0
+
+
 def test_op8_lengths_that_it_takes(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     for least, gram in ((50, 36), (400, 36), (100, 100)):

@@ -1,12 +1,14 @@
 """The pipeline's stages, end to end, against the decisions of plain versions."""
 
 import re
+from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from ballast.llm import neardup, quality
+from ballast.llm import mixing, neardup, quality
 from tests.llm.helpers import read, tables
 
 
@@ -41,10 +43,22 @@ def expected(folder: str) -> set:
     return {(i, t) for i, t in rows if clean(words(t))}
 
 
+def mixed(folder: str, rows: set) -> Counter:
+    """How often mixing's own SQL passes each of these documents."""
+    documents = pa.Table.from_pylist([d for d in read(folder, "documents") if (d["doc_id"], d["text"]) in rows], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string())]))
+    con = duckdb.connect()
+    con.register("given", documents)
+    con.execute("CREATE VIEW documents AS SELECT DISTINCT * FROM given")  # near-dedup has kept one row of each
+    passes = con.execute(f"SELECT doc_id, source, count(*) FROM ({mixing.SQL}) GROUP BY ALL").fetchall()
+    text = {(d["doc_id"], d["source"]): d["text"] for d in documents.to_pylist()}
+    return Counter({(i, text[i, s], s): n for i, s, n in passes})
+
+
 def test_run_against_plain_stages(spark, folder):
     want = expected(folder)
     got = corpus_pipeline.run(spark, folder).collect()
     assert {(r["doc_id"], r["text"]) for r in got} == want  # mixing and sharding drop nothing
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == mixed(folder, want)
     if got and "extra" in got[0]:  # columns named as results of the stages keep their own values
         assert all(r["kept"] == "clash" and r["n_words"] == 7 for r in got)
     shards, slots = {}, {}
