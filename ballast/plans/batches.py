@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ballast.functions.running import running
+from ballast.functions.running import quantiles, running
 from ballast.operators import batches, sampling
 from ballast.plans.base import query
 from ballast.plans.weighting import DRAWS, _draws
@@ -114,7 +114,8 @@ def kl_histogram(spark, d):
 
 @query("kl_box", f"SELECT round(quantile_cont(kl, 0.25), 7) AS q1, round(quantile_cont(kl, 0.5), 7) AS q2, round(quantile_cont(kl, 0.75), 7) AS q3 FROM ({KL})")
 def kl_box(spark, d):
-    return _kl(spark, d).agg(*[F.round(F.percentile("kl", p), 7).alias(f"q{i}") for i, p in enumerate((0.25, 0.5, 0.75), 1)])
+    cuts = quantiles(_kl(spark, d), "kl", [0.25, 0.5, 0.75])
+    return spark.createDataFrame([tuple(cuts)], "q1 double, q2 double, q3 double").select(*[F.round(c, 7).alias(c) for c in ("q1", "q2", "q3")])
 
 
 @query(
