@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballast.functions.hashing import SEED, hash_rank, order_key, uniform
+from ballast.functions.permutation import permuted
+from ballast.functions.running import running
 
 SCALE = 10**6
 CELLS = 1024
@@ -35,10 +37,58 @@ def weighted_draws(df: DataFrame, id_col: str, weight: str, draws: int, seed: in
     return at.join(pieces, "cell").filter("at >= low AND at < high").select("draw", id_col)
 
 
+def once_key(id_col: str, weight: str, seed: int = SEED) -> Column:
+    """-ln(u) / weight: the smallest keys are a weighted draw without replacement."""
+    return F.round(-F.log(F.greatest(uniform(F.lit("once"), id_col, seed=seed), F.lit(1e-300))) / F.col(weight), 9)
+
+
 def without_replacement(df: DataFrame, id_col: str, weight: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows by exponential keys (smallest -ln(u) / weight): a top-n, merged from each task's top-n."""
-    key = F.round(-F.log(F.greatest(uniform(F.lit("once"), id_col, seed=seed), F.lit(1e-300))) / F.col(weight), 9)
-    return df.filter(F.col(weight) > 0).select(id_col, key.alias("key")).orderBy("key", id_col).limit(n)
+    return df.filter(F.col(weight) > 0).select(id_col, once_key(id_col, weight, seed).alias("key")).orderBy("key", id_col).limit(n)
+
+
+def shard_sizes(n: int, world: int, num_samples: int | None = None, replacement: bool = True, drop_last: bool = True) -> tuple[int, int]:
+    """(draws of a rank, draws in all) of an epoch over ``n`` rows.
+
+    Without a number of draws, each rank gets its share of the rows, rounded
+    down with ``drop_last`` and up without. Without replacement there are no more
+    draws than rows: ranks are cut to equal size with ``drop_last``, and without
+    it all rows are drawn once, so that the last ranks may get one row less.
+    """
+    each = (n // world if drop_last else -(-n // world)) if num_samples is None else num_samples
+    if not replacement and each * world > n:
+        return (n // world, n // world * world) if drop_last else (each, n)
+    return each, each * world
+
+
+def distributed_draws(df: DataFrame, id_col: str, weight: str, world: int, epoch: int = 0, num_samples: int | None = None, replacement: bool = True, drop_last: bool = True, seed: int = SEED) -> DataFrame:
+    """(draw, rank, position, id) of an epoch: one draw for all ranks, seeded by seed + epoch and dealt by stride.
+
+    With replacement the draws are ``weighted_draws``; without it they are the
+    rows in the order of exponential keys, rows of positive weight alone.
+    """
+    seed += epoch
+    n = df.count()
+    _, total = shard_sizes(n, world, num_samples, replacement, drop_last)
+    if replacement:
+        drawn = weighted_draws(df, id_col, weight, total, seed)
+    else:
+        keyed = df.filter(F.col(weight) > 0).select(id_col, once_key(id_col, weight, seed).alias("_key"))
+        drawn = running(keyed, "_key", [id_col], {"draw": F.lit(1)}).select((F.col("draw") - 1).alias("draw"), id_col).filter(F.col("draw") < total)
+    return drawn.select(F.col("draw").cast("long").alias("draw"), (F.col("draw") % world).cast("int").alias("rank"), F.floor(F.col("draw") / world).alias("position"), id_col)
+
+
+def shuffled_shards(df: DataFrame, index: str, n: int, world: int, epoch: int = 0, drop_last: bool = False, shuffle: bool = True, seed: int = SEED) -> DataFrame:
+    """``df`` with ``rank`` and ``position``: an epoch's permutation of rows numbered 0 to n - 1, dealt by stride; neither sorted nor shuffled.
+
+    Ranks are of equal size: the rows at the end are left out with ``drop_last``,
+    else those at the front stand at the end again, as often as it takes.
+    """
+    at = permuted(F.col(index), n, seed, epoch) if shuffle else F.col(index).cast("long")
+    total = n // world * world if drop_last else -(-n // world) * world
+    # A row's places: its own, and those n, 2n, ... further on that the padding reaches.
+    places = F.transform(F.sequence(F.lit(0), F.lit(max(0, -(-total // max(n, 1)) - 1))), lambda k: F.col("_at") + k * n)
+    return df.withColumn("_at", at).withColumn("_at", F.explode(places)).filter(F.col("_at") < total).withColumns({"rank": (F.col("_at") % world).cast("int"), "position": F.floor(F.col("_at") / world)}).drop("_at")
 
 
 def rank_shards(draws: DataFrame, world: int) -> DataFrame:

@@ -10,9 +10,11 @@ from ballast.operators import batches, sampling
 from ballast.plans.base import query
 from ballast.plans.weighting import DRAWS, _draws
 from ballast.sources.tables import scratch, table
+from ballast.streaming import analyser
 from ballast.streaming import batches as stream
 
 SIZE = 64
+PIECES = 6
 EVENTS = f"SELECT event_id, user_id, event_type AS label, (event_id // {SIZE})::BIGINT AS batch_id FROM events"
 HIST = f"""SELECT b.batch_id, c.label, count(e.label) AS n FROM (SELECT DISTINCT batch_id FROM ({EVENTS})) b CROSS JOIN (SELECT DISTINCT label FROM ({EVENTS})) c
 LEFT JOIN ({EVENTS}) e ON e.batch_id = b.batch_id AND e.label = c.label GROUP BY b.batch_id, c.label"""
@@ -174,6 +176,47 @@ def stream_batch_kl(spark, d):
     return batches.divergence(hist.select("day", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n")), "day").select("day", "rows", "kl", "entropy")
 
 
+#: Samples are users; a row's weight is its value, one in seven has none.
+SEEN = f"SELECT event_id, user_id::VARCHAR AS sample, (event_id // {SIZE})::BIGINT AS batch_id, CASE WHEN event_id % 7 <> 0 THEN value::DOUBLE END AS weight FROM events"
+
+
+def _updates(spark, d):
+    """Events as files of whole batches, taken in two runs: the second goes on from the first one's checkpoint, with more files there."""
+    at = scratch(spark, "analyser")
+    e = _events(spark, d).drop("label").join(table(spark, d, "events").select("event_id", "value"), "event_id")
+    rows = e.select(F.col("user_id").alias("sample"), "batch_id", F.col("event_id").alias("position"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("weight"))
+    cuts = [r[0] for r in rows.agg(F.max("batch_id")).collect() if r[0] is not None]
+    width = max(1, -(-(cuts[0] + 1) // PIECES)) if cuts else 1
+    pieces = [rows.filter((F.col("batch_id") >= k * width) & (F.col("batch_id") < (k + 1) * width)) for k in range(PIECES)]
+    for run in (pieces[: PIECES // 2], pieces[PIECES // 2 :]):
+        for piece in run:
+            piece.coalesce(1).write.mode("append").parquet(f"{at}/in")  # a file is a micro-batch
+        arrived = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        analyser.run_available(analyser.sample_updates(arrived), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out")
+
+
+@query(
+    "stream_sample_states",
+    f"SELECT sample, count(*) AS n, min(batch_id) AS first_batch, arg_min(weight, event_id) FILTER (WHERE weight IS NOT NULL) AS first_weight FROM ({SEEN}) GROUP BY sample",
+)
+def stream_sample_states(spark, d):
+    """Sampling counts and first-seen weights of all samples, from state kept across micro-batches and a restart."""
+    return analyser.sample_states(_updates(spark, d))
+
+
+@query(
+    "stream_coverage",
+    f"""SELECT b.batch_id, b."rows", n_unique, coalesce(n_new, 0) AS n_new, (sum(n_unique) OVER (ORDER BY b.batch_id))::BIGINT AS cum_batch_unique, (sum(coalesce(n_new, 0)) OVER (ORDER BY b.batch_id))::BIGINT AS cum_true_unique
+    FROM (SELECT batch_id, count(*) AS "rows", count(DISTINCT sample) AS n_unique FROM ({SEEN}) GROUP BY batch_id) b
+    LEFT JOIN (SELECT first AS batch_id, count(*) AS n_new FROM (SELECT sample, min(batch_id) AS first FROM ({SEEN}) GROUP BY sample) GROUP BY first) f USING (batch_id)""",
+)
+def stream_coverage(spark, d):
+    """Each batch's samples and new samples, and the union of samples up to it, from the same state."""
+    each = analyser.coverage(_updates(spark, d))
+    return running(each, "batch_id", [], {"cum_batch_unique": F.col("n_unique"), "cum_true_unique": F.col("n_new")})
+
+
 def _streamed_days(spark, d):
     at = scratch(spark, "stream")
     schema = table(spark, d, "events").schema

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballast.functions.permutation import permuted_sql
 from ballast.operators import clustering, sampling, weights
 from ballast.plans.base import query
 from ballast.sources.tables import read_weights, save_weights, scratch, table
@@ -183,11 +186,17 @@ def align_violations(spark, d):
 
 
 UNITS = "SELECT doc_id, w, md5('42:' || doc_id) AS k FROM (SELECT doc_id, round(n_chars::DOUBLE * 1000000)::BIGINT AS w FROM documents) WHERE w > 0"
-DRAWS = f"""WITH c AS (SELECT doc_id, sum(w) OVER (ORDER BY k, doc_id) - w AS low, sum(w) OVER (ORDER BY k, doc_id) AS high, sum(w) OVER () AS total FROM ({UNITS})),
-u AS (SELECT i AS draw, floor(('0x' || substr(md5('42:draw:' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * (SELECT max(total) FROM c)::DOUBLE)::BIGINT AS pos FROM range(2000) r(i))
+
+
+def draws_sql(n: str, seed: int = 42) -> str:
+    return f"""WITH c AS (SELECT doc_id, sum(w) OVER (ORDER BY k, doc_id) - w AS low, sum(w) OVER (ORDER BY k, doc_id) AS high, sum(w) OVER () AS total FROM ({UNITS.replace("'42:'", f"'{seed}:'")})),
+u AS (SELECT i AS draw, floor(('0x' || substr(md5('{seed}:draw:' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * (SELECT max(total) FROM c)::DOUBLE)::BIGINT AS pos FROM range({n}) r(i))
 SELECT draw, doc_id FROM u JOIN c ON pos >= low AND pos < high"""
 
 
+DRAWS = draws_sql("2000")
+
+
 def _draws(spark, d):
     return sampling.weighted_draws(table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("w")), "doc_id", "w", 2000)
 
@@ -216,6 +225,47 @@ def weighted_no_replacement(spark, d):
     return sampling.without_replacement(table(spark, d, "documents"), "doc_id", "n_chars", 100)
 
 
+WORLD = 3
+EPOCHS = (0, 1, 2)
+
+
+def _epoch_draws(epoch: int, replacement: bool, drop_last: bool) -> str:
+    total = f"(SELECT count(*){'' if drop_last else f' + {WORLD - 1}'} FROM documents) // {WORLD} * {WORLD}"
+    if replacement:
+        drawn = draws_sql(f"({total})", 42 + epoch)
+    else:
+        key = f"round(-ln(greatest(('0x' || substr(md5('{42 + epoch}:once:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE, 1e-300::DOUBLE)) / n_chars, 9)"
+        drawn = f"SELECT row_number() OVER (ORDER BY {key}, doc_id) - 1 AS draw, doc_id FROM documents WHERE n_chars > 0 QUALIFY draw < least({total}, (SELECT count(*) FROM documents))"
+    return f"SELECT {epoch} AS epoch, {replacement} AS replacement, {drop_last} AS drop_last, draw, (draw % {WORLD})::INTEGER AS rank, draw // {WORLD} AS position, doc_id FROM ({drawn})"
+
+
+RULES = [(e, r, k) for e in EPOCHS for r in (True, False) for k in (True, False)]
+
+
+@query("distributed_sampler", " UNION ALL ".join(_epoch_draws(*x) for x in RULES))
+def distributed_sampler(spark, d):
+    """Three epochs of the weighted sampler over three ranks, with and without replacement, by both size rules."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("w"))
+    parts = [sampling.distributed_draws(docs, "doc_id", "w", WORLD, e, replacement=r, drop_last=k).select(F.lit(e).alias("epoch"), F.lit(r).alias("replacement"), F.lit(k).alias("drop_last"), "draw", "rank", "position", "doc_id") for e, r, k in RULES]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _epoch_shuffle(epoch: int, drop_last: bool) -> str:
+    n = "(SELECT count(*) FROM embeddings)"
+    total = f"{n} // {WORLD * 2 + 1} * {WORLD * 2 + 1}" if drop_last else f"({n} + {WORLD * 2}) // {WORLD * 2 + 1} * {WORLD * 2 + 1}"
+    places = f"SELECT i, place FROM ({permuted_sql('SELECT vec_id AS i FROM embeddings', n, 42, epoch)}) UNION ALL SELECT i, place + {n} FROM ({permuted_sql('SELECT vec_id AS i FROM embeddings', n, 42, epoch)})"
+    return f"SELECT {epoch} AS epoch, {drop_last} AS drop_last, i AS vec_id, (place % {WORLD * 2 + 1})::INTEGER AS rank, place // {WORLD * 2 + 1} AS position FROM ({places}) WHERE place < {total}"
+
+
+@query("shuffled_shards", " UNION ALL ".join(_epoch_shuffle(e, k) for e in EPOCHS for k in (True, False)))
+def shuffled_shards(spark, d):
+    """Three epochs of the uniform shuffle over seven ranks of equal size, padded and cut."""
+    rows = table(spark, d, "embeddings").select("vec_id")
+    n = rows.count()
+    parts = [sampling.shuffled_shards(rows, "vec_id", n, WORLD * 2 + 1, e, k).select(F.lit(e).alias("epoch"), F.lit(k).alias("drop_last"), "vec_id", "rank", "position") for e in EPOCHS for k in (True, False)]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query("drop_last_batches", "SELECT event_id, (event_id // 64)::BIGINT AS batch_id FROM events QUALIFY count(*) OVER (PARTITION BY event_id // 64) = 64")
 def drop_last_batches(spark, d):
     return sampling.batches(table(spark, d, "events").select("event_id"), "event_id", 64, drop_last=True)
