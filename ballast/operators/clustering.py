@@ -40,9 +40,13 @@ def distances(x: np.ndarray, metric: str = "cosine") -> np.ndarray:
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         d = 1.0 - unit @ unit.T
     elif name == "euclidean":
-        d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0.0))
+        x = x - x.mean(axis=0)  # smaller products, less rounding
+        squares = np.einsum("ij,ij->i", x, x)
+        d = np.sqrt(np.maximum(squares[:, None] + squares[None] - 2 * (x @ x.T), 0.0))
     elif name == "manhattan":
-        d = np.abs(x[:, None, :] - x[None, :, :]).sum(-1)
+        d = np.zeros((len(x), len(x)))
+        for column in x.T:  # one square matrix at a time
+            d += np.abs(column[:, None] - column[None])
     else:
         raise ValueError(f"unknown metric {metric!r}: cosine, euclidean, manhattan or a function")
     np.fill_diagonal(d, 0.0)
@@ -130,7 +134,8 @@ def density_labels(x: np.ndarray, least: int = 25, min_samples: int = 1, metric:
             wide.add(i)
         below = lambda i: i in parent and (parent[i] in wide or below(parent[i]))
         chosen = [i for i in wide if not below(i)]
-    for label, i in enumerate(sorted(chosen)):
+    # Clusters are numbered in the order of their first rows.
+    for label, i in enumerate(sorted(chosen, key=lambda i: min(clusters[i]["rows"]))):
         labels[clusters[i]["rows"]] = label
     return labels
 

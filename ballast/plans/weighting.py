@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ballast.functions.permutation import permuted_sql
 from ballast.operators import clustering, sampling, weights
 from ballast.plans.base import query
+from ballast.plans.density_sql import clusters_sql
 from ballast.sources.tables import read_weights, save_weights, scratch, table
 
 CHUNKS = "SELECT vec_id, label, embedding, floor(vec_id / 128)::BIGINT AS chunk FROM embeddings"
@@ -133,7 +134,11 @@ def flagship_fallback(spark, d):
     return weights.cluster_weights(found, "vec_id").select("vec_id", "label", "chunk", "cluster", "updated", F.round("weight", 10).alias("weight"))
 
 
-@query("flagship_clustered")
+#: The kernel's clusters of at least five rows, found by relations alone.
+CLUSTERED = clusters_sql(CHUNKS, FALLBACK, 5)
+
+
+@query("flagship_clustered", f"SELECT vec_id, chunk, cluster, updated, round(weight, 10) AS weight FROM ({weighted_sql(CLUSTERED)})")
 def flagship_clustered(spark, d):
     """The chain with small clusters allowed, so that the kernel's own clusters decide."""
     found = clustering.cluster_chunks(_chunks(spark, d), "vec_id", least=5)
