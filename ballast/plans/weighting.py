@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballast.functions.permutation import permuted_sql
-from ballast.operators import clustering, sampling, weights
+from ballast.operators import build, checks, clustering, sampling, weights
 from ballast.plans.base import query
 from ballast.plans.density_sql import clusters_sql
 from ballast.sources.tables import read_weights, save_weights, scratch, table
@@ -170,6 +170,50 @@ def weights_roundtrip(spark, d):
     return read_weights(spark, at)
 
 
+def _build_sql(runs: list[tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT '{run}' AS run, '{source}' AS source, vec_id, chunk, cluster, updated, round(weight, 10) AS weight FROM ({weighted_sql(CLUSTERED, member)})" for run, source, member in runs)
+
+
+SQRT = "1.0::DOUBLE / sqrt(n)"
+
+
+@query("weights_build", _build_sql([("first", "computed", "1.0::DOUBLE / n"), ("again", "table", "1.0::DOUBLE / n"), ("other settings", "computed", SQRT), ("those again", "table", SQRT)]))
+def weights_build(spark, d):
+    """Weights from the kernel's clusters, built four times at one path: a table stands in only for the same settings."""
+    at, features = scratch(spark, "weights"), table(spark, d, "embeddings")
+    parts = []
+    for run, strategy in (("first", "inverse_cluster_size"), ("again", "inverse_cluster_size"), ("other settings", "inverse_sqrt_cluster_size"), ("those again", "inverse_sqrt_cluster_size")):
+        found, source = build.build_weights(features, at, build.Settings(least=5, strategy=strategy))
+        parts.append(found.select(F.lit(run).alias("run"), F.lit(source).alias("source"), "vec_id", "chunk", "cluster", "updated", F.round("weight", 10).alias("weight")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query(
+    "weights_summary",
+    f"""SELECT count(*) AS "rows", count(DISTINCT (chunk, cluster)) FILTER (WHERE cluster >= 0) AS clusters, count(*) FILTER (WHERE cluster < 0) AS outliers, round(avg(weight), 8) AS mean, round(stddev_pop(weight), 8) AS std, round(min(weight), 8) AS least, round(max(weight), 8) AS most
+    FROM ({weighted_sql(CLUSTERED)})""",
+)
+def weights_summary(spark, d):
+    """The summary beside a weight table, observed while the table was written."""
+    at = scratch(spark, "weights")
+    build.build_weights(table(spark, d, "embeddings"), at, build.Settings(least=5))
+    said = build.manifest(spark, at)
+    row = (said["weights"]["rows"], said["summary"]["clusters"], said["summary"]["outliers"], *[said["summary"][k] for k in ("mean", "std", "least", "most")])
+    rounded = [F.round(c, 8).alias(c) for c in ("mean", "std", "least", "most")]
+    return spark.createDataFrame([row], "rows long, clusters long, outliers long, mean double, std double, least double, most double").select("rows", "clusters", "outliers", *rounded)
+
+
+@query("bundle_checked", "SELECT vec_id, label, 'img_' || lpad(vec_id::VARCHAR, 6, '0') AS image_path, len(embedding)::INTEGER AS dims, (SELECT count(*) FROM embeddings) AS n FROM embeddings")
+def bundle_checked(spark, d):
+    """Features, labels and paths joined by index; lengths and label range are checked in the pass that writes them."""
+    e = table(spark, d, "embeddings")
+    paths = e.select("vec_id", F.concat(F.lit("img_"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("image_path"))
+    rows = checks.labels_in_range(checks.aligned(e.select("vec_id", F.size("embedding").alias("dims")), e.select("vec_id", "label"), paths, "vec_id"), "label", 10)
+    at = scratch(spark, "bundle")
+    totals = checks.written_checked(rows, lambda df: df.write.parquet(at), {"n": F.count(F.lit(1)), "paths": F.count("image_path")}, {"the bundle is empty": lambda t: t["n"] > 0, "a path is missing": lambda t: t["n"] == t["paths"]})
+    return spark.read.parquet(at).select("vec_id", "label", "image_path", "dims", F.lit(totals["n"]).cast("long").alias("n"))
+
+
 LEFT = "SELECT vec_id, label, 'p' || (vec_id // 2) AS path FROM embeddings"
 RIGHT = "SELECT 'p' || (vec_id // 2) AS path, label, round(1.0::DOUBLE / (1 + vec_id), 10) AS weight, vec_id AS seq FROM embeddings WHERE vec_id % 50 <> 7"
 ALIGN = f"""SELECT coalesce(l.path, r.path) AS path, coalesce(l.label, r.label) AS label, vec_id, seq, weight
