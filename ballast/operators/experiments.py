@@ -115,3 +115,22 @@ def duration_text(seconds: Column) -> Column:
     s = seconds.cast("long")
     pad = lambda x: F.when(x < 10, F.concat(F.lit("0"), x.cast("string"))).otherwise(x.cast("string"))
     return F.concat_ws(":", pad(F.floor(s / 3600)), pad(F.floor(s % 3600 / 60)), pad(s % 60))
+
+
+def scheduled(batches: DataFrame, index: str, rate: float, scale: int = 1, floor: float = 0.05, step: int = 10, gamma: float = 0.5) -> DataFrame:
+    """``batches`` with the rate of each under cosine, stepped and linear schedules over all batches there are; the base rate grows with the number of workers (``scale``)."""
+    last = batches.agg(F.greatest(F.max(index), F.lit(1)).alias("_last"))
+    x, base = F.col(index) / F.col("_last"), F.lit(rate * scale)
+    cosine = base * (F.lit(floor) + F.lit(0.5) * F.lit(1 - floor) * (1 + F.cos(F.lit(math.pi) * x)))
+    stepped = base * F.pow(F.lit(gamma), F.floor(F.col(index) / step))
+    return batches.crossJoin(F.broadcast(last)).withColumns({"cosine": F.round(cosine, 9), "stepped": F.round(stepped, 9), "linear": F.round(base * (1 - x), 9)}).drop("_last")  # one row
+
+
+def spanned_space(values: DataFrame) -> DataFrame:
+    """(param, n_values, kind, least, most) of (param, value) rows: a parameter whose values are all numbers has a range, any other is a choice."""
+    number = F.col("value").try_cast("double")
+    each = values.filter(F.col("value").isNotNull()).groupBy("param")
+    return each.agg(
+        F.count_distinct("value").alias("n_values"), F.when(F.count(F.lit(1)) == F.count(number), "number").otherwise("choice").alias("kind"),
+        F.round(F.min(number), 6).alias("least"), F.round(F.max(number), 6).alias("most"),
+    )

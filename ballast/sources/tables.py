@@ -1,4 +1,4 @@
-"""Readers and writers: tables, class folders, annotation files, weight tables, reports."""
+"""Readers and writers: tables, class folders, weight tables, reports."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ANNOTATIONS = "participant_id string, file_id string, annotation_id string, frame_start int, frame_end int, activity string, chunk_id string"
+from ballast.sources.annotation_files import annotations  # noqa: F401  a reader like the others here
+
 WEIGHTS = ["image_path", "weight"]
 
 
@@ -36,12 +37,6 @@ def class_folders(spark: SparkSession, root: str, suffixes: list[str] | None = N
     return known.select("path", F.col("_p")[0].alias("class"), F.when(F.size("_p") == 3, F.col("_p")[1]).alias("chunk"), "size")
 
 
-def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Annotation rows of a file with a header; rows with fewer than six fields go, a missing chunk is '0'."""
-    rows = spark.read.csv(path, schema=ANNOTATIONS, header=True, enforceSchema=True)
-    return rows.filter(F.col("activity").isNotNull()).withColumn("chunk_id", F.coalesce("chunk_id", F.lit("0")))
-
-
 def save_weights(df: DataFrame, path: str, source: str, form: str = "parquet") -> None:
     out = df.withColumn("source", F.lit(source))
     if form == "csv":

@@ -170,9 +170,14 @@ def test_resolved_paths_and_names(spark):
     ids = spark.createDataFrame([(i,) for i in ["./a\\\\x".replace("\\\\", "\\"), "q/y", "z.tar", "w.txt", "none", "", "a/x.mp4"]], "f string")
     got = {r["f"]: r["resolved"] for r in annotations.resolved_paths(ids, listing, "f", "path").collect()}
     assert got == {"./a\\x": "a/x.mp4", "q/y": "a/y.wmv", "z.tar": "d/z.tar.mkv", "w.txt": "e/w.txt", "none": "none.mp4", "": ".mp4", "a/x.mp4": "a/x.mp4"}
-    assert annotations.activity_column(["id", " Action "]) == 1 and annotations.activity_column(list("abcdef")) == 5
-    with pytest.raises(ValueError):
-        annotations.activity_column(["id"])
+
+
+def test_class_columns_of_headers(spark):
+    from ballast.sources.annotation_files import class_columns
+
+    headers = [("named", ["id", " Action "]), ("sixth", list("abcdef")), ("best", ["class", "label", "Activity", "action"]), ("none", ["id"]), ("empty", []), ("nothing", None), ("twice", ["x", "label", "LABEL"])]
+    got = {r["f"]: (r["position"], r["name"]) for r in class_columns(spark.createDataFrame(headers, "f string, h array<string>"), "f", "h").collect()}
+    assert got == {"named": (1, " Action "), "sixth": (5, "f"), "best": (2, "Activity"), "none": (-1, None), "empty": (-1, None), "nothing": (-1, None), "twice": (1, "label")}
 
 
 def test_trial_config_normalises_the_optimizer(spark):
