@@ -10,7 +10,9 @@ matched.
 Where a rule has matched in a document, the same construction without the free
 start gives the spans: from every byte at once for the rules' openings, which
 finds all starts, then from each start in turn for the whole rules, whose last
-accepting position is the end. A kind's spans are leftmost, longest and don't
+accepting position is the end. Where starts read the same bytes again and again
+(a long run of openings that never complete a match), one pass from the last byte
+to the first gives the ends of all starts instead. A kind's spans are leftmost, longest and don't
 overlap, and matches that fail their length rule are dropped after matching.
 
 An opening holds what every match of a rule that isn't dropped must begin with
@@ -52,6 +54,9 @@ BASE = ("assign", "access", "hex")
 #: With fewer documents left in a step than this, the rest is scanned one by one.
 LEAST_LANES = 48
 
+#: Once a rule's starts have read a document this often in all, its ends come from one backward pass.
+WALKS = 4
+
 _ESCAPES = {"t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
 ALL = frozenset(range(256))
 
@@ -314,8 +319,8 @@ class Automaton:
         found = np.flatnonzero(bits)
         return found, bits[found]
 
-    def longest(self, classes: bytes, at: int, rules: tuple[int, ...]) -> list[int]:
-        """Ends of the longest matches of the rules from byte ``at`` (-1: none)."""
+    def longest(self, classes: bytes, at: int, rules: tuple[int, ...]) -> tuple[list[int], int]:
+        """(ends of the longest matches of the rules from byte ``at`` (-1: none), bytes read)."""
         s, ends = self.start, [at if self.bits[self.start // self.classes] >> k & 1 else -1 for k in rules]
         if not hasattr(self, "quick"):
             self.quick, self.marks = self.table.tolist(), self.bits.tolist()
@@ -326,7 +331,28 @@ class Automaton:
             if s >= self.accepting:
                 bits = self.marks[s // self.classes]
                 ends = [k + 1 if bits >> r & 1 else e for r, e in zip(rules, ends)]
-        return ends
+        else:
+            k = len(classes)
+        return ends, k - at + 1
+
+    def ends(self, classes: np.ndarray) -> np.ndarray:
+        """End of the longest match from every byte (-1: none): one pass from the last byte to the first, all states side by side.
+
+        A state's longest end is that of the state which the byte leads to, or
+        else the place itself if the state accepts. So the pass is linear however
+        the matches from different bytes overlap.
+        """
+        to = np.ascontiguousarray((self.table.reshape(self.states, self.classes) // self.classes).T)
+        start, n, accepts = self.start // self.classes, len(classes), self.bits > 0
+        first = int(np.argmax(accepts)) if accepts.any() else self.states  # accepting states come last
+        reach, other = np.where(accepts, n, -1), np.empty(self.states, np.int64)
+        rows, out = list(to), [0] * n
+        for i, c in zip(range(n - 1, -1, -1), classes[::-1].tolist()):
+            reach.take(rows[c], out=other, mode="clip")
+            np.maximum(other[first:], i, out=other[first:])
+            reach, other = other, reach
+            out[i] = reach[start]
+        return np.array(out, np.int64)
 
 
 class Scanner:
@@ -337,6 +363,7 @@ class Scanner:
         self.anywhere = Automaton([r[1] for r in rules])
         self.openings = Automaton([r[1] for r in rules], anywhere=False)
         self.whole = Automaton([r[2] for r in rules] + [r[2] + r[3] for r in rules], anywhere=False)
+        self.alone: dict[int, list[Automaton]] = {}
 
     def spans(self, data: np.ndarray, mask: int) -> list[tuple[int, int, int]]:
         """(start, rule number, end) in code points of the rules in ``mask``, by start and then rule."""
@@ -346,10 +373,16 @@ class Scanner:
         found = []
         for k in range(n):
             if mask >> k & 1:
-                done = 0
+                done, room, whole = 0, WALKS * len(data), None
                 for s in at[bits >> k & 1 > 0].tolist():
                     if s >= done:
-                        head, end = self.whole.longest(classes, s, (k, n + k))
+                        if room > 0:
+                            (head, end), read = self.whole.longest(classes, s, (k, n + k))
+                            room -= read
+                        else:  # starts overlap in the bytes they read
+                            if whole is None:
+                                whole = self._all_ends(data, k)
+                            head, end = int(whole[0][s]), int(whole[1][s])
                         if end >= 0:
                             done = max(end, s + 1)
                             if end - max(head, s) >= self.rules[k][4]:
@@ -360,6 +393,14 @@ class Scanner:
         return sorted((int(points[s]), k, int(points[e])) for s, k, e in found)
 
 
+    def _all_ends(self, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of a rule's head and of the whole rule from every byte."""
+        if k not in self.alone:
+            self.alone[k] = [Automaton([p], anywhere=False) for p in (self.rules[k][2], self.rules[k][2] + self.rules[k][3])]
+        head, whole = self.alone[k]
+        return head.ends(head.classes_of[data]) if self.rules[k][2] else np.arange(len(data)), whole.ends(whole.classes_of[data])
+
+
 def scan(docs: DataFrame, text: str = "text", into: str = "secrets", rules=RULES) -> DataFrame:
     """``docs`` with an array of (kind, start, end) spans, by start and then kind as listed."""
     docs = docs.drop(into)

@@ -394,6 +394,50 @@ def test_op6_long_text_among_short_ones(spark):
     assert got[999] == 1 and sum(got.values()) == 1
 
 
+def _expected_spans(text: str, rule) -> list:
+    kind, _, head, body, least = rule
+    out, at, whole = [], 0, re.compile(f"(?:{head})(?:{body})")
+    while (m := whole.search(text, at)) is not None:
+        at = max(m.end(), m.start() + 1)
+        start = re.compile(head).match(text, m.start()).end() if head else m.start()
+        if m.end() - start >= least:
+            out.append((m.start(), m.end()))
+    return out
+
+
+@pytest.mark.parametrize("k", range(len(secrets.RULES)))
+def test_op6_repeated_openings_are_linear(k):
+    """Each rule on a megabyte of its own opening, and on shorter runs that the expression itself can search."""
+    import time
+
+    import numpy as np
+
+    opening = ["token=", "AKIA", "0f", "ghp_", "xoxb-", "AIza", "sk_live_", "eyJ", "-----BEGIN RSA PRIVATE KEY-----"][k]
+    scanner = secrets.Scanner()
+    began = time.time()
+    data = np.frombuffer((opening * (1_000_000 // len(opening))).encode(), np.uint8)
+    scanner.spans(data, 1 << k)
+    assert time.time() - began < 10  # 5 s on an idle machine
+    for text in (opening * 200, (opening * 60 + ".") * 9, (opening * 40 + " x ") * 7 + opening + "abcdefgh.eyJabcdefgh.abcdefgh", opening):
+        got = [(s, e) for s, _, e in scanner.spans(np.frombuffer(text.encode(), np.uint8), 1 << k)]
+        assert got == _expected_spans(text, secrets.RULES[k]), text[:80]
+
+
+def test_op6_backward_ends_equal_forward_ones(monkeypatch):
+    import random
+
+    import numpy as np
+
+    r = random.Random(9)
+    pieces = ["eyJ", "abcdefgh", ".", "-", " ", "token", "=", '": "', "AKIA", "Z9", "deadbeef" * 5, "ghp_", "xoxb-", "A" * 24, "\n", "é", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "sk_live_", "secret:"]
+    texts = ["".join(r.choices(pieces, k=r.randrange(1, 60))) for _ in range(300)]
+    scanner, whole = secrets.Scanner(), (1 << len(secrets.RULES)) - 1
+    forward = [scanner.spans(np.frombuffer(t.encode(), np.uint8), whole) for t in texts]
+    monkeypatch.setattr(secrets, "WALKS", 0)
+    assert [scanner.spans(np.frombuffer(t.encode(), np.uint8), whole) for t in texts] == forward
+    assert sum(map(len, forward)) > 300
+
+
 def test_op7_mixture(spark, folder):
     docs = read(folder, "documents")
     tokens: dict = {}
