@@ -81,6 +81,26 @@ def running(df: DataFrame, by: str, tie: list[str], sums: dict[str, Column], buc
     return found.select(*df.columns, *sums)
 
 
+def keyed_rank(df: DataFrame, by: list[str], order: str, into: str, buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
+    """Adds the rank from 1 by the number ``order`` in each group of ``by`` (nulls are a group).
+
+    Groups are ranked in parts of the order's whole range, whose counts in each
+    group give the offsets, so no task holds a hot group.
+    """
+    rows = stored(df, "ranked")
+    if rows.count() <= small:
+        return rows.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long"))
+    rows = cut(rows, order, "_part", buckets)
+    counts = rows.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_least"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_least").rowsBetween(Window.unboundedPreceding, -1))  # a row for each part
+    starts = counts.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    match = F.col("_part") == F.col("_at")
+    for c in by:
+        match &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    place = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order)) + F.col("_before")
+    return rows.join(starts, match).withColumn(into, place.cast("long")).select(*df.columns, into)
+
+
 def quantiles(df: DataFrame, value: str, shares: list[float], buckets: int = BUCKETS) -> list[float | None]:
     """Exact quantiles, interpolated between neighbours as the usual definition has it; nulls and numbers that aren't one don't count.
 

@@ -134,3 +134,22 @@ def spanned_space(values: DataFrame) -> DataFrame:
         F.count_distinct("value").alias("n_values"), F.when(F.count(F.lit(1)) == F.count(number), "number").otherwise("choice").alias("kind"),
         F.round(F.min(number), 6).alias("least"), F.round(F.max(number), 6).alias("most"),
     )
+
+
+def _parts_of(seconds: Column) -> tuple[Column, Column, Column]:
+    whole = F.floor(seconds)
+    return F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
+
+
+def duration_words(seconds: Column) -> Column:
+    """1 hours, 1 minutes, 5 seconds."""
+    h, m, s = _parts_of(seconds)
+    return F.concat(h, F.lit(" hours, "), m, F.lit(" minutes, "), s, F.lit(" seconds"))
+
+
+def remaining_text(seconds: Column) -> Column:
+    """ETA: 1h 1m 5s, without parts that are zero; 0s if all are."""
+    h, m, s = _parts_of(seconds)
+    part = lambda x, unit: F.when(x > 0, F.concat(x, F.lit(unit)))
+    found = F.concat_ws(" ", part(h, "h"), part(m, "m"), part(s, "s"))
+    return F.concat(F.lit("ETA: "), F.when(found == "", F.lit("0s")).otherwise(found))

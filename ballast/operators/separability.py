@@ -79,11 +79,14 @@ def nearest_by_cosine(df: DataFrame, centers: DataFrame, index: str, embedding:
 def pair_overlap(df: DataFrame, index: str, pairs: int = 30_000, label: str = "label", embedding: str = "embedding", seed: int = SEED) -> DataFrame:
     """Of hash-drawn pairs of different rows (ids from 0): the median distance between classes, and the share of pairs within a class that are further apart; null without either kind.
 
+    The second row is drawn from all rows but the first, so every draw is a pair.
+
     The pairs are as many at any size; both joins are by the id.
     """
     n = df.count()
-    draw = lambda side: F.conv(F.substring(order_key(F.lit(side), F.col("id"), seed=seed), 1, 13), 16, 10).cast("long") % max(n, 1)
-    drawn = df.sparkSession.range(pairs).select("id", draw("a").alias("a"), draw("b").alias("b")).filter("a <> b")
+    draw = lambda side, of: F.conv(F.substring(order_key(F.lit(side), F.col("id"), seed=seed), 1, 13), 16, 10).cast("long") % max(of, 1)
+    a, other = draw("a", n), draw("b", n - 1)
+    drawn = df.sparkSession.range(pairs if n > 1 else 0).select(a.alias("a"), (other + (other >= a).cast("int")).alias("b"))
     v = df.select(F.col(index).alias("i"), F.col(label).alias("l"), F.col(embedding).alias("e"))
     both = drawn.join(v.toDF("a", "la", "ea"), "a").join(v.toDF("b", "lb", "eb"), "b").select(F.col("la") == F.col("lb"), F.round(F.sqrt(squared_distance(doubles("ea"), doubles("eb"))), 9)).toDF("same", "d")
     middle = both.filter("NOT same").agg(F.percentile("d", 0.5).alias("m"))
@@ -168,10 +171,12 @@ def neighbours(queries: DataFrame, others: DataFrame, index: str, k: int, label:
 
 
 def silhouette(df: DataFrame, index: str, most: int = 5000, label: str = "label", embedding: str = "embedding") -> DataFrame:
-    """Mean silhouette over a sample of at most ``most`` rows."""
+    """Mean silhouette over a sample of at most ``most`` rows; null where there are fewer than two classes, or a class of one row."""
     s = sampled(df, index, most).select(F.col(index).alias("i"), F.col(label).alias("li"), doubles(embedding).alias("ei"))
     o = s.select(F.col("i").alias("j"), F.col("li").alias("lj"), F.col("ei").alias("ej"))
     pairs = s.repartition(32, "i").crossJoin(F.broadcast(o)).filter("i <> j")  # at most ``most`` rows a side
     means = pairs.groupBy("i", "li", "lj").agg(F.avg(F.sqrt(squared_distance(F.col("ei"), F.col("ej")))).alias("m"))
     ab = means.groupBy("i").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("m"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("m"))).alias("b"))
-    return ab.agg(F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 7).alias("silhouette"))
+    classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least"))
+    mean = ab.agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("mean")).crossJoin(F.broadcast(classes))  # one row each
+    return mean.select(F.when((F.col("classes") > 1) & (F.col("least") > 1), F.round("mean", 7)).alias("silhouette"))

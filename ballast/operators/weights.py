@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballast.functions.running import keyed_rank
+
 OUTLIER_WEIGHT = 0.001
 CHUNK = 128
 
@@ -86,6 +88,10 @@ def normalized(df: DataFrame, weight: Column, into: str = "share") -> DataFrame:
 
 
 def align(left: DataFrame, right: DataFrame, keys: list[str], left_order: str, right_order: str) -> DataFrame:
-    """Multiset equi-join: the k-th row of a key on the left meets the k-th on the right; what is unmatched stays with nulls."""
-    number = lambda df, o: df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(o)))
-    return number(left, left_order).join(number(right, right_order), [*keys, "_k"], "full_outer").drop("_k")
+    """Multiset equi-join: the k-th row of a key on the left meets the k-th on the right; what is unmatched stays with nulls.
+
+    Orders are numbers. Ranks of a hot key come from many tasks, and the join
+    spreads its rows by their rank.
+    """
+    left, right = keyed_rank(left, keys, left_order, "_k"), keyed_rank(right, keys, right_order, "_k")
+    return left.join(right, [*keys, "_k"], "full_outer").drop("_k")

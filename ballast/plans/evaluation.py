@@ -175,7 +175,7 @@ def knn_accuracy(spark, d):
     "silhouette",
     """WITH s AS (SELECT * FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT 5000), p AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM s a JOIN s b ON a.vec_id <> b.vec_id),
     m AS (SELECT i, li, lj, avg(dist) AS m FROM p GROUP BY ALL)
-    SELECT round(avg((b - a) / greatest(a, b)), 7) AS silhouette FROM (SELECT i, max(m) FILTER (WHERE li = lj) AS a, min(m) FILTER (WHERE li <> lj) AS b FROM m GROUP BY i)""",
+    SELECT CASE WHEN (SELECT count(*) > 1 AND min(n) > 1 FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) THEN round(avg((b - a) / greatest(a, b)), 7) END AS silhouette FROM (SELECT i, max(m) FILTER (WHERE li = lj) AS a, min(m) FILTER (WHERE li <> lj) AS b FROM m GROUP BY i)""",
 )
 def silhouette(spark, d):
     return separability.silhouette(_emb(spark, d), "vec_id")
@@ -258,8 +258,8 @@ def nearest_centroid_cosine(spark, d):
 
 @query(
     "pair_overlap",
-    """WITH n AS (SELECT count(*) AS n FROM embeddings), r AS (SELECT ('0x' || substr(md5('42:a:' || i), 1, 13))::BIGINT % n AS a, ('0x' || substr(md5('42:b:' || i), 1, 13))::BIGINT % n AS b FROM range(30000) t(i), n),
-    p AS (SELECT x.label = y.label AS same, round(sqrt(list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM r JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE a <> b),
+    """WITH n AS (SELECT count(*) AS n FROM embeddings), r AS (SELECT a, b + (b >= a)::INTEGER AS b FROM (SELECT ('0x' || substr(md5('42:a:' || i), 1, 13))::BIGINT % n AS a, ('0x' || substr(md5('42:b:' || i), 1, 13))::BIGINT % (n - 1) AS b FROM range(30000) t(i), n)),
+    p AS (SELECT x.label = y.label AS same, round(sqrt(list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM r JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b),
     m AS (SELECT quantile_cont(d, 0.5) AS m FROM p WHERE NOT same)
     SELECT round(max(m), 7) AS median_inter, round(avg(CASE WHEN same THEN (d > m)::INT END), 8) AS overlap FROM p, m""",
 )

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ballast.functions.permutation import permuted, permuted_sql
-from ballast.operators import evaluator, experiments, metrics, sampling, separability
+from ballast.operators import annotations, evaluator, experiments, metrics, sampling, separability
 from ballast.plans.base import query
-from ballast.plans.evaluation import CE, SCORES
 from ballast.sources.tables import table
 
 CLASSES = 10
@@ -113,3 +112,43 @@ def search_space_of_trials(spark, d):
     e = table(spark, d, "events")
     trials = e.select(F.col("event_type").alias("type"), F.round(F.col("value").cast("double"), 2).cast("string").alias("value"), (F.col("user_id") % 5).cast("string").alias("user"))
     return experiments.spanned_space(trials.unpivot([], ["type", "value", "user"], "param", "value"))
+
+
+PARTS = "(SELECT event_id, event_id * 7 // 3600 AS h, event_id * 7 % 3600 // 60 AS m, event_id * 7 % 60 AS s FROM events)"
+
+
+@query(
+    "durations_in_words",
+    f"SELECT event_id, h || ' hours, ' || m || ' minutes, ' || s || ' seconds' AS words, 'ETA: ' || CASE WHEN h + m + s = 0 THEN '0s' ELSE concat_ws(' ', CASE WHEN h > 0 THEN h || 'h' END, CASE WHEN m > 0 THEN m || 'm' END, CASE WHEN s > 0 THEN s || 's' END) END AS eta FROM {PARTS}",
+)
+def durations_in_words(spark, d):
+    return table(spark, d, "events").select("event_id", experiments.duration_words(F.col("event_id") * 7).alias("words"), experiments.remaining_text(F.col("event_id") * 7).alias("eta"))
+
+
+#: Turns as extractions: those of an even conversation whose page isn't there fail, and a failed one has no frames.
+TAKEN = "SELECT c.role AS activity, p.page_id IS NOT NULL AS ok, CASE WHEN p.page_id IS NOT NULL THEN greatest(0, least(length(text) % 90 + 1, 48)) ELSE 0 END AS frames FROM conversations c LEFT JOIN (SELECT DISTINCT page_id FROM pages) p ON c.conv_id * 2 = p.page_id"
+
+
+@query("extraction_outcome", f"SELECT activity, count(*) AS annotations, count(*) FILTER (WHERE ok) AS success, count(*) FILTER (WHERE NOT ok) AS failed, coalesce(sum(frames), 0)::BIGINT AS frames FROM ({TAKEN}) GROUP BY ROLLUP (activity)")
+def extraction_outcome(spark, d):
+    """Successes, failures and frames of each class, and of all."""
+    there = table(spark, d, "pages").select("page_id").distinct().withColumn("ok", F.lit(True))
+    taken = table(spark, d, "conversations").join(there, F.col("conv_id") * 2 == F.col("page_id"), "left")
+    return annotations.outcome(taken.select(F.col("role").alias("activity"), F.coalesce("ok", F.lit(False)).alias("ok"), F.greatest(F.lit(0), F.least(F.length("text") % 90 + 1, F.lit(48))).alias("frames")))
+
+
+#: Source files by split and class, and the binary copy of them: one class has lost every 19th file.
+SOURCE = "SELECT doc_id, doc_id % 3 AS split, lang FROM documents WHERE lang IS NOT NULL"
+DEST = f"SELECT doc_id, split, CASE WHEN lang = 'en' THEN 'zero' ELSE 'one' END AS target FROM ({SOURCE}) WHERE NOT (lang = 'en' AND doc_id % 19 = 0)"
+
+
+@query(
+    "conversion_counts",
+    f"""SELECT split, target, source, coalesce(dest, 0) AS dest, source = coalesce(dest, 0) AS verified FROM (SELECT split, CASE WHEN lang = 'en' THEN 'zero' ELSE 'one' END AS target, count(*) AS source FROM ({SOURCE}) GROUP BY ALL)
+    LEFT JOIN (SELECT split, target, count(*) AS dest FROM ({DEST}) GROUP BY ALL) USING (split, target)""",
+)
+def conversion_counts(spark, d):
+    """Files of each split and target class before and after a conversion, and whether they are as many."""
+    source = table(spark, d, "documents").filter(F.col("lang").isNotNull()).select("doc_id", (F.col("doc_id") % 3).alias("split"), F.when(F.col("lang") == "en", "zero").otherwise("one").alias("target"), "lang")
+    dest = source.filter(~((F.col("lang") == "en") & (F.col("doc_id") % 19 == 0)))
+    return annotations.conversion_counts(source, dest, ["split", "target"])

@@ -104,7 +104,7 @@ def weight_validation(spark, d):
     return weights.weight_flags(_weighted(spark, d))
 
 
-@query("sampler_weight_check", "SELECT count(*) AS n, 0::BIGINT AS n_nan, 0::BIGINT AS n_inf, count(*) FILTER (WHERE value < 0) AS n_negative, count(*) FILTER (WHERE value = 0) AS n_zero, sum(value) = 0 AS zero_sum FROM events")
+@query("sampler_weight_check", "SELECT count(*) AS n, count(*) FILTER (WHERE isnan(value)) AS n_nan, count(*) FILTER (WHERE isinf(value)) AS n_inf, count(*) FILTER (WHERE value < 0) AS n_negative, count(*) FILTER (WHERE value = 0) AS n_zero, sum(value) = 0 AS zero_sum FROM events")
 def sampler_weight_check(spark, d):
     return weights.weight_flags(table(spark, d, "events"), "value")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ballast.functions.running import cut, quantiles, running
+from ballast.functions.running import cut, keyed_rank, quantiles, running
 from ballast.sources.stored import stored
 
 
@@ -52,3 +52,12 @@ def test_running_and_its_parts(spark, kind):
     parts = cut(stored(df, "rows"), "v", "part", 64).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("values")).collect()
     mean = -(-len(x) // 64)
     assert all(r["n"] <= 2 * mean or r["values"] == 1 for r in parts)
+
+
+def test_keyed_rank_of_a_hot_key(spark):
+    r = random.Random(2)
+    rows = [("hot" if r.random() < 0.7 else r.choice([None, "a", "b"]), x) for x in r.sample(range(10**6), 900)]
+    df = spark.createDataFrame(rows, "k string, o long")
+    for small in (0, 1 << 16):
+        got = {r["o"]: r["n"] for r in keyed_rank(df, ["k"], "o", "n", buckets=32, small=small).collect()}
+        assert got == {o: sum(p <= o for j, p in rows if j == k) for k, o in rows}
