@@ -7,8 +7,11 @@ windows of ``WINDOW`` lines: text starts at a surge (a window above ``SURGE``
 characters) and ends at the dive (windows of no text).
 
 Where the page marks its main part (article, main), that weighs in: a line in it
-counts ``SURGE`` characters more, so that a short one is a surge of its own, and
-a line outside counts for an ``OUTSIDE``-th, so that only dense text is one.
+counts a third of ``SURGE`` more, and a line outside an ``OUTSIDE``-th. Three
+lines of a marked part in a row are a surge, one or two are one if they hold some
+text. Furniture inside the marked part doesn't count as lines. Where a page's
+densest window is below twice ``SURGE``, half of it is the surge, so that short
+articles are found, marked or not; under ``SCANT`` characters there is none.
 
 A class or id makes a block furniture if all words of one of its tokens are
 furniture's (sidebar, cookie-banner, but not has-sidebar); html and body never
@@ -35,6 +38,8 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 SURGE = 86
+BONUS = SURGE // 3
+SCANT = 20
 OUTSIDE = 8
 
 #: Element names by role in HTML.
@@ -49,12 +54,6 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 
 _OPEN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*))")
 _STOP = re.compile(r"[>\"']")
-_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside side header masthead footer foot comment comments disqus reply replies respond related recommended share sharing social newsletter subscribe signup login search pagination pager toolbar widget copyright".split()
-)
-FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
-
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPLIT = re.compile(r"[^A-Za-z]+")
 _SPACE = re.compile(r"\s+")
@@ -185,23 +184,40 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    lines = lines_of(page or "")
+def block_sizes(lines: list[tuple[str, int, int]]) -> tuple[list[str], list[int]]:
+    """The lines that windows run over and what each counts.
+
+    On a page that marks its main part, a line in it counts ``BONUS`` more and
+    one outside an ``OUTSIDE``-th. Furniture within the marked part is left out,
+    so that it doesn't stand between two of its lines.
+    """
     best = max((main for _, n, main in lines if n), default=0)
+    kept = [(text, n, main) for text, n, main in lines if n or not (best and main == best)]
+    inside = lambda n, main: best and main == best
+    return [x[0] for x in kept], [n + BONUS if inside(n, main) else n // OUTSIDE if best == 2 or best and main else n for _, n, main in kept]
 
-    def size(n: int, main: int) -> int:
-        if n and main and main == best:
-            return n + surge
-        return n if best < 2 else 0 if main else n // OUTSIDE
 
-    sizes = [size(n, main) for _, n, main in lines]
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The text between surges and dives.
+
+    A surge is a window of lines above ``surge``, or above half of the page's
+    densest window where that is less, so that short articles have one too; a
+    densest window under ``SCANT`` characters is too little for an article.
+    """
+    texts, sizes = block_sizes(lines_of(page or ""))
+    sums = [0]
+    for n in sizes:
+        sums.append(sums[-1] + n)
+    ahead = [sums[min(i + window, len(sizes))] - sums[i] for i in range(len(sizes))]
+    densest = max(ahead, default=0)
+    least = min(surge, densest // 2) if densest >= SCANT else surge
     kept, inside = [], False
-    for i, (text, _, _) in enumerate(lines):
-        if not inside and sizes[i] and sum(sizes[i : i + window]) > surge:
+    for i, text in enumerate(texts):
+        if sizes[i] and ahead[i] > least:
             inside = True  # a surge
         if inside and sizes[i]:
             kept.append(text)
-        if inside and not sum(sizes[i + 1 : i + 1 + window]):
+        if inside and not (ahead[i + 1] if i + 1 < len(texts) else 0):
             inside = False  # the dive
     return "\n".join(kept)
 

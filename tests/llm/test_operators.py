@@ -187,6 +187,50 @@ def test_op3_windows_on_unmarked_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+def _by_the_rule(page: str, window: int, surge: int) -> str:
+    """The window rule line by line, each window summed anew: outside until a surge, then up to a dive."""
+    lines = html_text.lines_of(page)
+    best = max([m for _, n, m in lines if n], default=0)
+    counted = []
+    for text, n, m in lines:
+        marked = best > 0 and m == best
+        if marked and n == 0:
+            continue
+        counted.append((text, n + html_text.SURGE // 3 if marked else n // html_text.OUTSIDE if best == 2 or m else n))
+    window_at = lambda i: sum(n for _, n in counted[i : i + window])
+    densest = max([window_at(i) for i in range(len(counted))], default=0)
+    out, state = [], "outside"
+    for i, (text, n) in enumerate(counted):
+        if n > 0 and window_at(i) > (min(surge, densest // 2) if densest >= html_text.SCANT else surge):
+            state = "inside"
+        if state == "inside":
+            out += [text] * (n > 0)
+            if window_at(i + 1) == 0:
+                state = "outside"
+    return "\n".join(out)
+
+
+def test_op3_windows_decide_on_marked_pages(sf):
+    """Texts follow the rule at any window and surge, and both change what is taken from pages that mark their article."""
+    pages = [p["html"] for p in read(sf, "pages") if p["html"]]
+    assert len(pages) > 20 and all(re.search("<(article|main)", p) for p in pages)
+    unmarked = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
+    for kw in ({"window": 3, "surge": 86}, {"window": 1, "surge": 86}, {"window": 1, "surge": 10**6}, {"window": 5, "surge": 300}, {"window": 2, "surge": 5}):
+        for p in pages + unmarked:
+            assert html_text.main_text(p, **kw) == _by_the_rule(p, **kw)
+    changed = lambda **kw: sum(html_text.main_text(p, **kw) != html_text.main_text(p) for p in pages)
+    assert changed(window=1) >= len(pages) // 10 and changed(window=1, surge=10**6) >= len(pages) // 2
+    same = sum(html_text.main_text(u) == html_text.main_text(p) for u, p in zip(unmarked, pages))
+    assert same >= 0.9 * len(pages)  # windows find the article without its mark
+
+
+def test_op3_short_articles_and_dense_blocks():
+    assert html_text.main_text("<h1>Title</h1><p>Short one.</p><p>Short two.</p>") == "Title\nShort one.\nShort two."
+    assert html_text.main_text("<nav><a href=x>Menu</a></nav><div><p>Only this one sentence.</p></div><footer>Foot</footer>") == "Only this one sentence."
+    assert html_text.main_text("<ul><li><a href=x>Menu one</a></li><li><a href=y>Menu two</a></li></ul>") == ""
+    assert html_text.main_text("<article><p>One.</p></article>") == "One."
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
