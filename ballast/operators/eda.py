@@ -59,3 +59,26 @@ def dataset_root(folders: DataFrame, dataset: str, folder: str) -> DataFrame:
 def kind_of(text: Column) -> Column:
     """boolean, long, double or string: the first that the text can be read as."""
     return F.when(F.lower(text).isin("true", "false"), "boolean").when(text.try_cast("long").isNotNull(), "long").when(text.try_cast("double").isNotNull(), "double").otherwise("string")
+
+
+#: Suffixes of image files, and those that data sets of a name's beginning have.
+IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg"]
+SUFFIXES_OF = {"daa_": [".png"], "statefarm_": [".jpg", ".jpeg"]}
+
+
+def _suffix(file: Column) -> Column:
+    return F.regexp_extract(file, r"(\.[^./]+)$", 1)
+
+
+def expected_suffix(file: Column, dataset: Column) -> Column:
+    """Whether the suffix, in any case, is one that a data set of this name has; any image's without a known name."""
+    suffix, name = F.lower(_suffix(file)), F.lower(dataset)
+    found = suffix.isin(IMAGE_SUFFIXES)
+    for begin, own in SUFFIXES_OF.items():
+        found = F.when(name.startswith(begin), suffix.isin(own)).otherwise(found)
+    return found
+
+
+def listed_suffix(file: Column, listed: list[str] = IMAGE_SUFFIXES) -> Column:
+    """Whether the suffix is on the list as it is written."""
+    return _suffix(file).isin(listed)

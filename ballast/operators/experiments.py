@@ -153,3 +153,25 @@ def remaining_text(seconds: Column) -> Column:
     part = lambda x, unit: F.when(x > 0, F.concat(x, F.lit(unit)))
     found = F.concat_ws(" ", part(h, "h"), part(m, "m"), part(s, "s"))
     return F.concat(F.lit("ETA: "), F.when(found == "", F.lit("0s")).otherwise(found))
+
+
+def capped(batches: DataFrame, index: str, most: int | None) -> DataFrame:
+    """Batches 0 to ``most`` - 1, or all without a positive cap."""
+    return batches if most is None or most <= 0 else batches.filter(F.col(index) < most)
+
+
+def saved(log: DataFrame, epoch: str, every: int, best_only: bool = False) -> DataFrame:
+    """Epochs at which a checkpoint may be kept: every n-th, or all where only the best is kept."""
+    return log if best_only else log.filter((F.col(epoch) + 1) % every == 0)
+
+
+def shown_parameters(parameters: Column, prefix: str = "config/") -> Column:
+    """A map without private keys, the prefix of the others removed."""
+    public = F.map_filter(parameters, lambda k, _: ~k.startswith("_"))
+    return F.transform_keys(public, lambda k, _: F.when(k.startswith(prefix), F.substring(k, len(prefix) + 1, 1 << 20)).otherwise(k))
+
+
+def metric_line(df: DataFrame) -> Column:
+    """``name: value`` of all float columns with four places, comma-joined."""
+    floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")]
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.format_string("%.4f", F.col(c))) for c in floats])
