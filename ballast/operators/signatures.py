@@ -22,7 +22,7 @@ def with_signature(files: DataFrame, path: str, content: str) -> DataFrame:
     named = files.withColumns({"_of": F.lower(F.regexp_extract(F.col(path), r"(\.[^./]+)$", 1)), "_head": head})
     joined = named.join(F.broadcast(known), F.col("_of") == F.col("_suffix"), "left")
     right = F.exists("_known", lambda s: F.startswith("_head", s))
-    return joined.withColumn("corrupt", F.coalesce(F.col("_known").isNotNull() & ~right, F.lit(False))).drop("_of", "_head", "_suffix", "_known")
+    return joined.withColumn("corrupt", F.coalesce(F.col("_known").isNotNull() & F.col("_head").isNotNull() & ~right, F.lit(False))).drop("_of", "_head", "_suffix", "_known")
 
 
 def image_integrity(files: DataFrame, split: str, path: str, content: str) -> DataFrame:

@@ -41,7 +41,7 @@ def annotation_file_rows(spark, d):
     return rows.filter(F.col("problem").isNull()).drop("n_fields", "problem")
 
 
-@query("annotation_file_problems", f"SELECT coalesce({PROBLEM}, 'none') AS problem, CASE WHEN k % 11 = 0 THEN 5 WHEN k % 5 = 0 THEN 6 ELSE 7 END::INTEGER AS n_fields, count(*) AS n FROM ({NOTED}) GROUP BY ALL")
+@query("annotation_file_problems", f"SELECT coalesce({PROBLEM}, 'none') AS problem, CASE WHEN k % 11 = 0 THEN 5 WHEN k % 5 = 0 THEN 6 ELSE 8 END::INTEGER AS n_fields, count(*) AS n FROM ({NOTED}) GROUP BY ALL")
 def annotation_file_problems(spark, d):
     rows = annotation_rows(spark, _annotation_file(spark, d))
     return rows.groupBy(F.coalesce("problem", F.lit("none")).alias("problem"), "n_fields").agg(F.count(F.lit(1)).alias("n"))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 FIELDS = ["participant_id", "file_id", "annotation_id", "frame_start", "frame_end", "activity", "chunk_id"]
 LEAST_FIELDS = 6
-#: Stands for a field that isn't there; an empty field is an empty string.
-_ABSENT = "\u0001absent\u0001"
 
 #: Names of the class column, the best one first; without any of them it is the sixth column.
 CLASS_NAMES = ["activity", "action", "label", "class"]
@@ -26,8 +24,14 @@ def annotation_rows(spark: SparkSession, path: str) -> DataFrame:
     isn't wide enough has nulls for what it lacks; fields after the seventh are
     left out. A missing or empty chunk is '0'.
     """
-    raw = spark.read.csv(path, schema=", ".join(f"`{c}` string" for c in FIELDS), header=True, enforceSchema=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=True, nullValue=_ABSENT, emptyValue="")
-    n = sum([F.col(c).isNotNull().cast("int") for c in FIELDS], F.lit(0))
+    fields = ", ".join(f"`{c}` string" for c in FIELDS)
+    raw = spark.read.option("columnPruning", False).csv(path, schema=f"{fields}, _record string", header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_record", quote='"', escape='"', multiLine=True, emptyValue="")
+    # Rows of another width come with their text: its separators outside of quotes are counted.
+    bare = F.regexp_replace("_record", r'(^|,)"(?:[^"]|"")*+"', "$1")
+    n = F.when(F.col("_record").isNull(), len(FIELDS)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1).cast("int")
+    # Within a row's width, nothing between separators is an empty field.
+    raw = raw.withColumn("_n", n).withColumns({c: F.when(F.col("_n") > k, F.coalesce(c, F.lit(""))) for k, c in enumerate(FIELDS)})
+    n = F.col("_n")
     start, end = _whole(F.col("frame_start")), _whole(F.col("frame_end"))
     problem = F.when(n < LEAST_FIELDS, "fields").when(start.isNull(), "frame_start").when(end.isNull(), "frame_end")
     return raw.select(
