@@ -10,7 +10,8 @@ occurrences are located by walking to sampled positions and merged into spans.
 
 The phrases are written to the shared folder in blocks of bounded size, and a
 task goes through them block by block, so the test set may be of any size and
-never passes through the driver.
+never passes through the driver. A task holds up to ``HELD_BYTES`` of text as
+word numbers and takes a block once for all shards held, not once for each.
 
 Defined results: null or wordless text has no hits. Items without words have no
 window; items with a null id are left out; an item id that occurs more than once
@@ -22,7 +23,7 @@ results are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from ballast.llm.common import new_path, open_fs
 WORDS = 10
 SAMPLE = 8
 BLOCK_BYTES = 8 << 20
+HELD_BYTES = 64 << 20
 
 #: Bytes to lower-cased word bytes, or to a space: digits, letters and all bytes of non-ASCII characters are words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -132,6 +134,27 @@ class FMIndex:
         return out
 
 
+class Held:
+    """Documents as numbers of their words, shard by shard: four bytes for each word, and each different word once."""
+
+    def __init__(self):
+        self.vocabulary: dict[bytes, int] = {}
+        self.parts: dict[tuple[int, int], np.ndarray] = {}
+        self.batches: list[pa.RecordBatch] = []
+        self.counts = np.zeros(0, np.int64)
+        self.bytes = 0
+
+    def add(self, batch: pa.RecordBatch, texts: list[bytes | None]) -> None:
+        number = self.vocabulary.setdefault
+        words = [words_of(x) for x in texts]
+        counts = np.array([len(w) for w in words], np.int64)
+        first = len(self.counts)
+        self.parts[first, first + len(counts)] = np.fromiter((number(w, len(self.vocabulary)) for d in words for w in d), np.int32, int(counts.sum()))
+        self.counts = np.concatenate([self.counts, counts])
+        self.batches.append(batch)
+        self.bytes += sum(len(x or b"") for x in texts)
+
+
 class Phrases:
     """A block of test items: their windows as number arrays, and which items each window belongs to."""
 
@@ -148,16 +171,16 @@ class Phrases:
         for i, p in enumerate(owners):
             self.table[i, width - len(p) :] = p
         self.least = int(self.lengths.min()) if owners else 0
+        self._known: tuple[Held, np.ndarray] | None = None
 
-    def find(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, first word, phrase) of all occurrences in a shard."""
+    def find(self, held: Held, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first word, phrase) of all occurrences in the shard of documents ``first`` to ``last - 1``."""
         empty = np.zeros(0, np.int64)
-        counts = np.array([len(d) for d in docs], np.int64)
+        counts = held.counts[first:last]
         if not self.owners or not counts.sum():
             return empty, empty, empty
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for d in docs for w in d), np.int64, int(counts.sum()))
-        of = np.repeat(np.arange(len(docs)), counts)
+        ids = self.known_of(held)[held.parts[first, last]]
+        of = np.repeat(np.arange(first, last), counts)
         # Runs of known words inside one document.
         start = np.ones(len(ids), bool)
         start[1:] = (ids[1:] == 0) | (ids[:-1] == 0) | (of[1:] != of[:-1])
@@ -175,7 +198,18 @@ class Phrases:
         phrase = np.repeat(np.arange(len(n)), n)
         rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         at = back[index.locate(rows)]
-        return of[at], at - (np.cumsum(counts) - counts)[of[at]], phrase
+        return of[at], at - (np.cumsum(counts) - counts)[of[at] - first], phrase
+
+    def known_of(self, held: Held) -> np.ndarray:
+        """For each word number of ``held`` its number here, 0 for words of no phrase."""
+        if self._known is None or self._known[0] is not held:
+            get = held.vocabulary.get
+            known = np.zeros(len(held.vocabulary) + 1, np.int64)
+            for word, number in self.vocabulary.items():
+                known[get(word, len(known) - 1)] = number
+            known[-1] = 0
+            self._known = held, known
+        return self._known[1]
 
 
 def write_blocks(benchmark: DataFrame, item: str, text: str) -> tuple[str, int]:
@@ -216,43 +250,55 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     new = ["n_words", "n_hit", "hit_spans", "items", "contaminated"]
     docs = docs.drop(*new)
     path, blocks = write_blocks(benchmark, item, item_text)
+    most = shard_bytes if blocks == 1 else max(shard_bytes, HELD_BYTES)  # a single block needs no waiting
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
+    def results(held: Held, sets: Iterable[Phrases]) -> Iterator[pa.RecordBatch]:
+        spans: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[str]] = {}
+        for phrases in sets:
+            for shard in held.parts:
+                doc, first, phrase = phrases.find(held, *shard)
+                order = np.argsort(doc, kind="stable")
+                edges = np.flatnonzero(np.diff(doc[order])) + 1
+                for rows in np.split(order, edges) if len(order) else []:
+                    d = int(doc[rows[0]])
+                    before = np.array(spans.get(d, []), np.int64).reshape(-1, 2)
+                    spans[d] = merge_spans(np.concatenate([first[rows], before[:, 0]]), np.concatenate([first[rows] + phrases.lengths[phrase[rows]], before[:, 1]]))
+                    items.setdefault(d, set()).update(*(phrases.owners[p] for p in set(phrase[rows].tolist())))
+        for (low, high), b in zip(held.parts, held.batches):
+            found = [spans.get(k, []) for k in range(low, high)]
+            hit = [sum(e - s for s, e in x) for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *b.columns,
+                    pa.array(held.counts[low:high], pa.int64()),
+                    pa.array(hit, pa.int64()),
+                    pa.array([[{"start": s, "end": e} for s, e in x] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([sorted(items.get(k, ())) for k in range(low, high)], pa.list_(pa.string())),
+                    pa.array([h > 0 for h in hit], pa.bool_()),
+                ],
+                names=[*names, *new],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Phrases(x, width) for x in read_blocks(path)] if blocks == 1 else None
+        one = [Phrases(x, width) for x in read_blocks(path)] if blocks == 1 else None
+        sets = lambda: one if one is not None else (Phrases(x, width) for x in read_blocks(path))
+        held = Held()
         for whole in batches:
+            texts = whole.column(text).cast(pa.binary()).to_pylist()
+            ends = np.cumsum([len(x or b"") for x in texts])
             i = 0
-            sizes = np.array([len(x) if x is not None else 0 for x in whole.column(text).cast(pa.binary()).to_pylist()]) if whole.num_rows else np.zeros(0, int)
-            while i < whole.num_rows:
-                j = i + max(1, int(np.searchsorted(np.cumsum(sizes[i:]), shard_bytes, side="right")))
-                b = whole.slice(i, j - i)
+            while i < len(texts):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + shard_bytes, side="right")))
+                held.add(whole.slice(i, j - i), texts[i:j])
                 i = j
-                words = [words_of(x) for x in b.column(text).cast(pa.binary()).to_pylist()]
-                spans: dict[int, list] = {}
-                items: dict[int, set] = {}
-                for phrases in held if held is not None else (Phrases(x, width) for x in read_blocks(path)):
-                    doc, first, phrase = phrases.find(words)
-                    order = np.argsort(doc, kind="stable")
-                    edges = np.flatnonzero(np.diff(doc[order])) + 1
-                    for rows in np.split(order, edges) if len(order) else []:
-                        d = int(doc[rows[0]])
-                        spans[d] = merge_spans(np.concatenate([first[rows], np.array([s for s, _ in spans.get(d, [])], np.int64)]), np.concatenate([first[rows] + phrases.lengths[phrase[rows]], np.array([e for _, e in spans.get(d, [])], np.int64)]))
-                        items.setdefault(d, set()).update(*(phrases.owners[p] for p in set(phrase[rows].tolist())))
-                n = b.num_rows
-                found = [spans.get(k, []) for k in range(n)]
-                hit = [sum(e - s for s, e in x) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *b.columns,
-                        pa.array([len(w) for w in words], pa.int64()),
-                        pa.array(hit, pa.int64()),
-                        pa.array([[{"start": s, "end": e} for s, e in x] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([sorted(items.get(k, ())) for k in range(n)], pa.list_(pa.string())),
-                        pa.array([h > 0 for h in hit], pa.bool_()),
-                    ],
-                    names=[*names, *new],
-                )
+                if held.bytes >= most:
+                    yield from results(held, sets())
+                    held = Held()
+        if held.parts:
+            yield from results(held, sets())
 
     return docs.mapInArrow(run, f"{schema}, n_words long, n_hit long, hit_spans array<struct<start:long,end:long>>, items array<string>, contaminated boolean")
 
