@@ -23,7 +23,9 @@ results are replaced.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,21 +137,24 @@ class FMIndex:
 
 
 class Held:
-    """Documents as numbers of their words, shard by shard: four bytes for each word, and each different word once."""
+    """Documents as numbers of their words, shard by shard: four bytes for each word.
 
-    def __init__(self):
-        self.vocabulary: dict[bytes, int] = {}
+    Words outside a given vocabulary are -1; without one, each different word gets the next number.
+    """
+
+    def __init__(self, vocabulary: dict[bytes, int] | None = None):
+        self.vocabulary = defaultdict(count().__next__) if vocabulary is None else vocabulary
+        self.numbers = (lambda words: map(self.vocabulary.__getitem__, words)) if vocabulary is None else (lambda words: map(vocabulary.get, words, repeat(-1)))
         self.parts: dict[tuple[int, int], np.ndarray] = {}
         self.batches: list[pa.RecordBatch] = []
         self.counts = np.zeros(0, np.int64)
         self.bytes = 0
 
     def add(self, batch: pa.RecordBatch, texts: list[bytes | None]) -> None:
-        number = self.vocabulary.setdefault
         words = [words_of(x) for x in texts]
         counts = np.array([len(w) for w in words], np.int64)
         first = len(self.counts)
-        self.parts[first, first + len(counts)] = np.fromiter((number(w, len(self.vocabulary)) for d in words for w in d), np.int32, int(counts.sum()))
+        self.parts[first, first + len(counts)] = np.fromiter(self.numbers(chain.from_iterable(words)), np.int32, int(counts.sum()))
         self.counts = np.concatenate([self.counts, counts])
         self.batches.append(batch)
         self.bytes += sum(len(x or b"") for x in texts)
@@ -179,7 +184,8 @@ class Phrases:
         counts = held.counts[first:last]
         if not self.owners or not counts.sum():
             return empty, empty, empty
-        ids = self.known_of(held)[held.parts[first, last]]
+        numbers = held.parts[first, last]
+        ids = np.maximum(numbers, 0).astype(np.int64) if held.vocabulary is self.vocabulary else self.known_of(held)[numbers]
         of = np.repeat(np.arange(first, last), counts)
         # Runs of known words inside one document.
         start = np.ones(len(ids), bool)
@@ -201,12 +207,12 @@ class Phrases:
         return of[at], at - (np.cumsum(counts) - counts)[of[at] - first], phrase
 
     def known_of(self, held: Held) -> np.ndarray:
-        """For each word number of ``held`` its number here, 0 for words of no phrase."""
+        """For each word number of ``held`` its number here, 0 for words of no phrase (and for -1)."""
         if self._known is None or self._known[0] is not held:
             get = held.vocabulary.get
             known = np.zeros(len(held.vocabulary) + 1, np.int64)
             for word, number in self.vocabulary.items():
-                known[get(word, len(known) - 1)] = number
+                known[get(word, -1)] = number
             known[-1] = 0
             self._known = held, known
         return self._known[1]
@@ -285,7 +291,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = [Phrases(x, width) for x in read_blocks(path)] if blocks == 1 else None
         sets = lambda: one if one is not None else (Phrases(x, width) for x in read_blocks(path))
-        held = Held()
+        fresh = lambda: Held(one[0].vocabulary if one and len(one) == 1 else None)
+        held = fresh()
         for whole in batches:
             texts = whole.column(text).cast(pa.binary()).to_pylist()
             ends = np.cumsum([len(x or b"") for x in texts])
@@ -296,7 +303,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 i = j
                 if held.bytes >= most:
                     yield from results(held, sets())
-                    held = Held()
+                    held = fresh()
         if held.parts:
             yield from results(held, sets())
 
