@@ -10,16 +10,25 @@ recursion downwards.
 from __future__ import annotations
 
 
-def clusters_sql(rows: str, fallback: str, least: int) -> str:
+#: Distances of two vectors a.v and b.v; cosine takes vectors of length one.
+DISTANCES = {
+    "cosine": "1 - list_dot_product(a.v, b.v)",
+    "euclidean": "list_distance(a.v, b.v)",
+    "manhattan": "list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))",
+}
+
+
+def clusters_sql(rows: str, fallback: str, least: int, metric: str = "cosine") -> str:
     """(vec_id, label, chunk, cluster) of ``rows`` (vec_id, label, embedding, chunk); chunks without clusters take those of ``fallback``.
 
     Core distances of one neighbour never exceed a pair's own distance, so the distance stands for itself.
     """
+    norm = "norm" if metric == "cosine" else "1"
     return f"""(WITH RECURSIVE r AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY chunk) AS n,
          greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12::DOUBLE) AS norm FROM ({rows})),
-u AS MATERIALIZED (SELECT vec_id, label, chunk, i, n, list_transform(embedding, lambda x: x::DOUBLE / norm) AS v FROM r),
-p AS MATERIALIZED (SELECT a.chunk, a.n, a.i, b.i AS j, 1 - list_dot_product(a.v, b.v) AS d FROM u a JOIN u b ON a.chunk = b.chunk AND a.i < b.i WHERE a.n >= {max(least, 2)}),
+u AS MATERIALIZED (SELECT vec_id, label, chunk, i, n, list_transform(embedding, lambda x: x::DOUBLE / {norm}) AS v FROM r),
+p AS MATERIALIZED (SELECT a.chunk, a.n, a.i, b.i AS j, {DISTANCES[metric]} AS d FROM u a JOIN u b ON a.chunk = b.chunk AND a.i < b.i WHERE a.n >= {max(least, 2)}),
 m AS (
   SELECT chunk, 0::BIGINT AS step, range(max(n)) AS of, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS d, 0::BIGINT AS size_a, 0::BIGINT AS size_b FROM p GROUP BY chunk
   UNION ALL

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ballast.functions.nested import flat_rows, flat_vector
-from ballast.operators import annotations, signatures
+from ballast.operators import annotations, signatures, splits
 from ballast.plans.base import query
 from ballast.sources.annotation_files import FIELDS, annotation_rows, class_columns
-from ballast.sources.tables import scratch, table
+from ballast.sources.tables import class_folders, scratch, table
 
 #: Turns as annotation rows; every 11th ends before the class, every 13th has a start that is no number, every 17th an end with a point, every 5th no chunk.
 NOTED = """SELECT 'vp' || conv_id AS participant_id, 'run/' || role AS file_id, turn::VARCHAR AS annotation_id, turn * 10 AS s, turn * 10 + length(text) % 90 AS e, role || ', "' || turn || '"' AS activity, conv_id * 31 + turn AS k FROM conversations"""
@@ -123,3 +123,18 @@ def prefixed_paths(spark, d):
     i, n = F.col("page_id"), F.concat(F.lit("p"), F.col("page_id"))
     raw = F.when(i % 4 == 0, F.concat(F.lit("./train//x/../"), n)).when(i % 4 == 1, F.concat(F.lit("/abs/./"), n)).when(i % 4 == 2, F.concat(F.lit("data//set/"), n)).otherwise(F.concat(F.lit("data/setting/"), n))
     return table(spark, d, "pages").select("page_id", annotations.prefixed_path(raw, "data/set/").alias("path"))
+
+
+@query(
+    "class_folder_tree",
+    """SELECT class, dense_rank() OVER (ORDER BY class) - 1 AS class_id, chunk, bytes FROM (
+    SELECT 'kind=' || role AS class, CASE WHEN role <> 'user' THEN 'part=' || turn % 3 END AS chunk, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM conversations WHERE role IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)""",
+)
+def class_folder_tree(spark, d):
+    """A tree of class folders, some with chunk folders below, written and indexed without reading a file; classes are numbered by name."""
+    root = scratch(spark, "classes")
+    turns = table(spark, d, "conversations").filter("role IS NOT NULL AND turn IS NOT NULL").select(F.col("role").alias("kind"), (F.col("turn") % 3).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    turns.filter("kind = 'user'").drop("part").write.partitionBy("kind").text(root, lineSep="\n")
+    turns.filter("kind <> 'user'").write.mode("append").partitionBy("kind", "part").text(root, lineSep="\n")
+    found = class_folders(spark, root, [".txt"]).groupBy("class", "chunk").agg(F.sum("size").alias("bytes"))
+    return found.join(splits.class_index(found, "class"), "class").select("class", F.col("class_id").cast("long").alias("class_id"), "chunk", "bytes")

@@ -145,6 +145,33 @@ def flagship_clustered(spark, d):
     return weights.cluster_weights(found, "vec_id").select("vec_id", "chunk", "cluster", "updated", F.round("weight", 10).alias("weight"))
 
 
+#: No cluster is found: every row is an outlier.
+NONE = "SELECT vec_id, -1 AS cluster FROM embeddings"
+
+
+@query("clusters_euclidean", f"SELECT vec_id, chunk, cluster FROM {clusters_sql(CHUNKS, NONE, 5, 'euclidean')}")
+def clusters_euclidean(spark, d):
+    """The kernel under another metric, named in any case and spacing, without the fallback."""
+    return clustering.cluster_chunks(_chunks(spark, d), "vec_id", least=5, fallback=False, metric=" Euclidean").select("vec_id", "chunk", "cluster")
+
+
+@query("clusters_manhattan", f"SELECT vec_id, chunk, cluster FROM {clusters_sql(CHUNKS, FALLBACK, 5, 'manhattan')}")
+def clusters_manhattan(spark, d):
+    """The kernel under a third metric, with the fallback."""
+    return clustering.cluster_chunks(_chunks(spark, d), "vec_id", least=5, metric="manhattan").select("vec_id", "chunk", "cluster")
+
+
+#: Every other chunk is cut into pieces of eight rows.
+PIECES = "SELECT vec_id, label, embedding, vec_id // 128 * 16 + CASE WHEN vec_id // 128 % 2 = 1 THEN vec_id % 128 // 8 ELSE 0 END AS chunk FROM embeddings"
+
+
+@query("clusters_of_small_chunks", f"SELECT vec_id, chunk, cluster FROM {clusters_sql(PIECES, NONE, 9)}")
+def clusters_of_small_chunks(spark, d):
+    """Chunks of fewer rows than a cluster needs have outliers alone; larger ones beside them are clustered as usual."""
+    piece = F.expr("vec_id div 128 * 16 + CASE WHEN vec_id div 128 % 2 = 1 THEN vec_id % 128 div 8 ELSE 0 END")
+    return clustering.cluster_chunks(table(spark, d, "embeddings").withColumn("chunk", piece), "vec_id", least=9, fallback=False).select("vec_id", "chunk", "cluster")
+
+
 @query(
     "cluster_planted",
     f"SELECT vec_id, chunk, min(vec_id) OVER (PARTITION BY chunk, vec_id % 3) AS chief, round(1.0::DOUBLE / count(*) OVER (PARTITION BY chunk, vec_id % 3), 10) AS weight FROM ({CHUNKS})",
