@@ -55,6 +55,15 @@ def concentration(counts: DataFrame, value: str = "n") -> DataFrame:
     return up.select("x", "items", F.round(F.col("_items") / F.col("_all"), 8).alias("item_share"), F.round(F.col("_draws") / F.col("_drawn"), 8).alias("draw_share"))
 
 
+def lorenz_points(counts: DataFrame, value: str, tie: str) -> DataFrame:
+    """(place, item_share, draw_share): a point for each item in the order of its value, and the origin; nothing where all values are zero. Negative values don't count."""
+    kept = counts.filter(F.col(value) >= 0).select(F.col(value).alias("x"), F.col(tie).alias("tie"))
+    up = running(kept, "x", ["tie"], {"_items": F.lit(1), "_draws": F.col("x")})
+    total = kept.agg(F.count(F.lit(1)).alias("_all"), F.sum("x").alias("_drawn")).filter("_drawn > 0")
+    points = up.crossJoin(F.broadcast(total)).select(F.col("_items").alias("place"), F.round(F.col("_items") / F.col("_all"), 8).alias("item_share"), F.round(F.col("_draws") / F.col("_drawn"), 8).alias("draw_share"))  # one row
+    return points.unionByName(total.select(F.lit(0).cast("long").alias("place"), F.lit(0.0).alias("item_share"), F.lit(0.0).alias("draw_share")))
+
+
 def gini(counts: DataFrame, value: str = "n") -> DataFrame:
     """2 sum(i x_i) / (n sum(x)) - (n + 1) / n over ascending values; null if empty or all zero."""
     groups = counts.filter(F.col(value) >= 0).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))

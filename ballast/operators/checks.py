@@ -35,6 +35,14 @@ def labels_in_range(df: DataFrame, label: str, classes: int) -> DataFrame:
     return guarded(df, {f"a label lies outside of 0 to {classes - 1}": (F.col(label) >= 0) & (F.col(label) < classes)})
 
 
+def whole_labels(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with ``label`` as long; a label that isn't a whole number, or is missing, stops the job. Text is trimmed; 3.0 is 3."""
+    text = F.trim(F.col(label).cast("string"))
+    real = text.try_cast("double")
+    whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long")).when(real == F.floor(real), real.try_cast("long"))
+    return guarded(df.withColumn(label, whole), {"a label isn't a whole number": F.col(label).isNotNull()})
+
+
 def usable_weights(df: DataFrame, weight: str = "weight") -> DataFrame:
     w = F.col(weight)
     return guarded(df, {"a weight is null or not a number": w.isNotNull() & ~F.isnan(w), "a weight is infinite": F.abs(w) < float("inf"), "a weight is negative": w >= 0})

@@ -22,6 +22,14 @@ def imbalance(counts: DataFrame) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("classes"), ratio.alias("imbalance_ratio"))
 
 
+def imbalance_by(counts: DataFrame, group: str) -> DataFrame:
+    """(group, classes, ratio, infinite) of (group, class, n): largest by smallest class. A group whose only row has no class has ratio 1; one with an empty class has none and is ``infinite``."""
+    of = F.when(F.col("class").isNotNull(), F.col("n"))
+    classes, least = F.count(of), F.min(of)
+    ratio = F.when(classes == 0, F.lit(1.0)).when(least > 0, F.round(F.max(of) / least, 2))
+    return counts.groupBy(group).agg(classes.alias("classes"), ratio.alias("ratio"), F.coalesce(least == 0, F.lit(False)).alias("infinite"))
+
+
 def imbalance_per_class(counts: DataFrame) -> DataFrame:
     return counts.select("class", "n", F.round(F.max("n").over(Window.partitionBy()) / F.col("n"), 6).alias("ratio"))
 

@@ -42,6 +42,19 @@ def evaluated(predictions: DataFrame, model: str, true: str, pred: str, loss: st
     return total.unionByName(long).unionByName(confusion).withColumn("value", F.round("value", 6))
 
 
+def summary(report: DataFrame, best_only: bool = False) -> DataFrame:
+    """(experiment, checkpoint, accuracy, balanced_accuracy, is_best) of a report whose models are named experiment/checkpoint.
+
+    The best checkpoint has the largest balanced accuracy, the first name on ties.
+    """
+    wide = report.filter(F.col("metric").isin("accuracy", "balanced_accuracy")).groupBy("model").pivot("metric", ["accuracy", "balanced_accuracy"]).agg(F.first("value"))
+    name = F.split("model", "/", 2)
+    rows = wide.select(name[0].alias("experiment"), name[1].alias("checkpoint"), "accuracy", "balanced_accuracy")
+    top = rows.groupBy(F.col("experiment").alias("_of")).agg(F.min_by("checkpoint", F.struct(-F.col("balanced_accuracy"), F.col("checkpoint"))).alias("_best"))
+    seen = rows.join(top, F.col("experiment") == F.col("_of")).withColumn("is_best", F.col("checkpoint") == F.col("_best")).drop("_of", "_best")
+    return seen.filter("is_best") if best_only else seen
+
+
 def side_by_side(draws: DataFrame, classes: DataFrame, loader: str, first: str, second: str) -> DataFrame:
     """(metric, ``first``, ``second``): batches of two loaders compared; ``draws`` has (loader, batch_id, sample, label).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,34 +38,6 @@ def early_stop(log: DataFrame, run: str, epoch: str, value: str, patience: int,
     return log.groupBy(run).agg(F.aggregate(rows, start, step, lambda s: s["stop"]).alias("stop_epoch"))
 
 
-def schedules(spark: SparkSession, epochs: int, rate: float, least: float = 0.0, step: int = 10, decay: float = 0.5, scale: float = 1.0) -> DataFrame:
-    """(epoch, cosine, exponential, stepped, linear) learning rates."""
-    e, base = F.col("id").cast("double"), rate * scale
-    cosine = F.lit(least) + F.lit((base - least) / 2) * (1 + F.cos(F.lit(math.pi) * e / epochs))
-    return spark.range(epochs).select(
-        F.col("id").alias("epoch"), F.round(cosine, 10).alias("cosine"), F.round(F.lit(base) * F.pow(F.lit(0.95), e), 10).alias("exponential"),
-        F.round(F.lit(base) * F.pow(F.lit(decay), F.floor(e / step).cast("double")), 10).alias("stepped"), F.round(F.lit(base) + F.lit(least - base) * e / epochs, 10).alias("linear"),
-    )
-
-
-def restarts(spark: SparkSession, epochs: int, rate: float, first: int = 10, least: float = 0.0, step: int = 20, decay: float = 0.1) -> DataFrame:
-    """(epoch, restarted, stepped): cosine annealing that starts again with cycles twice as long each time, and decay by steps."""
-    e = F.col("id").cast("double")
-    cycle = F.floor(F.log2(e / first + 1)).cast("double")
-    length = first * F.pow(F.lit(2.0), cycle)
-    at = e - first * (F.pow(F.lit(2.0), cycle) - 1)
-    return spark.range(epochs).select(
-        F.col("id").alias("epoch"), F.round(F.lit(least) + F.lit((rate - least) / 2) * (1 + F.cos(F.lit(math.pi) * at / length)), 10).alias("restarted"),
-        F.round(F.lit(rate) * F.pow(F.lit(decay), F.floor(e / step).cast("double")), 10).alias("stepped"),
-    )
-
-
-def space_info(space: DataFrame) -> DataFrame:
-    """Of a search space (name, kind, low, high, choices): how many parameters of each kind, and their description."""
-    said = F.concat(F.col("name"), F.lit(":"), F.when(F.col("choices").isNotNull(), F.array_join("choices", "|")).otherwise(F.concat(F.col("low").cast("string"), F.lit(".."), F.col("high").cast("string"))))
-    return space.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(said)), ",").alias("parameters"))
-
-
 #: Where a trial's parameter stands in a configuration; later rows win over earlier ones.
 TRIAL_PATHS = [
     ("learning_rate", "optimizer.lr"), ("learning_rate", "scheduler.start_lr"), ("weight_decay", "optimizer.weight_decay"), ("initial_lr", "optimizer.lr"), ("initial_lr", "scheduler.start_lr"),
@@ -100,16 +72,6 @@ def trial_config(base: DataFrame, trials: DataFrame) -> DataFrame:
     return merged.filter(stays).select("trial", "path", F.coalesce(value, F.col("_need")).alias("value"))
 
 
-#: Parameters of the weighting that extend a search space, as (name, kind, low, high).
-WEIGHTING_SPACE = [("min_cluster_size", "integer", 10.0, 50.0), ("outlier_weight", "log", 0.0001, 0.01)]
-
-
-def extended_space(space: DataFrame) -> DataFrame:
-    """A search space (name, kind, low, high, choices) with the weighting's parameters, where it doesn't have them already."""
-    more = space.sparkSession.createDataFrame([(*p, None) for p in WEIGHTING_SPACE], "name string, kind string, low double, high double, choices array<string>")
-    return space.unionByName(more.join(space.select("name"), "name", "left_anti"))
-
-
 def duration_text(seconds: Column) -> Column:
     """Whole seconds as HH:MM:SS."""
     s = seconds.cast("long")
@@ -175,3 +137,18 @@ def metric_line(df: DataFrame) -> Column:
     """``name: value`` of all float columns with four places, comma-joined."""
     floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")]
     return F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.format_string("%.4f", F.col(c))) for c in floats])
+
+
+#: Most rows that a grid may have.
+GRID = 1_000_000
+
+
+def grid(*sides: DataFrame, most: int = GRID) -> DataFrame:
+    """All combinations of the rows of ``sides``, which are counted first; more than ``most`` combinations are an error."""
+    size = math.prod(side.limit(most + 1).count() for side in sides)
+    if size > most:
+        raise ValueError(f"a grid of more than {most} combinations")
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.crossJoin(F.broadcast(side))  # counted
+    return out

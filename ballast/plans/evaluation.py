@@ -278,21 +278,6 @@ def batch_loss_accuracy(spark, d):
     return metrics.loss_and_accuracy(_scores(spark, d).withColumn("batch", F.floor(F.col("vec_id") / CHUNK).cast("long")), "s", "label", "batch")
 
 
-@query("search_space_info", "SELECT * FROM (VALUES ('choice', 2, 'batch_size:32|64|128,optimizer:adam|sgd'), ('log', 2, 'rate:0.001..0.1,weight_decay:1.0E-6..0.01'), ('uniform', 1, 'dropout:0.0..0.5')) t(kind, n, parameters)")
-def search_space_info(spark, d):
-    return experiments.space_info(_space(spark))
-
-
-@query("search_space_extended", "SELECT * FROM (VALUES ('choice', 2, 'batch_size:32|64|128,optimizer:adam|sgd'), ('integer', 1, 'min_cluster_size:10.0..50.0'), ('log', 3, 'outlier_weight:1.0E-4..0.01,rate:0.001..0.1,weight_decay:1.0E-6..0.01'), ('uniform', 1, 'dropout:0.0..0.5')) t(kind, n, parameters)")
-def search_space_extended(spark, d):
-    return experiments.space_info(experiments.extended_space(_space(spark)))
-
-
-def _space(spark):
-    space = [("rate", "log", 0.001, 0.1, None), ("weight_decay", "log", 1e-6, 0.01, None), ("dropout", "uniform", 0.0, 0.5, None), ("optimizer", "choice", None, None, ["adam", "sgd"]), ("batch_size", "choice", None, None, ["32", "64", "128"])]
-    return spark.createDataFrame(space, "name string, kind string, low double, high double, choices array<string>")
-
-
 BASE_CONFIG = [("optimizer.name", "SGD"), ("optimizer.lr", "0.001"), ("optimizer.momentum", "0.8"), ("optimizer.nesterov", "true"), ("scheduler.name", "cosine"), ("scheduler.start_lr", "0.001"), ("dataloader.batch_size", "128")]
 _BASE = ", ".join(f"('{p}', '{v}')" for p, v in BASE_CONFIG)
 
@@ -366,20 +351,11 @@ def trial_table(spark, d):
     return top.select(F.col("run").alias("trial_id"), F.col("epoch").alias("training_iteration"), "metric", (F.col("metric") * 100).alias("percent"), F.rank().over(Window.orderBy(F.col("metric").desc(), "run", "epoch")).alias("place"))
 
 
-@query(
-    "lr_schedules",
-    """SELECT epoch, round(0.0::DOUBLE + 0.05::DOUBLE * (1 + cos(pi() * epoch / 50)), 10) AS cosine, round(0.1::DOUBLE * pow(0.95::DOUBLE, epoch), 10) AS exponential,
-    round(0.1::DOUBLE * pow(0.5::DOUBLE, epoch // 10), 10) AS stepped, round(0.1::DOUBLE - 0.1::DOUBLE * epoch / 50, 10) AS linear FROM range(50) r(epoch)""",
-)
-def lr_schedules(spark, d):
-    return experiments.schedules(spark, 50, 0.1)
-
-
 @query("grid_product", "SELECT a.event_type AS optimizer, b.lang AS schedule, rate FROM (SELECT DISTINCT event_type FROM events) a CROSS JOIN (SELECT DISTINCT lang FROM documents) b CROSS JOIN (SELECT unnest([0.1::DOUBLE, 0.01::DOUBLE]) AS rate)")
 def grid_product(spark, d):
     a = table(spark, d, "events").select(F.col("event_type").alias("optimizer")).distinct()
     b = table(spark, d, "documents").select(F.col("lang").alias("schedule")).distinct()
-    return a.crossJoin(b).crossJoin(spark.createDataFrame([(0.1,), (0.01,)], "rate double"))  # small dimensions only
+    return experiments.grid(a, b, spark.createDataFrame([(0.1,), (0.01,)], "rate double"))
 
 
 @query("format_duration", "SELECT event_id, lpad((event_id * 7 // 3600)::VARCHAR, greatest(2, length((event_id * 7 // 3600)::VARCHAR))::INTEGER, '0') || ':' || lpad((event_id * 7 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((event_id * 7 % 60)::VARCHAR, 2, '0') AS text FROM events")
@@ -392,8 +368,3 @@ def json_safe(spark, d):
     v = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
     safe = F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), safe.alias("value"))
-
-
-@query("lr_restarts", "SELECT epoch, round(0.05::DOUBLE * (1 + cos(pi() * (epoch - 10 * (pow(2, k) - 1)) / (10 * pow(2, k)))), 10) AS restarted, round(0.1::DOUBLE * pow(0.1::DOUBLE, epoch // 20), 10) AS stepped FROM (SELECT epoch, floor(log2(epoch / 10.0::DOUBLE + 1)) AS k FROM range(80) r(epoch))")
-def lr_restarts(spark, d):
-    return experiments.restarts(spark, 80, 0.1)

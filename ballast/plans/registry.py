@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ballast.plans import batches, datasets, details, evaluation, ingestion, reports, weighting  # noqa: F401  they fill the registry
+from ballast.plans import batches, datasets, details, evaluation, ingestion, reports, studies, weighting  # noqa: F401  they fill the registry
 from ballast.plans.base import QUERIES, SQL
 
 

@@ -192,11 +192,3 @@ def test_trial_config_normalises_the_optimizer(spark):
     assert got["b"] == {"optimizer.name": "ADAM", "optimizer.lr": "1", "optimizer.betas": "[0.5, 0.9]", "optimizer.eps": "1e-8", "optimizer.amsgrad": "false"}
     assert got["c"] == {"optimizer.name": "ADAM", "optimizer.lr": "1", "optimizer.betas": "[0.5, 0.9]"}
     assert got["d"] == {"optimizer.name": "ADAM", "optimizer.lr": "2", "scheduler.start_lr": "2", "optimizer.betas": "[0.5, 0.9]"}
-
-
-def test_extended_space_keeps_own_parameters(spark):
-    from ballast.operators import experiments
-
-    own = spark.createDataFrame([("outlier_weight", "uniform", 0.0, 1.0, None)], "name string, kind string, low double, high double, choices array<string>")
-    got = {r["name"]: r["kind"] for r in experiments.extended_space(own).collect()}
-    assert got == {"outlier_weight": "uniform", "min_cluster_size": "integer"}
