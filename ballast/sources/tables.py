@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 def class_folders(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
     """(path, class, chunk, size) of the files below ``root``: class/file or class/chunk/file; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
-    inner = F.split(F.element_at(F.split("path", F.lit(root.rstrip("/").split(":")[-1] + "/"), 2), 2), "/")
+    # The reader's paths may differ from ``root`` in how scheme and authority are written.
+    base = re.sub("/+", "/", re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root)).rstrip("/") + "/"
+    inner = F.split(F.substr("path", F.locate(base, "path") + len(base)), "/")
     known = files.withColumn("_p", inner).filter(F.size("_p").isin(2, 3))
     if suffixes:
         known = known.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin([s.lower() for s in suffixes]))

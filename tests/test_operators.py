@@ -115,6 +115,8 @@ def test_weight_table_and_folders(spark, tmp_path):
         (tmp_path / "img" / p).write_bytes(b"x")
     got = {(r["class"], r["chunk"]) for r in tables.class_folders(spark, str(tmp_path / "img"), [".png"]).collect()}
     assert got == {("cat", None), ("cat", "k")}
+    for root in (f"file://{tmp_path}/img", f"file:{tmp_path}/img/", f"{tmp_path}//img"):  # other ways to write it
+        assert {(r["class"], r["chunk"]) for r in tables.class_folders(spark, root, [".png"]).collect()} == got
     (tmp_path / "a.csv").write_text("participant_id,file_id,annotation_id,frame_start,frame_end,activity,chunk_id\np,f,1,0,9,eat,\np,f,2,0\n")
     assert [r["chunk_id"] for r in tables.annotations(spark, str(tmp_path / "a.csv")).collect()] == ["0"]
 
