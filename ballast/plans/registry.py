@@ -17,4 +17,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["flagship_fallback"](spark, sf_dir)
+    return queries()["flagship_default"](spark, sf_dir)
