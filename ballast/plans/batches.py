@@ -14,7 +14,8 @@ from ballast.streaming import analyser
 from ballast.streaming import batches as stream
 
 SIZE = 64
-PIECES = 6
+#: Streams arrive in so many pieces, or in more, so that a piece of consecutive batches has about so many rows at most.
+PIECES, PIECE_ROWS = 6, 1 << 21
 EVENTS = f"SELECT event_id, user_id, event_type AS label, (event_id // {SIZE})::BIGINT AS batch_id FROM events"
 HIST = f"""SELECT b.batch_id, c.label, count(e.label) AS n FROM (SELECT DISTINCT batch_id FROM ({EVENTS})) b CROSS JOIN (SELECT DISTINCT label FROM ({EVENTS})) c
 LEFT JOIN ({EVENTS}) e ON e.batch_id = b.batch_id AND e.label = c.label GROUP BY b.batch_id, c.label"""
@@ -181,17 +182,18 @@ SEEN = f"SELECT event_id, user_id::VARCHAR AS sample, (event_id // {SIZE})::BIGI
 
 
 def _updates(spark, d):
-    """Events as files of whole batches, taken in two runs: the second goes on from the first one's checkpoint, with more files there."""
+    """Events that arrive in pieces of whole batches: a run takes each piece as one micro-batch and goes on from the last one's checkpoint, with more files there."""
     at = scratch(spark, "analyser")
-    e = _events(spark, d).drop("label").join(table(spark, d, "events").select("event_id", "value"), "event_id")
+    e = sampling.batches(table(spark, d, "events").select("event_id", "user_id", "value"), "event_id", SIZE)
     rows = e.select(F.col("user_id").alias("sample"), "batch_id", F.col("event_id").alias("position"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("weight"))
-    cuts = [r[0] for r in rows.agg(F.max("batch_id")).collect() if r[0] is not None]
-    width = max(1, -(-(cuts[0] + 1) // PIECES)) if cuts else 1
-    pieces = [rows.filter((F.col("batch_id") >= k * width) & (F.col("batch_id") < (k + 1) * width)) for k in range(PIECES)]
-    for run in (pieces[: PIECES // 2], pieces[PIECES // 2 :]):
-        for piece in run:
-            piece.coalesce(1).write.mode("append").parquet(f"{at}/in")  # a file is a micro-batch
-        arrived = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    n, least, most = rows.agg(F.count("batch_id"), F.min("batch_id"), F.max("batch_id")).first()
+    pieces = max(PIECES, -(-n // PIECE_ROWS))
+    width = -(-(most - least + 1) // pieces) if n else 1
+    placed = rows.filter(F.col("batch_id").isNotNull()).withColumn("piece", F.floor((F.col("batch_id") - F.lit(least)) / width).cast("int"))
+    placed.write.partitionBy("piece").parquet(f"{at}/pieces")  # one scan for all pieces
+    for k in range(pieces):
+        spark.read.schema(placed.schema).parquet(f"{at}/pieces").filter(F.col("piece") == k).drop("piece").write.mode("append").parquet(f"{at}/in")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
         analyser.run_available(analyser.sample_updates(arrived), f"{at}/out", f"{at}/state")
     return spark.read.parquet(f"{at}/out")
 
@@ -201,7 +203,7 @@ def _updates(spark, d):
     f"SELECT sample, count(*) AS n, min(batch_id) AS first_batch, arg_min(weight, event_id) FILTER (WHERE weight IS NOT NULL) AS first_weight FROM ({SEEN}) GROUP BY sample",
 )
 def stream_sample_states(spark, d):
-    """Sampling counts and first-seen weights of all samples, from state kept across micro-batches and a restart."""
+    """Sampling counts and first-seen weights of all samples, from state kept across micro-batches and restarts."""
     return analyser.sample_states(_updates(spark, d))
 
 

@@ -9,6 +9,7 @@ that state lies on disk.
 Defined results: rows of one micro-batch count in the order of their position,
 micro-batches in the order of arrival. Rows without sample are one sample of their
 own. A null weight is no first weight: the first one that is there counts.
+Rows without batch belong to none and are not counted.
 """
 
 from __future__ import annotations
@@ -27,15 +28,20 @@ STATE = "total long, first_batch long, first_weight double"
 def _update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A row for each batch in which the sample has come since the last micro-batch."""
     total, first_batch, first_weight = state.get if state.exists else (0, None, None)
-    rows = pd.concat(list(parts)).sort_values("position")  # a sample's rows of one micro-batch
+    batches: dict[int, tuple[int, float, float | None]] = {}  # rows, and the weight at the least position that has one
+    for part in parts:  # some of the sample's rows of one micro-batch, so that no task holds them all
+        for batch, position, weight in zip(part["batch_id"].tolist(), part["position"].tolist(), part["weight"].tolist()):
+            n, at, known = batches.get(batch, (0, float("inf"), None))
+            if not pd.isna(weight) and (known is None or position < at):
+                at, known = position if position == position else float("inf"), weight
+            batches[batch] = (n + 1, at, known)
     out = []
-    for batch, held in rows.groupby("batch_id", sort=True):
+    for batch, (n, _, weight) in sorted(batches.items(), key=lambda b: b[0]):
         fresh = first_batch is None
-        first_batch = int(batch) if fresh else first_batch
-        if first_weight is None and (known := held["weight"].dropna()).size:
-            first_weight = float(known.iloc[0])
-        total += len(held)
-        out.append((key[0], int(batch), len(held), fresh, total, first_batch, first_weight))
+        first_batch = batch if fresh else first_batch
+        first_weight = weight if first_weight is None else first_weight
+        total += n
+        out.append((key[0], batch, n, fresh, total, first_batch, first_weight))
     state.update((total, first_batch, first_weight))
     yield pd.DataFrame(out, columns=["sample", "batch_id", "n", "fresh", "total", "first_batch", "first_weight"])
 
@@ -43,7 +49,7 @@ def _update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def sample_updates(stream: DataFrame) -> DataFrame:
     """Updates of a stream of (sample, batch_id, position, weight)."""
     rows = stream.select(F.col("sample").cast("string").alias("sample"), F.col("batch_id").cast("long").alias("batch_id"), F.col("position").cast("long").alias("position"), F.col("weight").cast("double").alias("weight"))
-    return rows.groupBy("sample").applyInPandasWithState(_update, UPDATES, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.filter(F.col("batch_id").isNotNull()).groupBy("sample").applyInPandasWithState(_update, UPDATES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(updates: DataFrame, path: str, checkpoint: str) -> None:
@@ -53,9 +59,8 @@ def run_available(updates: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def sample_states(updates: DataFrame) -> DataFrame:
-    """(sample, n, first_batch, first_weight): the state of each sample after all updates."""
-    last = F.max_by(F.struct("total", "first_batch", "first_weight"), "total")
-    return updates.groupBy("sample").agg(last.alias("s")).select("sample", F.col("s.total").alias("n"), "s.first_batch", "s.first_weight")
+    """(sample, n, first_batch, first_weight): the state of each sample after all updates. Totals only grow, and what is first never changes once it is there, so plain maxima (no sort) give the last state."""
+    return updates.groupBy("sample").agg(F.max("total").alias("n"), F.max("first_batch").alias("first_batch"), F.max("first_weight").alias("first_weight"))
 
 
 def coverage(updates: DataFrame) -> DataFrame:

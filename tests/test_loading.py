@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 from ballast.functions.nested import depth, flat_rows, flat_vector
 from ballast.functions.permutation import grid, permuted
 from ballast.operators import annotations, sampling, signatures
+from ballast.plans import batches as plans
+from ballast.plans import registry
 from ballast.sources.annotation_files import annotation_rows
 from ballast.sources.annotation_files import annotations as usable
 from ballast.streaming import analyser
+from tests.oracle import differs
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000])
@@ -68,6 +72,28 @@ def test_analyser_state():
     assert second[["batch_id", "fresh", "total", "first_batch", "first_weight"]].values.tolist() == [[1, False, 4, 2, 7.0], [9, False, 5, 2, 7.0]]
 
 
+def test_analyser_state_from_parts():
+    """A sample's rows come in parts of any order; the weight at the least position counts."""
+    parts = [pd.DataFrame(rows, columns=["sample", "batch_id", "position", "weight"]) for rows in ([("a", 1, 70, 7.0), ("a", 0, 9, None)], [("a", 1, 65, 5.0), ("a", 2, 130, 3.0)])]
+    (out,) = analyser._update(("a",), iter(parts), _State())
+    assert out[["batch_id", "n", "fresh", "total", "first_batch"]].values.tolist() == [[0, 1, True, 1, 0], [1, 2, False, 3, 0], [2, 1, False, 4, 0]]
+    assert out["first_weight"].tolist()[1:] == [5.0, 5.0] and pd.isna(out["first_weight"][0])
+
+
+@pytest.mark.parametrize("name", ["stream_sample_states", "stream_coverage"])
+def test_stream_pieces(spark, tmp_path, monkeypatch, name):
+    """Pieces have a limited size, and a repeated event counts as often as it comes."""
+    rows = spark.range(0, 640, 1, 4).select(F.col("id").alias("event_id"), (F.col("id") % 11).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 13).cast("double").alias("value"))
+    rows.unionAll(rows.filter("event_id % 5 = 0")).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    monkeypatch.setattr(plans, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(plans, "PIECE_ROWS", 80, raising=False)
+    assert differs(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name]) is None
+    offsets = [p for p in (tmp_path / "analyser" / "state" / "offsets").iterdir() if p.name.isdigit()]
+    assert len(offsets) == 10  # micro-batches: 768 rows in 10 batches
+
+
 def test_annotation_files(spark, tmp_path):
     head = "participant_id,file_id,annotation_id,frame_start,frame_end,activity,chunk_id\n"
     (tmp_path / "a.csv").write_text(head + 'p,f,1,0,9,"eat, ""fast""\nslowly",3\np,f,2,0\n\np,f,3,-4,+5,"",\np,f,4,1.5,9,x\np,f,5, 1 ,nine,x,0,more\np,f,6,1,,x\np,,7,1,2,x\n')
