@@ -39,21 +39,35 @@ def dataset_totals(df: DataFrame, class_col: str, size: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("items"), F.round(F.sum(size) / F.lit(1048576.0), 2).alias("mib"), F.size(names).cast("long").alias("classes"), F.array_join(names, ",").alias("names"))
 
 
+def digest(content: Column) -> Column:
+    """What stands for a content in reports and overlaps: narrow enough to be dealt out in its place."""
+    return F.sha1(content.cast("binary"))
+
+
 def content_overlap(df: DataFrame, split: str, content: str, path: str) -> DataFrame:
-    """One row for each content hash that two splits share, with the first path on either side.
+    """One row for each content hash that two splits share, with the first path on either side."""
+    return digest_overlap(df.withColumn("_digest", digest(F.col(content))), split, "_digest", path)
+
+
+def digest_overlap(df: DataFrame, split: str, hashed: str, path: str) -> DataFrame:
+    """``content_overlap`` of rows that bring the digest of their content.
 
     The sides are reduced to one row for each (split, hash) first, so copies don't multiply.
     """
-    firsts = df.filter(F.col(content).isNotNull()).groupBy(F.col(split).alias("split"), F.sha1(F.col(content).cast("binary")).alias("hash")).agg(F.min(path).alias("path"))
+    firsts = df.filter(F.col(hashed).isNotNull()).groupBy(F.col(split).alias("split"), F.col(hashed).alias("hash")).agg(F.min(path).alias("path"))
     a = firsts.select(F.col("split").alias("split_a"), "hash", F.col("path").alias("path_a"))
     b = firsts.select(F.col("split").alias("split_b"), "hash", F.col("path").alias("path_b"))
     return a.join(b, "hash").filter("split_a < split_b")
 
 
-def integrity_report(df: DataFrame, split: str, content: str, path: str) -> DataFrame:
-    overlaps = content_overlap(df, split, content, path).agg(F.count(F.lit(1)).alias("overlaps"))
-    files = df.agg(F.count(F.lit(1)).alias("total_files"), F.count_distinct(F.sha1(F.col(content).cast("binary"))).alias("checked"), F.count_if(F.col(content).isNull()).alias("missing"))
-    return files.crossJoin(F.broadcast(overlaps)).withColumn("passed", F.col("overlaps") == 0)  # one row each
+def integrity_report(df: DataFrame, split: str, hashed: str) -> DataFrame:
+    """Files, different contents, missing ones and contents that two splits share, from (split, digest of the content) in one pass."""
+    each = df.groupBy(F.col(split).alias("split"), F.col(hashed).alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+    contents = each.groupBy("hash").agg(F.sum("n").alias("n"), F.count("split").alias("splits"))
+    none, pairs = F.col("hash").isNull(), (F.col("splits") * (F.col("splits") - 1) / 2).cast("long")
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0)).cast("long")
+    found = contents.agg(total(F.col("n")).alias("total_files"), F.count("hash").alias("checked"), total(F.when(none, F.col("n"))).alias("missing"), total(F.when(~none, pairs)).alias("overlaps"))
+    return found.withColumn("passed", F.col("overlaps") == 0)
 
 
 def dataset_root(folders: DataFrame, dataset: str, folder: str) -> DataFrame:

@@ -11,18 +11,9 @@ TRAIN, VAL = 0.7, 0.15
 RETAIN, DECAY = 0.7, 0.5
 
 
-def _sizes(df: DataFrame, class_col: str) -> DataFrame:
-    return df.groupBy(F.col(class_col).alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
-
-
-def with_class_size(df: DataFrame, class_col: str) -> DataFrame:
-    sizes = _sizes(df, class_col)
-    return df.join(sizes, df[class_col].eqNullSafe(sizes["_class"])).drop("_class")
-
-
 def stratified_split(df: DataFrame, id_col: str, class_col: str, train: float = TRAIN, val: float = VAL, seed: int = SEED) -> DataFrame:
     """Adds ``split``: of every class the first ``floor(n * train)`` rows in hash order, then ``floor(n * val)``, the rest is test."""
-    ranked = with_class_size(hash_rank(df, [class_col], order_key(id_col, seed=seed), [id_col]), class_col)
+    ranked = hash_rank(df, [class_col], order_key(id_col, seed=seed), [id_col], size="_size")
     a, b = F.floor(F.col("_size") * F.lit(train)), F.floor(F.col("_size") * F.lit(val))
     return ranked.withColumn("split", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "val").otherwise("test")).drop("rn", "_size")
 
@@ -41,7 +32,7 @@ def retention(n: Column, index: Column, share: float = RETAIN, decay: float = DE
 
 def long_tail(df: DataFrame, id_col: str, class_col: str, seed: int = SEED) -> DataFrame:
     """The rows that remain after exponential reduction by class index."""
-    ranked = with_class_size(hash_rank(df, [class_col], order_key(id_col, seed=seed + 1), [id_col]), class_col)
+    ranked = hash_rank(df, [class_col], order_key(id_col, seed=seed + 1), [id_col], size="_size")
     index = class_index(df, class_col).withColumnRenamed("class", "_class")
     return ranked.join(index, ranked[class_col] == index["_class"]).filter(F.col("rn") <= retention(F.col("_size"), F.col("class_id"))).drop("_class", "_size", "rn", "class_id")
 

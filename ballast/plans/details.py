@@ -8,7 +8,7 @@ from ballast.functions.hashing import hash_rank
 from ballast.operators import annotations, eda, experiments, feature_report, splits
 from ballast.plans.base import query
 from ballast.plans.batches import KL, _kl
-from ballast.plans.datasets import OVERLAP, _split
+from ballast.plans.datasets import OVERLAP, _split_digests
 from ballast.plans.evaluation import DIMS, LOG, _log
 from ballast.plans.weighting import WEIGHTED, _weighted
 from ballast.sources.tables import save_weights, scratch, table
@@ -105,7 +105,7 @@ def candidate_names(spark, d):
 @query("overlap_sample", f"SELECT split_a, split_b, hash, n FROM (SELECT *, row_number() OVER (PARTITION BY split_a, split_b ORDER BY hash) AS rn, count(*) OVER (PARTITION BY split_a, split_b) AS n FROM ({OVERLAP})) WHERE rn <= 50")
 def overlap_sample(spark, d):
     """The first 50 shared contents of each pair of splits, as a report lists them, beside their number."""
-    shared = eda.content_overlap(_split(spark, d), "split", "text", "doc_id").select("split_a", "split_b", "hash")
+    shared = eda.digest_overlap(_split_digests(spark, d), "split", "digest", "doc_id").select("split_a", "split_b", "hash")
     counts = shared.groupBy(F.col("split_a").alias("a"), F.col("split_b").alias("b")).agg(F.count(F.lit(1)).alias("n"))  # a row for each pair of splits
     ranked = hash_rank(shared, ["split_a", "split_b"], F.col("hash"), ["hash"]).filter("rn <= 50")
     return ranked.join(F.broadcast(counts), (F.col("split_a") == F.col("a")) & (F.col("split_b") == F.col("b"))).select("split_a", "split_b", "hash", "n")
