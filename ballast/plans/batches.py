@@ -14,7 +14,7 @@ from ballast.streaming import analyser
 from ballast.streaming import batches as stream
 
 SIZE = 64
-#: Streams arrive in so many pieces, or in more, so that a piece of consecutive batches has about so many rows at most.
+#: Streams arrive in so many pieces, or in more, so that a piece of consecutive events has about so many rows at most.
 PIECES, PIECE_ROWS = 6, 1 << 21
 EVENTS = f"SELECT event_id, user_id, event_type AS label, (event_id // {SIZE})::BIGINT AS batch_id FROM events"
 HIST = f"""SELECT b.batch_id, c.label, count(e.label) AS n FROM (SELECT DISTINCT batch_id FROM ({EVENTS})) b CROSS JOIN (SELECT DISTINCT label FROM ({EVENTS})) c
@@ -182,15 +182,16 @@ SEEN = f"SELECT event_id, user_id::VARCHAR AS sample, (event_id // {SIZE})::BIGI
 
 
 def _updates(spark, d):
-    """Events that arrive in pieces of whole batches: a run takes each piece as one micro-batch and goes on from the last one's checkpoint, with more files there."""
+    """Events that arrive in pieces, in the order of their ids: a run takes each piece as one micro-batch and goes on from the last one's checkpoint, with more files there."""
     at = scratch(spark, "analyser")
-    e = sampling.batches(table(spark, d, "events").select("event_id", "user_id", "value"), "event_id", SIZE)
+    e = sampling.batches(table(spark, d, "events").select("event_id", "user_id", "value").filter("event_id IS NOT NULL"), "event_id", SIZE)
     rows = e.select(F.col("user_id").alias("sample"), "batch_id", F.col("event_id").alias("position"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("weight"))
-    n, least, most = rows.agg(F.count("batch_id"), F.min("batch_id"), F.max("batch_id")).first()
+    n = rows.count()
     pieces = max(PIECES, -(-n // PIECE_ROWS))
-    width = -(-(most - least + 1) // pieces) if n else 1
-    placed = rows.filter(F.col("batch_id").isNotNull()).withColumn("piece", F.floor((F.col("batch_id") - F.lit(least)) / width).cast("int"))
-    placed.write.partitionBy("piece").parquet(f"{at}/pieces")  # one scan for all pieces
+    each = max(1, -(-n // (pieces * analyser.TASK_ROWS)))  # tasks that write one piece
+    # Ranges follow the rows and not the ids, whose gaps may be wide; an id that often comes is dealt by sample.
+    placed = rows.repartitionByRange(pieces * each, "position", "sample").withColumn("piece", F.floor(F.spark_partition_id() / each).cast("int"))
+    placed.write.partitionBy("piece").parquet(f"{at}/pieces")  # one shuffle for all pieces
     for k in range(pieces):
         spark.read.schema(placed.schema).parquet(f"{at}/pieces").filter(F.col("piece") == k).drop("piece").write.mode("append").parquet(f"{at}/in")
         arrived = spark.readStream.schema(rows.schema).parquet(f"{at}/in")

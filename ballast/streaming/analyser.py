@@ -23,6 +23,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 UPDATES = "sample string, batch_id long, n long, fresh boolean, total long, first_batch long, first_weight double"
 STATE = "total long, first_batch long, first_weight double"
+#: Rows are dealt to more tasks, and not to larger ones, above about so many a task.
+TASK_ROWS = 1 << 18
 
 
 def _update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,6 +66,7 @@ def sample_states(updates: DataFrame) -> DataFrame:
 
 
 def coverage(updates: DataFrame) -> DataFrame:
-    """(batch_id, rows, n_unique, n_new): of each batch, its samples and those never seen before."""
-    each = updates.groupBy("batch_id", "sample").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh"))
-    return each.groupBy("batch_id").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("n_unique"), F.count_if("fresh").alias("n_new"))
+    """(batch_id, rows, n_unique, n_new): of each batch, its samples and those never seen before; a batch may have come in several micro-batches. Rows without sample can be new, but are none of the samples counted in a batch. ``updates`` is counted first, so have it stored."""
+    dealt = updates.repartition(max(1, -(-updates.count() // TASK_ROWS)), "batch_id", "sample")
+    each = dealt.groupBy("batch_id", "sample").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh"))
+    return each.groupBy("batch_id").agg(F.sum("n").alias("rows"), F.count("sample").alias("n_unique"), F.count_if("fresh").alias("n_new"))

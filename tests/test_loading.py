@@ -94,6 +94,29 @@ def test_stream_pieces(spark, tmp_path, monkeypatch, name):
     assert len(offsets) == 10  # micro-batches: 768 rows in 10 batches
 
 
+@pytest.mark.parametrize("name", ["stream_sample_states", "stream_coverage"])
+def test_stream_pieces_of_uneven_ids(spark, tmp_path, monkeypatch, name):
+    """No piece grows with wide gaps between ids, or with one id that comes again and again; rows without id belong to no batch of the stream."""
+    rows = spark.range(0, 600, 1, 4).select(F.when(F.col("id") < 300, F.col("id")).when(F.col("id") < 590, 310).otherwise(F.col("id") * 10**9).alias("event_id"), F.when(F.col("id") % 31 != 0, F.col("id") % 59).alias("user_id"))
+    rows.select("event_id", "user_id", F.lit("view").alias("event_type"), (F.col("event_id") % 13).cast("double").alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    monkeypatch.setattr(plans, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(plans, "PIECE_ROWS", 60)
+    assert differs(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name]) is None
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/analyser/pieces").groupBy("piece").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 90
+
+
+def test_coverage_of_split_batches(spark, monkeypatch):
+    """A batch may come in several micro-batches, and more updates are dealt to more tasks."""
+    monkeypatch.setattr(analyser, "TASK_ROWS", 50, raising=False)
+    rows = [(f"s{i}", b, 2, part == 0 and b == 0, 0, 0, None) for b in range(10) for part in range(2) for i in range(20)]
+    found = analyser.coverage(spark.createDataFrame(rows, analyser.UPDATES))
+    assert sorted(tuple(r) for r in found.collect()) == [(b, 80, 20, 20 if b == 0 else 0) for b in range(10)]
+    assert "hashpartitioning(batch_id" in (plan := found._jdf.queryExecution().toString()) and ", 8), REPARTITION_BY_NUM" in plan
+
+
 def test_annotation_files(spark, tmp_path):
     head = "participant_id,file_id,annotation_id,frame_start,frame_end,activity,chunk_id\n"
     (tmp_path / "a.csv").write_text(head + 'p,f,1,0,9,"eat, ""fast""\nslowly",3\np,f,2,0\n\np,f,3,-4,+5,"",\np,f,4,1.5,9,x\np,f,5, 1 ,nine,x,0,more\np,f,6,1,,x\np,,7,1,2,x\n')
